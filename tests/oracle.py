@@ -2,6 +2,7 @@
 
 import math
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -57,10 +58,13 @@ def compare(spark, con, folder, fn, sql):
     t1 = time.time()
     if sql is None:
         return (None if got else "no rows"), len(got), t1 - t0, 0.0
+    stop = threading.Timer(90, con.interrupt)
+    stop.start()
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]
     kinds = {d[0]: str(d[1]) for d in cur.description}
     want = cur.fetchall()
+    stop.cancel()
     t2 = time.time()
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(cols)}", len(got), t1 - t0, t2 - t1

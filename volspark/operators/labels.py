@@ -118,7 +118,7 @@ def pad_edges(voxels: DataFrame, dims: DataFrame, width: int) -> DataFrame:
         c, n = F.col(a), F.col(f"n{a}")
         first = F.when(c == 0, 0).otherwise(c + width)
         last = F.when(c == n - 1, c + 2 * width).otherwise(c + width)
-        out = out.withColumn(a, F.explode(F.sequence(first, last)).cast("int"))
+        out = out.withColumn(a, F.explode(F.sequence(first, last)))
     return out.drop("nx", "ny", "nz")
 
 
@@ -137,7 +137,7 @@ def permute(voxels: DataFrame, order: str) -> DataFrame:
 
 
 # Axis orders of the viewing planes relative to the coronal view.
-PLANE_ORDERS = {"coronal": "xyz", "axial": "yzx", "sagittal": "zyx"}
+PLANE_ORDERS = {"coronal": "xyz", "axial": "zxy", "sagittal": "zyx"}
 
 
 def to_plane(voxels: DataFrame, plane: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volspark.operators.regions import LABEL_SPACE
 from volspark.plans.joins import attach
+from volspark.plans.ordered import distinct_ranks
 
 
 def map_labels(df: DataFrame, mapping: DataFrame, label: str = "seg", out: str | None = None, strict: bool = False) -> DataFrame:
@@ -69,16 +70,14 @@ def class_map(mapping: DataFrame, keep: Sequence[int] = (), compress: bool = Fal
     elif out.limit(1).count() == 0:
         return out
     if compress:
-        targets = out.select("dst").distinct()
-        ranked = targets.withColumn("_rank", (F.row_number().over(Window.orderBy("dst")) - 1).cast("int"))
+        ranked = distinct_ranks(out, "dst", "_rank")
         out = out.join(ranked, "dst").select("src", F.col("_rank").alias("dst"))
     return out
 
 
 def position_map(labels: DataFrame, order: str = "id") -> DataFrame:
     """Label list position (0-based) to label: ``src`` = position, ``dst`` = label."""
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return labels.select(at.cast("int").alias("src"), F.col(order).cast("int").alias("dst"))
+    return distinct_ranks(labels, order, "src").select("src", F.col(order).cast("int").alias("dst"))
 
 
 def pair_sides(lut: DataFrame, first: str = "Left-", second: str = "Right-") -> DataFrame:
@@ -195,8 +194,8 @@ def map_scores(scores: DataFrame, mapping: DataFrame, key: Sequence[str], mode:
 def colour_index(present: DataFrame, lut: DataFrame) -> DataFrame:
     """Compact 0-based index and rgb in 0..1 of the labels that occur."""
     rows = lut.join(present.select(F.col("seg").alias("id")).distinct(), "id")
-    at = (F.dense_rank().over(Window.orderBy("id")) - 1).cast("int")
-    return rows.select("id", at.alias("color_index"), *((F.col(c) / 255.0).alias(c) for c in "rgb"))
+    ranks = distinct_ranks(rows, "id", "color_index")
+    return rows.join(ranks, "id").select("id", "color_index", *((F.col(c) / 255.0).alias(c) for c in "rgb"))
 
 
 def stack_tables(tables: DataFrame, suffix: Column, drop_unknown: bool = True) -> DataFrame:
@@ -206,5 +205,5 @@ def stack_tables(tables: DataFrame, suffix: Column, drop_unknown: bool = True) -
     """
     rows = tables
     if drop_unknown:
-        rows = rows.filter(~((F.col("pos") == 0) & (F.lower("label_name") == "unknown")))
+        rows = rows.filter(~((F.col("pos") == 0) & (F.col("label_name") == "unknown")))
     return rows.withColumn("label_name", F.concat("label_name", suffix))

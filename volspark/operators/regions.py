@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.plans.joins import attach
-from volspark.plans.ordered import exact_percentiles, running_counts, value_counts
+from volspark.plans.ordered import distinct_ranks, exact_percentiles, running_counts, value_counts
 from volspark.plans.storage import materialize
 
 SUBJECT = "subject_id"
@@ -156,7 +156,8 @@ def distinct_groups(groups: DataFrame, used: DataFrame | None = None) -> DataFra
     """One id per distinct member set, numbered from 10000 on in order of the first group, skipping used ids."""
     sets = groups.groupBy("group_id").agg(F.array_sort(F.collect_set("member_id")).alias("members"))
     firsts = sets.groupBy("members").agg(F.min("group_id").alias("first_group"))
-    numbered = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("first_group")) - 1)
+    firsts = materialize(firsts, "groups")
+    numbered = firsts.join(distinct_ranks(firsts, "first_group", "_rank"), "first_group")
     if used is None:
         return numbered.select((F.col("_rank") + GROUP_BASE).cast("int").alias("group_id"), "first_group", "members")
     taken = [i for i in label_ids(used) if i >= GROUP_BASE]

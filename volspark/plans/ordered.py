@@ -82,7 +82,10 @@ def running_counts(
 
     steps = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, steps, 10 * buckets).alias("_cuts"))
-    cut_rows = attach(counts, cuts, group) if group else counts.crossJoin(F.broadcast(materialize(cuts, "cuts")))
+    if group:
+        cut_rows = attach(counts, cuts, group)
+    else:
+        cut_rows = counts.withColumn("_cuts", F.lit(cuts.first()[0]))
     placed = cut_rows.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     placed = materialize(placed, "placed")
     totals = placed.groupBy(*group, "_bucket").agg(F.sum(n).alias("_in_bucket"))
@@ -128,3 +131,9 @@ def row_positions(df: DataFrame, group: Sequence[str], key: str, out: str = "pos
     counts = value_counts(df, group, key)
     ranked = running_counts(counts, group, key, **sizes)
     return df.join(ranked.select(*group, key, (F.col("cum") - 1).alias(out)), [*group, key])
+
+
+def distinct_ranks(df: DataFrame, key: str, out: str = "rank", **sizes: int) -> DataFrame:
+    """0-based rank of every distinct value of ``key``."""
+    ones = df.select(key).distinct().withColumn("n", F.lit(1).cast("long"))
+    return running_counts(ones, [], key, **sizes).select(key, (F.col("cum") - 1).cast("int").alias(out))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from volspark.queries.registry import ORACLES, QUERIES
 
-_MODULES = ("region_tables",)
+_MODULES = ("region_tables", "label_tables", "grid_ops")
 
 
 def _load():
