@@ -99,7 +99,7 @@ if __name__ == "__main__":
         try:
             problem, n, s, d = compare(spark, con, folder, fn, entry.oracle_sql().get(name))
         except Exception as e:  # report and go on
-            problem, n, s, d = f"{type(e).__name__}: {str(e)[:1200]}", -1, 0.0, 0.0
+            problem, n, s, d = f"{type(e).__name__}: {str(e)[:500]}", -1, 0.0, 0.0
         bad += problem is not None
         print(f"{'OK ' if problem is None else 'BAD'} {name:40s} rows={n} spark={s:.1f}s sql={d:.1f}s {problem or ''}", flush=True)
     print("bad:", bad)

@@ -133,7 +133,7 @@ def fill_unknown_by_distance(spark, d):
 @query("split_parcels")
 def split_parcels(spark, d):
     v = ev(spark, d).withColumn("l", F.when(F.col("blk") == 1, 2).when(F.col("blk") == 2, 41).when(F.col("hole") == 3, 1011).when(F.col("hole") == 4, 1003).otherwise(0))
-    return K.split_parcels(v.select(*VOXEL, "l"), ev_dims(spark, d))
+    return K.split_parcels(v.select(*VOXEL, "l"), ev_dims(spark, d), "l")
 
 
 @query("merge_cerebellum")
