@@ -4,7 +4,7 @@ from importlib import import_module
 
 from volspark.queries.registry import ORACLES, QUERIES
 
-_MODULES = ("region_tables", "label_tables", "grid_ops", "agreement_ops", "cleanup_ops", "mesh_ops")
+_MODULES = ("region_tables", "label_tables", "grid_ops", "agreement_ops", "cleanup_ops", "mesh_ops", "text_ops", "training_ops")
 
 
 def _load():
