@@ -49,10 +49,10 @@ def slice_weights(spark, d):
 @query("training_slabs", with_(EV, *WEIGHTS, """pl AS (SELECT subject_id, z AS x, x AS y, y AS z, blk, norm, weight FROM vw)""", body="""
 SELECT a.subject_id, a.z AS slice, a.x AS u, a.y AS v, a.blk AS label, round(a.weight,6) AS weight, p.norm AS s0, a.norm AS s1, n.norm AS s2 FROM pl a
 JOIN pl p ON p.subject_id=a.subject_id AND p.x=a.x AND p.y=a.y AND p.z=greatest(a.z-1,0) JOIN pl n ON n.subject_id=a.subject_id AND n.x=a.x AND n.y=a.y AND n.z=least(a.z+1,7)
-WHERE (a.subject_id, a.z) IN (SELECT (subject_id, z) FROM pl GROUP BY subject_id, z HAVING sum(blk) > 1620)"""))
+WHERE (a.subject_id, a.z) IN (SELECT (subject_id, z) FROM pl GROUP BY subject_id, z HAVING sum(blk) > 1500)"""))
 def training_slabs(spark, d):
     v = ev(spark, d).select(*VOXEL, "norm", F.col("blk").alias("seg"))
-    slabs = T.build_slabs(v, ev_dims(spark, d), "axial", 1, 1620, hires_weight=5, threshold=2)
+    slabs = T.build_slabs(v, ev_dims(spark, d), "axial", 1, 1500, hires_weight=5, threshold=2)
     path = scratch(spark, "slabs")
     write_slabs(slabs, path)
     got = read_slabs(spark, path, "axial", [100, 256])
@@ -189,7 +189,7 @@ def stream_deduplicated(spark, d):
 @query("stream_stage_durations", with_(STAGES, body="SELECT * FROM (SELECT subject_id, event_id, stage, round((lead(us) OVER (PARTITION BY subject_id ORDER BY us, event_id)-us)/1e6,6) AS duration_s FROM stages) WHERE duration_s IS NOT NULL"))
 def stream_stage_durations(spark, d):
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    starts = stream_of(spark, d, "events").select(F.col("user_id").alias("subject_id"), "event_id", F.col("event_type").alias("stage"), us.alias("us"))
+    starts = stream_of(spark, d, "events").select(F.col("user_id").alias("subject_id"), "event_id", F.col("event_type").alias("stage"), us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
     out = scratch(spark, "durations")
     sink = S.live_durations(starts).writeStream.format("parquet").option("path", out)
     S.run_available(sink, scratch(spark, "progress"))

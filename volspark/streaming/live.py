@@ -43,32 +43,45 @@ _STAGE_OUT = "subject_id long, event_id long, stage string, duration_s double, f
 _STAGE_STATE = "event_id long, stage string, us long"
 
 
-def live_durations(starts: DataFrame, timeout_ms: int = 86_400_000) -> DataFrame:
-    """Duration of each stage once the next one of its subject starts (``subject_id, event_id, stage, us``).
+def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 86_400_000) -> DataFrame:
+    """Duration of each stage once the next one of its subject starts (``subject_id, event_id, stage, us, ts``).
 
-    The state is one open stage per subject.  A stage still open after the timeout is reported unfinished.
+    The state is one open stage per subject.  A stage still open ``timeout_ms`` of event time after its
+    start is reported unfinished.
     """
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        event, stage, seconds, finished = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pd.DataFrame(
+            {
+                "event_id": pd.Series(event, dtype="int64"),
+                "stage": pd.Series(stage, dtype="object"),
+                "duration_s": pd.Series(seconds, dtype="float64"),
+                "finished": pd.Series(finished, dtype="bool"),
+            }
+        )
+
     def close(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done = []
         if state.hasTimedOut:
             event, stage, _ = state.get
             state.remove()
-            done.append((key[0], event, stage, None, False))
+            done.append((event, stage, float("nan"), False))
         else:
             opened = state.get if state.exists else None
             rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
             for event, stage, us in zip(rows["event_id"], rows["stage"], rows["us"], strict=True):
                 if opened is not None:
-                    done.append((key[0], opened[0], opened[1], (us - opened[2]) / 1e6, True))
+                    done.append((opened[0], opened[1], (us - opened[2]) / 1e6, True))
                 opened = (int(event), stage, int(us))
             state.update(opened)
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(done, columns=["subject_id", "event_id", "stage", "duration_s", "finished"])
+            state.setTimeoutTimestamp(max(opened[2] // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        out = frame(done)
+        out.insert(0, "subject_id", pd.Series([key[0]] * len(out), dtype="int64"))
+        yield out
 
-    return starts.groupBy(SUBJECT).applyInPandasWithState(
-        close, _STAGE_OUT, _STAGE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    marked = starts.withWatermark("ts", delay)
+    return marked.groupBy(SUBJECT).applyInPandasWithState(close, _STAGE_OUT, _STAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_regions(voxels: DataFrame, table: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
