@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from volspark.operators.labels import VOXEL
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import attach
-from volspark.plans.storage import materialize, release
+from volspark.plans.storage import materialize, measured, release
 
+# Parent links followed per pass.
+_HOPS = 3
 # Neighbouring columns of runs (dx, dy, reach along z), one of each opposite pair.
 _COLUMNS = {
     6: [(0, 1, 0), (1, 0, 0)],
@@ -31,17 +33,21 @@ def _both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.select(*keys, "_e.src", "_e.dst").distinct()
 
 
-def _to_roots(parents: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Follow parent links (always to a smaller id) until each node points to its root."""
-    current = materialize(parents, "parents")
+def _to_roots(parents: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """Follow parent links (always to a smaller id) until each node points to its root; with the row count."""
+    current, seen = measured(parents, "parents")
+    rows = seen["rows"]
     while True:
         table = current.select(*keys, F.col("src").alias("root"), F.col("root").alias("_up"))
-        jumped = attach(current, table, [*keys, "root"], costly=False)
-        step = materialize(jumped.select(*keys, "src", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("_moved")), "jump")
+        step = current.select(*keys, "src", "root", F.lit(False).alias("_moved"))
+        for _ in range(_HOPS):
+            step = attach(step, table, [*keys, "root"], rows=rows)
+            step = step.select(*keys, "src", F.coalesce("_up", "root").alias("root"), (F.col("_moved") | F.col("_up").isNotNull()).alias("_moved"))
+        step, seen = measured(step, "jump", moved=F.count_if("_moved"))
         release(current)
         current = step
-        if step.filter("_moved").limit(1).count() == 0:
-            return current.select(*keys, "src", "root")
+        if not seen["moved"]:
+            return current.select(*keys, "src", "root"), rows
 
 
 def graph_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (SUBJECT,)) -> DataFrame:
@@ -50,20 +56,21 @@ def graph_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (
     ``nodes`` has ``id``, ``edges`` have ``src`` and ``dst`` in either direction.
     """
     keys = list(keys)
-    links = materialize(_both_ways(edges, keys), "links")
+    links, seen = measured(_both_ways(edges, keys), "links")
     out = nodes.select(*keys, "id", F.col("id").alias("component"))
-    while links.limit(1).count():
+    while seen["rows"]:
         hooks = links.groupBy(*keys, "src").agg(F.min("dst").alias("root")).filter("root < src")
-        roots = _to_roots(hooks, keys)
+        roots, rows = _to_roots(hooks, keys)
+        moved = links
         for end in ("src", "dst"):
             there = roots.select(*keys, F.col("src").alias(end), "root")
-            links_at = attach(links if end == "src" else links_at, there, [*keys, end], costly=False)
-            links_at = links_at.withColumn(end, F.coalesce("root", end)).drop("root")
-        contracted = materialize(links_at.filter("src <> dst").distinct(), "links")
+            moved = attach(moved, there, [*keys, end], rows=rows)
+            moved = moved.withColumn(end, F.coalesce("root", end)).drop("root")
+        contracted, seen = measured(moved.filter("src <> dst").distinct(), "links")
         release(links)
         links = contracted
-        moved = roots.select(*keys, F.col("src").alias("component"), "root")
-        out = attach(out, moved, [*keys, "component"], costly=False)
+        there = roots.select(*keys, F.col("src").alias("component"), "root")
+        out = attach(out, there, [*keys, "component"], rows=rows)
         out = out.withColumn("component", F.coalesce("root", "component")).drop("root")
     return out
 

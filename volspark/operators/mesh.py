@@ -16,7 +16,7 @@ from volspark.operators.labels import apply_affine
 from volspark.operators.nearest import nearest_points
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import attach
-from volspark.plans.storage import materialize, release
+from volspark.plans.storage import materialize, measured, release
 
 KEYS = (SUBJECT,)
 _SIDES = (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))
@@ -152,16 +152,15 @@ def smooth_labels(faces: DataFrame, labels: DataFrame, cortex: DataFrame, keys:
     fill = labels.agg(F.max("label")).first()[0] + 1
     marked = labels.join(inside, [*keys, "vid"], "left")
     start = F.when(F.col("_in") & F.col("label").isin(-1, 0), fill).otherwise(F.col("label")).cast("int")
-    current = materialize(marked.select(*keys, "vid", start.alias("label")), "labels")
+    current, seen = measured(marked.select(*keys, "vid", start.alias("label")), "labels", open=F.count_if(F.col("label") == fill))
     inner = materialize(inner_faces(faces, cortex, keys), "faces")
     near = materialize(ring(adjacency(inner, keys), 1, keys), "ring")
-    left = current.filter(F.col("label") == fill).count()
+    left = seen["open"]
     rounds = 0
     while left and rounds < max_rounds:
-        step = materialize(mode_filter(near, current, fill, [fill], keys), "labels")
+        step, seen = measured(mode_filter(near, current, fill, [fill], keys), "labels", open=F.count_if(F.col("label") == fill))
         release(current)
-        current, rounds = step, rounds + 1
-        now = current.filter(F.col("label") == fill).count()
+        current, rounds, now = step, rounds + 1, seen["open"]
         if now == left:
             break
         left = now

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import attach
-from volspark.plans.storage import materialize
+from volspark.plans.storage import materialize, measured
 
 LEAF_POINTS = 32
 MAX_DEPTH = 20
@@ -23,7 +23,7 @@ LEVELS_PER_STEP = 2
 
 
 def _cell(level: Column | int, frame: tuple[list[float], float]) -> Column:
-    """Box number at a level: three interleaved-free coordinates packed into one integer."""
+    """Box number at a level: three coordinates packed into one integer."""
     low, side = frame
     scale = float(2**level)
     parts = []
@@ -58,9 +58,8 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     coords = [F.col(a).cast("double").alias(a) for a in "xyz"]
     points = targets.select(*keys, "tid", *coords).groupBy(*keys, "x", "y", "z").agg(F.min("tid").alias("tid"))
-    points = materialize(points, "targets")
-    ends = points.agg(F.count(F.lit(1)).alias("n"), *(f(a).alias(f"{s}{a}") for a in "xyz" for s, f in (("lo", F.min), ("hi", F.max)))).first()
-    total = ends["n"]
+    points, ends = measured(points, "targets", **{f"{s}{a}": f(a) for a in "xyz" for s, f in (("lo", F.min), ("hi", F.max))})
+    total = ends["rows"]
     frame = ([ends[f"lo{a}"] or 0.0 for a in "xyz"], max([1e-12, *((ends[f"hi{a}"] or 0.0) - (ends[f"lo{a}"] or 0.0) for a in "xyz")]))
     depth = max(0, min(MAX_DEPTH, ceil(log(max(total, 1) / LEAF_POINTS) / log(4)))) if total > LEAF_POINTS else 0
     while depth < MAX_DEPTH:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volspark.plans.storage import materialize
+from volspark.plans.storage import known_rows, materialize, measured
 
 # Largest lookup side that is broadcast: about 16 MB for rows of a few numbers.
 BROADCAST_ROWS = 200_000
@@ -29,17 +29,22 @@ def attach(
     how: str = "left",
     costly: bool = True,
     max_rows: int = BROADCAST_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join a lookup with one row per key to a table of any size.
 
     The lookup is counted first.  Within ``max_rows`` it is broadcast; beyond that the rows are joined by
     shuffle, with the hot keys taken out (:func:`split_hot_join`).  A ``costly`` lookup (an aggregate) is
-    written first, so that counting and joining do not compute it twice.
+    written first, so that counting and joining do not compute it twice.  ``rows`` gives a known count.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if costly:
+    rows = rows if rows is not None else known_rows(small)
+    if rows is None and costly:
         small = materialize(small, "lookup")
-    if small.limit(max_rows + 1).count() <= max_rows:
+        rows = known_rows(small)
+    if rows is None:
+        rows = small.limit(max_rows + 1).count()
+    if rows <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return split_hot_join(big, small, on, how)
 
@@ -56,8 +61,8 @@ def split_hot_join(
     if how not in ("left", "inner"):
         raise ValueError("split_hot_join supports left and inner joins")
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = materialize(counts, "keycount")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    counts, seen = measured(counts, "keycount", total=F.sum("_rows"))
+    total = seen["total"] or 0
     hot = F.broadcast(counts.filter(F.col("_rows") > total / parts).select(*on))
     hot_small = F.broadcast(small.join(hot, on, "left_semi"))
     hot_rows = big.join(hot, on, "left_semi").join(hot_small, on, how)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.plans.joins import attach
-from volspark.plans.storage import materialize
+from volspark.plans.storage import known_rows, materialize
 
 CHUNK = 65_536
 DIRECT_ROWS = 1_000_000
@@ -73,9 +73,10 @@ def running_counts(
     """
     group = list(group)
     counts = materialize(counts, "counts")
-    sizes = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_d"), F.sum(n).alias("total"))
-    largest = sizes.agg(F.max("_d")).first()[0]
-    if largest is None or largest <= direct_rows:
+    largest = known_rows(counts)
+    if largest > direct_rows:
+        largest = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
+    if largest <= direct_rows:
         upto = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*group)
         return counts.withColumn("cum", F.sum(n).over(upto)).withColumn("total", F.sum(n).over(whole))

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDER_CONF = "spark.checkpoint.dir"
 
@@ -33,12 +34,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write ``df`` once and return it as a plain table scan."""
+def measured(df: DataFrame, tag: str = "step", **measures: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` once; return it as a plain scan with its row count (``rows``) and further aggregates.
+
+    The numbers are observed while writing, so they cost no extra job.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/volspark/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    count = F.count(F.lit(1)).alias("rows")
+    df.observe(seen, count, *(m.alias(n) for n, m in measures.items())).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    numbers = dict(seen.get)
+    out._volspark_rows = numbers["rows"]
+    return out, numbers
+
+
+def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
+    """Write ``df`` once and return it as a plain table scan."""
+    return measured(df, tag)[0]
+
+
+def known_rows(df: DataFrame) -> int | None:
+    """Row count of a table written here; None for any other DataFrame."""
+    return df.__dict__.get("_volspark_rows")
 
 
 def release(df: DataFrame | None) -> None:
