@@ -15,22 +15,37 @@ from pyspark.sql import functions as F
 
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import attach
-from volspark.plans.storage import materialize, measured
+from volspark.plans.storage import materialize, measured, release
 
 LEAF_POINTS = 32
 MAX_DEPTH = 20
 LEVELS_PER_STEP = 2
 
 
-def _cell(level: Column | int, frame: tuple[list[float], float]) -> Column:
-    """Box number at a level: three coordinates packed into one integer."""
+_BITS = 21
+_MASK = (1 << _BITS) - 1
+_SIDES = [f"{s}{a}" for a in "xyz" for s in ("lo", "hi")]
+
+
+def _cell(level: int, frame: tuple[list[float], float]) -> Column:
+    """Box number of a point at a level: three coordinates packed into one integer."""
     low, side = frame
-    scale = float(2**level)
     parts = []
     for a, start in zip("xyz", low, strict=True):
-        inside = F.floor((F.col(a) - F.lit(start)) / F.lit(side) * F.lit(scale))
+        inside = F.floor((F.col(a) - F.lit(start)) / F.lit(side) * F.lit(float(2**level)))
         parts.append(F.least(F.greatest(inside, F.lit(0)), F.lit(2**level - 1)))
-    return F.shiftleft(parts[0], 42) + F.shiftleft(parts[1], 21) + parts[2]
+    return F.shiftleft(parts[0], 2 * _BITS) + F.shiftleft(parts[1], _BITS) + parts[2]
+
+
+def _outer(cell: str, levels: int) -> Column:
+    """Number of the box that holds a box, ``levels`` further out."""
+    c = F.col(cell)
+    parts = [F.shiftright(F.shiftright(c, k * _BITS).bitwiseAND(_MASK), levels) for k in (2, 1, 0)]
+    return F.shiftleft(parts[0], 2 * _BITS) + F.shiftleft(parts[1], _BITS) + parts[2]
+
+
+def _merged() -> list[Column]:
+    return [(F.min if s.startswith("lo") else F.max)(s).alias(s) for s in _SIDES]
 
 
 def _near2() -> Column:
@@ -61,27 +76,33 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
     points, ends = measured(points, "targets", **{f"{s}{a}": f(a) for a in "xyz" for s, f in (("lo", F.min), ("hi", F.max))})
     total = ends["rows"]
     frame = ([ends[f"lo{a}"] or 0.0 for a in "xyz"], max([1e-12, *((ends[f"hi{a}"] or 0.0) - (ends[f"lo{a}"] or 0.0) for a in "xyz")]))
-    depth = max(0, min(MAX_DEPTH, ceil(log(max(total, 1) / LEAF_POINTS) / log(4)))) if total > LEAF_POINTS else 0
-    while depth < MAX_DEPTH:
-        fullest = points.groupBy(*keys, _cell(depth, frame).alias("cell")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if not fullest or fullest <= 2 * LEAF_POINTS:
+    depth = max(0, min(MAX_DEPTH, ceil(log(total / LEAF_POINTS) / log(4)))) if total > LEAF_POINTS else 0
+    own = [f(a).alias(f"{s}{a}") for a in "xyz" for s, f in (("lo", F.min), ("hi", F.max))]
+    while True:
+        filled = points.groupBy(*keys, _cell(depth, frame).alias("leaf")).agg(F.count(F.lit(1)).alias("_n"), *own)
+        boxes, seen = measured(filled, "boxes", fullest=F.max("_n"))
+        if depth >= MAX_DEPTH or not seen["fullest"] or seen["fullest"] <= 2 * LEAF_POINTS:
             break
+        release(boxes)
         depth += 1
 
+    # an upper bound to start with: the far corner of the smallest filled box round the query
     levels = sorted({0, *range(depth, 0, -LEVELS_PER_STEP)})
-    box = [f(a).alias(f"{s}{a}") for a in "xyz" for s, f in (("lo", F.min), ("hi", F.max))]
-    names = [f"{s}{a}" for a in "xyz" for s in ("lo", "hi")]
-    asked = queries.select(*keys, "qid", *coords)
-    roots = points.groupBy(*keys).agg(*box).withColumn("cell", F.lit(0).cast("long")).select(*keys, "cell")
-    kept = attach(asked, roots, keys, "inner")
+    kept = queries.select(*keys, "qid", *coords).withColumn("_limit", F.lit(float("inf")))
+    for level in levels:
+        at = boxes.groupBy(*keys, _outer("leaf", depth - level).alias("cell")).agg(*_merged())
+        at = at.select(*keys, "cell", F.struct(*_SIDES).alias("_b"))
+        kept = attach(kept.withColumn("cell", _cell(level, frame)), at, [*keys, "cell"], "inner" if level == 0 else "left")
+        kept = kept.withColumn("_limit", F.least("_limit", _far2() * (1 + 1e-9))).drop("_b", "cell")
+    kept = kept.withColumn("cell", F.lit(0).cast("long"))
     for outer, inner in zip(levels, levels[1:], strict=False):
-        boxes = points.groupBy(*keys, _cell(outer, frame).alias("cell"), _cell(inner, frame).alias("_inner")).agg(*box)
-        children = boxes.groupBy(*keys, "cell").agg(F.collect_list(F.struct("_inner", *names)).alias("_children"))
-        opened = attach(kept, children, [*keys, "cell"], "inner").select(*keys, "qid", "x", "y", "z", F.explode("_children").alias("_b"))
-        bound = F.min(_far2()).over(Window.partitionBy(*keys, "qid"))
-        opened = opened.withColumn("_limit", bound * (1 + 1e-9)).filter(_near2() <= F.col("_limit"))
-        step = materialize(opened.select(*keys, "qid", "x", "y", "z", F.col("_b._inner").alias("cell")), "descent")
-        kept = step
+        inside = boxes.groupBy(*keys, _outer("leaf", depth - outer).alias("cell"), _outer("leaf", depth - inner).alias("_inner")).agg(*_merged())
+        children = inside.groupBy(*keys, "cell").agg(F.collect_list(F.struct("_inner", *_SIDES)).alias("_children"))
+        opened = attach(kept, children, [*keys, "cell"], "inner").select(*keys, "qid", "x", "y", "z", "_limit", F.explode("_children").alias("_b"))
+        opened = opened.filter(_near2() <= F.col("_limit"))
+        bound = F.min(F.least("_limit", _far2() * (1 + 1e-9))).over(Window.partitionBy(*keys, "qid"))
+        opened = opened.withColumn("_limit", bound).filter(_near2() <= F.col("_limit"))
+        kept = materialize(opened.select(*keys, "qid", "x", "y", "z", "_limit", F.col("_b._inner").alias("cell")), "descent")
     leaf = points.groupBy(*keys, _cell(levels[-1], frame).alias("cell")).agg(
         F.collect_list(F.struct(*(F.col(a).alias(f"t{a}") for a in "xyz"), "tid")).alias("_points")
     )

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volspark.operators.grid import box_sum, neighbours, stencil
+from volspark.operators.grid import borders, box_sum, neighbours, send
 from volspark.operators.labels import VOXEL
 from volspark.operators.regions import SUBJECT, is_in
 from volspark.plans.joins import attach
@@ -25,27 +25,18 @@ FREQUENCY_DECIMALS = 6
 
 
 def boundary_voxels(voxels: DataFrame, guide: str = "norm", labels: Sequence[int] | None = None) -> DataFrame:
-    """Voxels on a 6-neighbour boundary of the wanted labels, with the labels of their 3x3x3 window.
+    """Voxels on a 6-neighbour boundary of the wanted labels (on either side of it)."""
+    wanted = F.col("seg") if labels is None else F.when(is_in("seg", labels), F.col("seg")).otherwise(-1)
+    marked = borders(voxels.withColumn("_wanted", wanted.cast("int")), "_wanted", 6, ["seg", guide])
+    return marked.filter("border").select(*VOXEL, F.col("seg").alias("own"), F.col(guide).cast("double").alias("pv"))
 
-    One aggregate yields the boundary test, the 6-neighbour labels and the window labels (at most 27).
-    """
+
+def window_labels(voxels: DataFrame) -> DataFrame:
+    """Labels in the 3x3x3 window of every position, with ``face``: whether one lies at a face neighbour or the voxel."""
     faces = neighbours(6)
-    offsets = [*faces, *(o for o in neighbours(26) if o not in faces)]
-    by_face = F.col("_k") <= len(faces)
-    wanted = F.col("seg") if labels is None else F.when(is_in("seg", labels), F.col("seg")).otherwise(-1)
-    face_label = F.when(by_face, wanted)
-    out = stencil(
-        voxels.select(*VOXEL, "seg", guide),
-        offsets,
-        [
-            (F.min(face_label) != F.max(face_label)).alias("border"),
-            F.collect_set("seg").alias("window_labels"),
-            F.collect_set(F.when(by_face, F.col("seg"))).alias("face_labels"),
-            F.max(F.when(F.col("_k") == 0, F.col("seg"))).alias("own"),
-        ],
-        [guide],
-    )
-    return out.filter("border").drop("border").withColumnRenamed("own", "seg")
+    offsets = [(0, 0, 0), *faces, *(o for o in neighbours(26) if o not in faces)]
+    near = F.max((F.col("_k") <= len(faces)).cast("int")).alias("face")
+    return send(voxels.select(*VOXEL, "seg"), offsets).groupBy(*VOXEL, "seg").agg(near)
 
 
 def partial_volume_maps(
@@ -57,40 +48,34 @@ def partial_volume_maps(
     smallest.  Without a valid label the voxel is all its own.  ``legacy`` drops the other share unless
     the voxel touches the chosen label by a face.
     """
-    edge = materialize(boundary_voxels(voxels, guide, labels), "boundary")
+    edge = boundary_voxels(voxels, guide, labels)
     counted = voxels.select(*VOXEL, "seg", F.lit(1.0).alias("_one"), F.col(guide).cast("double").alias("_v"))
     local = box_sum(counted, dims, {"_count": "_one", "_sum": "_v"}, WINDOW, "constant", extra=["seg"])
-    asked = edge.select(*VOXEL, F.explode("window_labels").alias("seg"))
-    near = asked.join(local, [*VOXEL, "seg"])
-    mean = F.round(F.col("_sum") / F.col("_count"), MEAN_DECIMALS)
-    near = near.select(*VOXEL, F.col("seg").alias("c"), mean.alias("mean"), F.round(F.col("_count") / WINDOW**3, FREQUENCY_DECIMALS).alias("freq"))
-
-    pv = F.col("pv")
-    rows = edge.select(*VOXEL, "seg", F.col(guide).cast("double").alias("pv"), "face_labels").join(near, VOXEL)
-    per_voxel = rows.groupBy(*VOXEL).agg(
-        F.max("seg").alias("seg"),
-        F.max("pv").alias("pv"),
-        F.max(F.when(F.col("c") == F.col("seg"), F.col("mean"))).alias("own_mean"),
-        F.first("face_labels").alias("face_labels"),
-        F.collect_list(F.struct("freq", (-F.col("c")).alias("order"), "mean")).alias("near"),
-    )
-    own = F.col("own_mean")
-    valid = F.filter(
-        "near",
-        lambda n: (-n["order"] != F.col("seg")) & ((n["mean"] > pv) != (own > pv)) & (n["mean"] != pv) & (F.abs(own - pv) > EPS),
+    near = window_labels(voxels).join(edge, VOXEL).join(local, [*VOXEL, "seg"])
+    near = near.select(
+        *VOXEL, "own", "pv", "face", F.col("seg").alias("c"),
+        F.round(F.col("_sum") / F.col("_count"), MEAN_DECIMALS).alias("mean"),
+        F.round(F.col("_count") / WINDOW**3, FREQUENCY_DECIMALS).alias("freq"),
+    )
+    own_mean = F.max(F.when(F.col("c") == F.col("own"), F.col("mean"))).over(Window.partitionBy(*VOXEL))
+    near = near.withColumn("seg_mean", own_mean)
+    pv, own, mean = F.col("pv"), F.col("seg_mean"), F.col("mean")
+    valid = (F.col("c") != F.col("own")) & ((mean > pv) != (own > pv)) & (mean != pv) & (F.abs(own - pv) > EPS)
+    rank = F.struct("freq", (-F.col("c")).alias("order"), "mean", "face")
+    chosen = near.groupBy(*VOXEL).agg(
+        F.max("own").alias("seg"), F.max("pv").alias("pv"), F.max("seg_mean").alias("seg_mean"), F.max(F.when(valid, rank)).alias("_best")
     )
-    best = F.array_max(valid)
-    chosen = per_voxel.withColumn("_best", best)
     apart = own - F.col("_best.mean")
     share = F.when(F.col("_best").isNull() | (F.abs(apart) <= EPS), 1.0).otherwise(
         F.least(F.greatest((pv - F.col("_best.mean")) / apart, F.lit(0.0)), F.lit(1.0))
     )
-    out = chosen.withColumn("mix", share).withColumn("nbr", F.coalesce(-F.col("_best.order"), F.lit(0)).cast("int"))
+    out = chosen.withColumn("mix", share)
     rest = 1.0 - F.col("mix")
     if legacy:
-        rest = F.when(F.array_contains("face_labels", F.col("nbr")), rest).otherwise(0.0)
+        rest = F.when(F.col("_best.face") == 1, rest).otherwise(0.0)
+    nbr = F.coalesce(-F.col("_best.order"), F.lit(0)).cast("int")
     return out.select(
-        *VOXEL, "seg", "nbr", own.alias("seg_mean"), F.coalesce("_best.mean", F.lit(0.0)).alias("nbr_mean"), "mix", rest.alias("nbr_mix")
+        *VOXEL, "seg", nbr.alias("nbr"), "seg_mean", F.coalesce("_best.mean", F.lit(0.0)).alias("nbr_mean"), "mix", rest.alias("nbr_mix")
     )
 
 
