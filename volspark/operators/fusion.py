@@ -21,6 +21,20 @@ def fuse_scores(scores: DataFrame, weights: dict, plane: str = "plane", key: Seq
     return rows.groupBy(*key, "c").agg(F.sum(F.col("_w") * F.col("_s")).alias("score"))
 
 
+def fuse_arrays(scores: DataFrame, weights: dict, classes: int, plane: str = "plane", key: Sequence[str] = ("voxel",), s: str = "s") -> DataFrame:
+    """Weighted sum per voxel as one array of ``classes`` scores.
+
+    With the class count known each class is a column of one aggregate: planes combine before the single
+    shuffle and no row is multiplied by the number of classes.
+    """
+    kind = dict(scores.dtypes)[plane]
+    table = literal_table(scores.sparkSession, list(weights.items()), f"{plane} {kind}, _w double")
+    rows = scores.join(table, plane)
+    sums = [F.sum(F.col("_w") * F.col(s)[c]).alias(f"_{c}") for c in range(classes)]
+    fused = rows.groupBy(*key).agg(*sums)
+    return fused.select(*key, F.array(*(F.col(f"_{c}") for c in range(classes))).alias(s))
+
+
 def hard_labels(fused: DataFrame, key: Sequence[str] = ("voxel",)) -> DataFrame:
     """Class of the highest score; of equal scores the lowest class."""
     best = F.max_by("c", F.struct("score", -F.col("c")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.operators.regions import SUBJECT
-from volspark.plans.joins import attach
+from volspark.plans.joins import BROADCAST_ROWS, attach
 from volspark.plans.ordered import forward_fill, next_value
 
 # Words that mark a failing line, and phrases that make it harmless.
@@ -87,7 +87,7 @@ def command_times(lines: DataFrame, by: Sequence[str] = ("file",), chunk: int =
     timed = timing_lines(sections(lines, by, chunk))
     commands = timed.groupBy(*by).agg(F.collect_set("cmd").alias("_cmds"))
     plain = lines.filter(~_has_any(F.col("line"), NOT_A_COMMAND))
-    named = attach(plain, commands, by, "inner").withColumn(
+    named = attach(plain, commands, by, "inner", max_rows=BROADCAST_ROWS // 64).withColumn(
         "cmd", F.explode(F.filter("_cmds", lambda c: F.contains(F.col("line"), F.concat(c, F.lit(" ")))))
     )
     rows = named.select(*by, "cmd", "line_no", F.col("line").alias("_line")).unionByName(

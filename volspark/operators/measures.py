@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.functions.matrix import det3
+from volspark.operators.grid import split_sided_label
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import literal_table
 
@@ -149,6 +150,15 @@ def class_measures(partials: DataFrame, catalogue: dict[str, Measure] = CATALOGU
     return every.join(sums, [SUBJECT, "key"], "left").fillna(0.0, subset=["value"])
 
 
+def sided_measures(voxels: DataFrame, dims: DataFrame, headers: DataFrame, wanted: int = 77) -> DataFrame:
+    """Volumes of an unsided label split into left and right (``subject_id, key, value``)."""
+    sided = split_sided_label(voxels, dims, LEFT_MARKERS, wanted, LEFT_SHARE)
+    counts = sided.groupBy(SUBJECT).agg(*(F.count_if(F.col("side") == s).alias(k) for s, k in (("left", "lh"), ("right", "rh"))))
+    sized = headers.select(SUBJECT, "vox_vol").join(counts, SUBJECT, "left").fillna(0, subset=["lh", "rh"])
+    rows = F.explode(F.array(*(F.struct(F.lit(f"{h}WM-hypointensities").alias("key"), (F.col(h) * F.col("vox_vol")).alias("value")) for h in ("lh", "rh"))))
+    return sized.select(SUBJECT, rows.alias("r")).select(SUBJECT, "r.*")
+
+
 def derived_measures(
     values: DataFrame, keys: Sequence[str], headers: DataFrame, catalogue: dict[str, Measure] = CATALOGUE
 ) -> DataFrame:

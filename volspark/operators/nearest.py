@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.operators.regions import SUBJECT
-from volspark.plans.joins import attach
+from volspark.plans.joins import BROADCAST_ROWS, attach
 from volspark.plans.storage import materialize, measured, release
 
 LEAF_POINTS = 32
 MAX_DEPTH = 20
 LEVELS_PER_STEP = 2
+# Lookups whose rows hold up to 64 boxes or points are broadcast only when they are that much shorter.
+_WIDE_ROWS = BROADCAST_ROWS // 64
 
 
 _BITS = 21
@@ -98,7 +100,7 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
     for outer, inner in zip(levels, levels[1:], strict=False):
         inside = boxes.groupBy(*keys, _outer("leaf", depth - outer).alias("cell"), _outer("leaf", depth - inner).alias("_inner")).agg(*_merged())
         children = inside.groupBy(*keys, "cell").agg(F.collect_list(F.struct("_inner", *_SIDES)).alias("_children"))
-        opened = attach(kept, children, [*keys, "cell"], "inner").select(*keys, "qid", "x", "y", "z", "_limit", F.explode("_children").alias("_b"))
+        opened = attach(kept, children, [*keys, "cell"], "inner", max_rows=_WIDE_ROWS).select(*keys, "qid", "x", "y", "z", "_limit", F.explode("_children").alias("_b"))
         opened = opened.filter(_near2() <= F.col("_limit"))
         bound = F.min(F.least("_limit", _far2() * (1 + 1e-9))).over(Window.partitionBy(*keys, "qid"))
         opened = opened.withColumn("_limit", bound).filter(_near2() <= F.col("_limit"))
@@ -106,7 +108,7 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
     leaf = points.groupBy(*keys, _cell(levels[-1], frame).alias("cell")).agg(
         F.collect_list(F.struct(*(F.col(a).alias(f"t{a}") for a in "xyz"), "tid")).alias("_points")
     )
-    met = attach(kept, leaf, [*keys, "cell"], "inner").select(*keys, "qid", "x", "y", "z", F.explode("_points").alias("_t"))
+    met = attach(kept, leaf, [*keys, "cell"], "inner", max_rows=_WIDE_ROWS).select(*keys, "qid", "x", "y", "z", F.explode("_points").alias("_t"))
     d2 = sum(((F.col(a) - F.col(f"_t.t{a}")) * (F.col(a) - F.col(f"_t.t{a}")) for a in "xyz"), F.lit(0.0))
     best = met.groupBy(*keys, "qid").agg(F.min(F.struct(d2.alias("d2"), F.col("_t.tid").alias("tid"))).alias("_m"))
     return best.select(*keys, "qid", "_m.tid", F.sqrt("_m.d2").alias("distance"))

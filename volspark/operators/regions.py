@@ -241,6 +241,33 @@ def region_stats(
     return with_index(rows).select(*STAT_COLUMNS)
 
 
+# Cerebellum groups (left and right cortex, vermis) and the name ending they leave out.
+CEREBELLUM_GROUPS = {8: "Left", 47: "Right", 632: "Vermis"}
+LEFT_OUT_ENDING = "Medullare"
+
+
+def cerebellum_groups(lut: DataFrame) -> DataFrame:
+    """Members of the cerebellum groups by the side that their structure name starts with."""
+    name = F.col("label_name")
+    side = None
+    for group_id, word in CEREBELLUM_GROUPS.items():
+        found = name.startswith(word)
+        side = F.when(found, group_id) if side is None else side.when(found, group_id)
+    rows = lut.filter(~name.endswith(LEFT_OUT_ENDING)).select(side.cast("int").alias("group_id"), F.col("id").alias("member_id"))
+    return rows.filter("group_id IS NOT NULL")
+
+
+def sorted_table(stats: DataFrame) -> DataFrame:
+    """Global order by subject and label (range partitioned)."""
+    return stats.orderBy(*REGION)
+
+
+def member_mask(voxels: DataFrame, groups: DataFrame) -> DataFrame:
+    """Voxels with any label that belongs to some group."""
+    members = groups.select(F.col("member_id").alias("seg")).distinct()
+    return attach(voxels, members, "seg", "inner", costly=False)
+
+
 # --- volumes, boxes, centroids -----------------------------------------------------------------------
 
 

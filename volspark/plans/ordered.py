@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volspark.plans.joins import attach
+from volspark.plans.joins import BROADCAST_ROWS, attach
 from volspark.plans.storage import known_rows, materialize
 
 CHUNK = 65_536
@@ -84,7 +84,7 @@ def running_counts(
     steps = [i / buckets for i in range(1, buckets)]
     cuts = counts.groupBy(*group).agg(F.percentile_approx(value, steps, 10 * buckets).alias("_cuts"))
     if group:
-        cut_rows = attach(counts, cuts, group)
+        cut_rows = attach(counts, cuts, group, max_rows=BROADCAST_ROWS // buckets)
     else:
         cut_rows = counts.withColumn("_cuts", F.lit(cuts.first()[0]))
     placed = cut_rows.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")

@@ -135,6 +135,13 @@ def view_aggregation(spark, d):
 @query("view_aggregation_argmax", with_(SCORES, "f2 AS (SELECT voxel, c, sum(s*CASE plane WHEN 2 THEN 1 ELSE 2 END) AS score FROM scores GROUP BY 1,2)", body="""
 SELECT voxel, CAST(c AS INT) AS label, score FROM f2 QUALIFY row_number() OVER (PARTITION BY voxel ORDER BY score DESC, c)=1"""))
 def view_aggregation_argmax(spark, d):
+    fused = V.fuse_arrays(scores(spark, d), {0: 2.0, 1: 2.0, 2: 1.0}, 4)
+    return fused.select("voxel", V.argmax("s").alias("label"), F.array_max("s").alias("score"))
+
+
+@query("view_aggregation_long", with_(SCORES, "f2 AS (SELECT voxel, c, sum(s*CASE plane WHEN 2 THEN 1 ELSE 2 END) AS score FROM scores GROUP BY 1,2)", body="""
+SELECT voxel, CAST(c AS INT) AS label, score FROM f2 QUALIFY row_number() OVER (PARTITION BY voxel ORDER BY score DESC, c)=1"""))
+def view_aggregation_long(spark, d):
     return V.hard_labels(V.fuse_scores(scores(spark, d), {0: 2.0, 1: 2.0, 2: 1.0}))
 
 

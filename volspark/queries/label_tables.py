@@ -487,3 +487,37 @@ def import_measures(spark, d):
     other = own.filter(F.col("key") == "TFFC").withColumn("value", F.lit(-1.0))
     extra = other.withColumn("key", F.lit("Extra")).withColumn("value", F.lit(7.0))
     return S.import_measures(own, other.unionByName(extra))
+
+
+@query("sided_label_volumes", with_(EV, "off AS (SELECT dx, dy, dz FROM (SELECT unnest(range(-3,4)) dx), (SELECT unnest(range(-3,4)) dy), (SELECT unnest(range(-3,4)) dz))",
+    "v AS (SELECT subject_id, x, y, z, CASE blk WHEN 1 THEN 2 WHEN 2 THEN 77 WHEN 3 THEN 10 ELSE 50 END AS l FROM ev)",
+    "t AS (SELECT a.subject_id, a.x AS x0, a.y AS y0, a.z AS z0, " + ", ".join(
+        f"CASE WHEN a.{a}+o.d{a}<0 THEN -1-(a.{a}+o.d{a}) WHEN a.{a}+o.d{a}>={n} THEN {2 * n}-1-(a.{a}+o.d{a}) ELSE a.{a}+o.d{a} END AS {a}" for a, n in (("x", 8), ("y", 8), ("z", 100)))
+    + " FROM v a, off o WHERE a.l=77)",
+    "f AS (SELECT subject_id, x0, y0, z0, count(*) FILTER (v.l IN (2,10))/343.0::DOUBLE AS f FROM t JOIN v USING (subject_id, x, y, z) GROUP BY 1,2,3,4)", body="""
+SELECT subject_id, 'lhWM-hypointensities' AS key, count(*) FILTER (f>0.2)*0.5::DOUBLE AS value FROM f GROUP BY 1 UNION ALL SELECT subject_id, 'rhWM-hypointensities', count(*) FILTER (NOT f>0.2)*0.5::DOUBLE FROM f GROUP BY 1"""))
+def sided_label_volumes(spark, d):
+    b = F.col("blk")
+    label = F.when(b == 1, 2).when(b == 2, 77).when(b == 3, 10).otherwise(50)
+    heads = ev_dims(spark, d).select("subject_id", F.lit(0.5).alias("vox_vol"))
+    return S.sided_measures(ev(spark, d).withColumn("seg", label), ev_dims(spark, d), heads)
+
+
+@query("cerebellum_groups", """SELECT CAST(CASE WHEN c_name LIKE '%1%' THEN 8 WHEN c_name LIKE '%2%' THEN 47 ELSE 632 END AS INT) AS group_id, c_custkey AS member_id FROM customer
+WHERE (c_name LIKE '%1%' OR c_name LIKE '%2%' OR c_name LIKE '%3%') AND c_custkey%10<>0""")
+def cerebellum_groups(spark, d):
+    c = table(spark, d, "customer")
+    side = F.when(F.contains("c_name", F.lit("1")), "Left").when(F.contains("c_name", F.lit("2")), "Right").when(F.contains("c_name", F.lit("3")), "Vermis").otherwise("-")
+    name = F.concat(side, F.when(F.col("c_custkey") % 10 == 0, "_Medullare").otherwise("_Cortex"))
+    return R.cerebellum_groups(c.select(F.col("c_custkey").alias("id"), name.alias("label_name")))
+
+
+@query("sorted_region_table", with_(LV, body="SELECT subject_id, seg, count(*) AS n FROM lv GROUP BY 1,2"))
+def sorted_region_table(spark, d):
+    return R.sorted_table(counted(lv(spark, d), "seg"))
+
+
+@query("member_mask", with_(LV, body="SELECT subject_id, x, y, z, seg FROM lv WHERE seg IN (SELECT r_regionkey FROM region)"))
+def member_mask(spark, d):
+    groups = table(spark, d, "region").select(F.lit(1).alias("group_id"), F.col("r_regionkey").alias("member_id"))
+    return R.member_mask(lv(spark, d).select(*L.VOXEL, "seg"), groups)
