@@ -1,5 +1,7 @@
 """The physical plans keep to what scales."""
 
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +17,7 @@ def plan(spark, name):
 @pytest.mark.parametrize("name", ["region_stats_basic", "border_6", "view_aggregation_argmax", "mode_filter", "stats_regression", "class_counts", "log_error_scan"])
 def test_no_cartesian_product_and_no_python(spark, name):
     text = plan(spark, name)
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
+    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas"):
         assert word not in text
 
 
@@ -30,18 +32,36 @@ def test_fusion_shuffles_voxels_once(spark):
     assert sum("hashpartitioning(voxel" in line for line in text.splitlines()) <= 2
 
 
-def test_shared_folder_is_taken_from_the_session(spark, tmp_path):
-    from volspark.plans.storage import materialize, release
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        out = materialize(spark.range(5), "probe")
-        assert str(tmp_path) in out.inputFiles()[0] and out.count() == 5
-        release(out)
-        assert not list((tmp_path / "volspark").iterdir())
-    finally:
-        if before is not None:
-            spark.conf.set("spark.checkpoint.dir", before)
-        else:
-            spark.conf.unset("spark.checkpoint.dir")
+class _Session:
+    """As much of a session as the folder choice reads."""
+
+    def __init__(self, master, folder=None):
+        self.folder, self.master, self.applicationId = folder, master, f"{master}-{folder}"
+        self.conf = self.sparkContext = self
+
+    def getConf(self):
+        return self
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+
+def test_shared_folder_is_taken_from_the_session():
+    from volspark.plans.storage import shared_folder
+
+    assert shared_folder(_Session("yarn", "/shared/x")) == "/shared/x"
+    assert shared_folder(_Session("local[2]", "/shared/x")) == "/shared/x"
+    local = _Session("local[2]")
+    assert shared_folder(local) == shared_folder(local) and shared_folder(local).startswith("/tmp/spark-")
+    with pytest.raises(RuntimeError):
+        shared_folder(_Session("yarn"))
+
+
+def test_intermediate_tables_can_be_released(spark):
+    from volspark.plans.storage import known_rows, materialize, release, shared_folder
+
+    out = materialize(spark.range(5), "probe")
+    name = out.inputFiles()[0]
+    assert shared_folder(spark) in name and known_rows(out) == 5 and out.count() == 5
+    release(out)
+    assert not Path(name.removeprefix("file:").replace("///", "/")).exists()

@@ -16,22 +16,25 @@ from pyspark.sql import functions as F
 _FOLDER_CONF = "spark.checkpoint.dir"
 
 
+# Temporary folders of local sessions without the setting, by application.
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables, as the session names it.
 
     A session without the setting gets one only when it runs in a single local JVM, where the driver's
     disk is every task's disk.
     """
-    folder = spark.conf.get(_FOLDER_CONF, None)
-    if folder is None:
-        folder = spark.sparkContext.getConf().get(_FOLDER_CONF)
+    folder = spark.conf.get(_FOLDER_CONF, None) or spark.sparkContext.getConf().get(_FOLDER_CONF)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {_FOLDER_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(_FOLDER_CONF, folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[context.applicationId]
 
 
 def measured(df: DataFrame, tag: str = "step", **measures: Column) -> tuple[DataFrame, dict]:
