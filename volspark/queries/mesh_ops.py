@@ -202,7 +202,7 @@ def point_moments(spark, d):
     return m.select("subject_id", "n", F.round("s_px", 6).alias("sx"), F.round("py_qy", 6).alias("py_qy"), F.round("pz_pz", 6).alias("pz_pz"))
 
 
-@query("align_label_centroids")
+@query("align_label_centroids", with_(EV, body="SELECT subject_id, CAST(i//4 AS INT) AS r, CAST(i%4 AS INT) AS c, ([1,0,0,2,0,1,0,0,0,0,1,-3,0,0,0,1])[i+1]::DOUBLE AS v FROM (SELECT DISTINCT subject_id FROM ev), (SELECT unnest(range(0,16)) i)"))
 def align_label_centroids(spark, d):
     v = ev(spark, d).filter("blk > 0").select("subject_id", "x", "y", "z", F.col("blk").alias("seg"))
     return matrix_rows(N.align_centroids(v, v.withColumn("x", F.col("x") + 2).withColumn("z", F.col("z") - 3)))
