@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,19 @@ def has_letter(raw: bytes | None) -> bool:
 def remainder(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``: the folds of labelled rows."""
     return F.crc32(key.cast("string").cast("binary")) % parts
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (str or bytes), remembered up to a bound so that a frequent word is hashed once per task."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

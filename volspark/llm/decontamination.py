@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,20 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import table
+from volspark.llm.common import WordHashes, table
 from volspark.llm.registry import query
 
 # Words of a shingle and the least weighted similarity that counts as a copy.
 SHINGLE, LEAST = 5, 0.8
 # Fingerprints of 64 bits in BLOCKS blocks; of RADIUS differing bits some block has at most RADIUS // BLOCKS.
 BLOCKS, RADIUS = 4, 11
-# Longer items are found by windows of this many words, laid side by side over the item.
+# Items of more words are found by windows of this many, laid side by side over the item.
 MAX_WINDOW = 64
 # Items of one pass over the documents; more items take more passes.
 ITEM_BLOCK = 20_000
-MEMO_WORDS = 400_000
 _WORD = re.compile(r"\w+")
-_CHUNK = 8192
+_CHUNK = 16_384
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,19 +46,12 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
-class WordHashes:
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def of(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        new = set(words).difference(memo)
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = set(words)
-        for w in new:
-            memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def window_size(n: int) -> int:
+    """Words of the window that stands for an item of n words: n, rounded down to a grid of steps of a twelfth, so that many
+    items share a size."""
+    if n >= MAX_WINDOW:
+        return MAX_WINDOW
+    return n - n % max(1, n // 12)
 
 
 def pair_hashes(h: np.ndarray) -> np.ndarray:
@@ -79,21 +70,33 @@ def fingerprints(pairs: np.ndarray, count: int, sizes: list[int]) -> Iterator[tu
     at least count + max(sizes) - 2 features.
     """
     planes: list[np.ndarray] = []
-    spare, carry = np.empty(count, np.uint64), np.empty(count, np.uint64)
+    spare, carry, third = (np.empty(count, np.uint64) for _ in range(3))
     added = 0
     for size in sizes:
         features = max(size - 1, 0)
         while added < features:
-            if (added + 1).bit_length() > len(planes):
+            two = added + 2 <= features
+            while (added + 1 + two).bit_length() > len(planes):
                 planes.append(np.zeros(count, np.uint64))
-            into = pairs[added : added + count]
-            for p in planes[:-1]:
-                np.bitwise_and(p, into, out=spare)
-                np.bitwise_xor(p, into, out=p)
+            into, low = pairs[added : added + count], planes[0]
+            if two:
+                # one full adder takes two features into the lowest digit
+                more = pairs[added + 1 : added + 1 + count]
+                np.bitwise_xor(low, into, out=spare)
+                np.bitwise_and(low, into, out=carry)
+                np.bitwise_and(spare, more, out=third)
+                np.bitwise_or(carry, third, out=carry)
+                np.bitwise_xor(spare, more, out=low)
+            else:
+                np.bitwise_and(low, into, out=carry)
+                np.bitwise_xor(low, into, out=low)
+            for p in planes[1:-1]:
+                np.bitwise_and(p, carry, out=spare)
+                np.bitwise_xor(p, carry, out=p)
                 carry, spare = spare, carry
-                into = carry
-            np.bitwise_xor(planes[-1], into, out=planes[-1])
-            added += 1
+            if len(planes) > 1:
+                np.bitwise_xor(planes[-1], carry, out=planes[-1])
+            added += 1 + two
         least = features // 2 + 1
         out = np.full(count, ~np.uint64(0) if features else 0, np.uint64)
         for k, p in enumerate(planes):
@@ -113,9 +116,9 @@ class Index:
             words = words_of(text)
             if not words:
                 continue
-            n, w = len(words), min(len(words), MAX_WINDOW)
+            n, w = len(words), window_size(len(words))
             pairs = pair_hashes(np.append(hashes.of(words), np.uint64(0)))
-            for offset in sorted({*range(0, n - w + 1, w), n - w}):
+            for offset in range(0, n - w + 1, w):
                 mark = next(fingerprints(pairs[offset:], 1, [w]))[1][0]
                 entries.setdefault(w, []).append((int(mark), len(self.items), offset))
             self.items.append((item_id, words, shingle_weights(words)))
@@ -141,13 +144,12 @@ class Index:
         at = np.flatnonzero(hit)
         if not len(at):
             return at, at
+        near = marks[at]
         places, entries = [], []
-        own = self.marks[size]
-        for start in range(0, len(at), 4096):
-            part = at[start : start + 4096]
-            k, e = np.nonzero(np.bitwise_count(marks[part, None] ^ own[None, :]) <= self.radius)
-            places.append(part[k])
-            entries.append(e)
+        for e, mark in enumerate(self.marks[size]):
+            k = at[np.bitwise_count(near ^ mark) <= self.radius]
+            places.append(k)
+            entries.append(np.full(len(k), e))
         return np.concatenate(places), np.concatenate(entries)
 
     def matches(self, texts: list[list[str]], hashes: WordHashes, least: float = LEAST) -> list[dict[int, tuple[float, int, int]]]:
@@ -191,7 +193,7 @@ class Index:
         m = len(words)
         mark = None
         for w in self.sizes:
-            if w <= m or m < 0.75 * w or w == MAX_WINDOW:
+            if w <= m or m < 0.75 * w:
                 continue
             if mark is None:
                 mark = next(fingerprints(pair_hashes(np.append(hashes.of(words), np.uint64(0))), 1, [m]))[1][0]
@@ -251,8 +253,9 @@ def contaminated(
 ) -> DataFrame:
     """One row per document row and item that it holds: id, item id, start, n_words, similarity of the best window.
 
-    Every window of as many words as the item is fingerprinted; all whose SimHash differs from an item's in at most
-    RADIUS bits are compared by their 5-word shingles with multiplicity, and count from a similarity of 0.8.  A document
+    Windows of the item's size (:func:`window_size`) are fingerprinted at every word; where a SimHash differs from an item's in
+    at most RADIUS bits, the window of exactly as many words as the item is compared by 5-word shingles with
+    multiplicity, and counts from a similarity of 0.8.  A document
     shorter than the item is one window.  The items are a query set: they are read in blocks of about ``block``,
     each block a pass over the documents without any shuffle.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from volspark.llm.common import table
+from volspark.llm.common import WordHashes, table
 from volspark.llm.registry import query
 from volspark.plans.joins import BROADCAST_ROWS
 from volspark.plans.storage import known_rows, materialize, measured
@@ -24,7 +24,6 @@ SIDE, HASHES = 13, 3
 SMALL = 32
 # Rounds in which a document is compared with one pivot before it is with all that are left.
 ROUNDS = 3
-MEMO_WORDS = 400_000
 _BLOCK = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,22 +40,11 @@ class Shingler:
     """Sets of 64-bit shingle hashes; words are runs of anything but ASCII white space, A-Z in lower case."""
 
     def __init__(self, size: int):
-        self.size, self.memo = size, {}
-
-    def words(self, raw: bytes) -> np.ndarray:
-        words = raw.lower().split()
-        memo = self.memo
-        new = set(words).difference(memo)
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = set(words)
-        for w in new:
-            memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        self.size, self.hashes = size, WordHashes()
 
     def shingles(self, raw: bytes | None) -> np.ndarray:
         """Sorted different shingles; fewer words than a shingle are one shingle, no words none."""
-        w = self.words(raw) if raw else np.zeros(0, np.uint64)
+        w = self.hashes.of(raw.lower().split()) if raw else np.zeros(0, np.uint64)
         if not len(w):
             return w
         n = min(self.size, len(w))
