@@ -54,6 +54,20 @@ def remainder(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
+def uniform(*keys: Column | str, seed: str = "") -> Column:
+    """A number in (0, 1) that hangs on the keys alone."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def hashed_sample(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """About ``size`` rows, all if there are not more, chosen by hashes of their keys.
+
+    One count, then a filter: nothing is sorted or sent to one task, and the rows do not hang on how the data is dealt.
+    """
+    total = rows.count()
+    return rows if total <= size else rows.filter(uniform(*keys, seed="sample") < size / total)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (str or bytes), remembered up to a bound so that a frequent word is hashed once per task."""
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import has_letter, remainder, table
+from volspark.llm.common import has_letter, hashed_sample, remainder, table
 from volspark.llm.registry import query
 
 UNKNOWN = "und"
@@ -20,7 +20,7 @@ UNKNOWN = "und"
 BLOCK = 1024
 SIZES = (1, 2, 3, 4)
 WIDTH = BLOCK * len(SIZES)
-# Rows that the bit classifiers learn from, at most; the rows with the smallest hashes of their ids.
+# Rows that the bit classifiers learn from, about; chosen by hashes of ids and texts.
 SAMPLE = 4000
 # Below this difference of mean losses of the two nearest codewords a prediction is ambiguous.
 MARGIN = 0.08
@@ -114,11 +114,13 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = 4, held: int = 2) -> Model | None:
-    """Fit on at most ``sample`` rows with a language and a text with a letter, outside the held-out fold."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(remainder(F.col(id_col), folds) != held, F.lit(False)))
-    picked = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    picked = picked.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    pdf = picked.mapInArrow(_sample_batches, "lang string, grams binary").toPandas()
+    """Fit on about ``sample`` rows with a language, outside the held-out fold; None without any."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.coalesce(remainder(F.col("_id"), folds) != held, F.lit(False)))
+    picked = hashed_sample(rows, ["_id", "text"], sample).filter(F.col("text").isNotNull())
+    # equal rows count once, so that many copies can't fill the sample
+    picked = picked.groupBy(F.xxhash64("_id", "text").alias("_h")).agg(F.min("lang").alias("lang"), F.first("text").cast("binary").alias("text"))
+    pdf = picked.select("lang", "text").mapInArrow(_sample_batches, "lang string, grams binary").toPandas()
     if not len(pdf):
         return None
     x = np.frombuffer(b"".join(pdf["grams"]), np.float32).reshape(len(pdf), WIDTH)

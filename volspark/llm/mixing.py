@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volspark.llm.common import WORD, table
+from volspark.llm.common import WORD, table, uniform
 from volspark.llm.registry import query
-from volspark.plans.storage import materialize, measured
+from volspark.plans.joins import attach
+from volspark.plans.storage import known_rows, materialize, measured
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -104,66 +105,95 @@ def _steps(most: int) -> Column:
     return F.array(*[F.log((F.lit(float(c)) - F.col("_draw")) / F.col("_rate")) for c in range(1, most + 1)])
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix",
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """id, size, source_size, target, rate, copies, taken for every row.
+def _keyed(docs: DataFrame, source_col: str) -> DataFrame:
+    return docs.withColumns({"_src": F.coalesce(F.col(source_col), F.lit("")), "_none": F.col(source_col).isNull()})
+
+
+def _rated(rows: DataFrame, most: int, seed: str) -> DataFrame:
+    """Add _rate and _draw to rows that have _id, _size and their source's plan; the draw hangs on the id and ``seed``."""
+    z = F.when(F.col("mean") > 0, F.col("_size") / F.col("mean")).otherwise(0.0)
+    return rows.withColumns({"_rate": _rate(F.col("tilt"), z, most), "_draw": uniform("_id", seed=seed)})
+
 
-    Size is the number of words (null or empty text: 0).  Sources (null is one, the last) get targets by
-    :func:`source_targets` and documents their tilted rates by :func:`solve_tilts`.  A rate becomes floor(rate * e^shift +
-    draw) copies, at most ``most``; the draw hangs on the id and ``seed`` alone, so reruns agree, and one shift per source
-    is chosen so that the words taken come nearest the target.  Nothing is dropped: a row may get 0 copies.
+def _copies(most: int) -> Column:
+    copies = F.size(F.filter(_steps(most), lambda s: s < F.col("shift")))
+    return F.when(F.col("_size") > 0, copies).otherwise(F.lit(1))
 
-    Repeated rows share their draw and each count.  Documents of size 0 get one copy and take nothing.  An empty table gives an empty result; extra columns are ignored.
+
+def mixing_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix") -> DataFrame:
+    """_src, _none, source_size, mean, target, tilt, shift per source, from _id, _src, _none, _size of every document.
+
+    Targets are set by :func:`source_targets`, tilts by :func:`solve_tilts`.  A rate becomes floor(rate * e^shift + draw) copies;
+    one shift per source, found in finer and finer cells of the log shift, brings the words taken nearest to the target.
     """
-    sizes = docs.select(
-        F.col(id_col).alias("_id"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("_src"),
-        F.col(source_col).isNull().alias("_none"),
-        words_in(F.col(text_col)).alias("_size"),
-    )
-    sizes = materialize(sizes, "mix-words")
     mass = sizes.groupBy(*_KEY).agg(F.sum("_size").alias("source_size"))
     sources = materialize(source_targets(mass, weights, most), "mix-targets")
     tilts = solve_tilts(sizes, sources, most)
 
-    draw = (F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    rows = sizes.join(tilts, _KEY)
-    z = F.when(F.col("mean") > 0, F.col("_size") / F.col("mean")).otherwise(0.0)
-    rates = rows.select(
-        "_id", *_KEY, "_size", "source_size", "target", _rate(F.col("tilt"), z, most).alias("_rate"), draw.alias("_draw")
-    )
-    steps = rates.filter((F.col("_size") > 0) & (F.col("_rate") > 0)).select(*_KEY, "_size", "target", F.explode(_steps(most)).alias("_step"))
+    rates = _rated(attach(sizes, tilts, _KEY, how="inner"), most, seed).filter((F.col("_size") > 0) & (F.col("_rate") > 0))
+    steps = rates.select(*_KEY, "_size", "target", F.explode(_steps(most)).alias("_step"))
     cell = materialize(sources.select(*_KEY, F.lit(-SPAN).alias("_at"), F.lit(2 * SPAN).alias("_wide"), F.lit(0.0).alias("_below")), "mix-cell")
     for _ in range(LEVELS):
         part = F.col("_wide") / CELLS
         at = F.floor((F.col("_step") - F.col("_at")) / part)
-        inside = steps.join(cell.select(*_KEY, "_at", "_wide", "_below"), _KEY)
+        inside = attach(steps, cell.select(*_KEY, "_at", "_wide", "_below"), _KEY, how="inner", rows=known_rows(cell))
         inside = inside.withColumn("_cell", at).filter(F.col("_cell").between(0, CELLS - 1))
-        filled = inside.groupBy(*_KEY, "_cell").agg(
-            F.sum("_size").alias("_mass"), F.first("_at").alias("_at"), F.first("_wide").alias("_wide"), F.first("_below").alias("_below"), F.first("target").alias("target")
-        )
+        filled = inside.groupBy(*_KEY, "_cell", "_at", "_wide", "_below", "target").agg(F.sum("_size").alias("_mass"))
         upto = Window.partitionBy(*_KEY).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         filled = filled.withColumn("_sum", F.col("_below") + F.sum("_mass").over(upto))
-        crossing = filled.filter(F.col("_sum") >= F.col("target")).groupBy(*_KEY).agg(F.min_by(F.struct("_cell", "_at", "_wide", "_sum", "_mass", "target"), "_cell").alias("c"))
+        crossing = filled.filter(F.col("_sum") >= F.col("target")).groupBy(*_KEY).agg(
+            F.min_by(F.struct("_cell", "_at", "_wide", "_sum", "_mass", "target"), "_cell").alias("c")
+        )
         found = crossing.select(
             *_KEY, (F.col("c._at") + F.col("c._cell") * F.col("c._wide") / CELLS).alias("_at"), (F.col("c._wide") / CELLS).alias("_wide"),
             (F.col("c._sum") - F.col("c._mass")).alias("_below"), F.col("c._sum").alias("_above"), F.col("c.target").alias("target"),
         )
         cell = materialize(found, "mix-cell")
     nearer = F.col("target") - F.col("_below") <= F.col("_above") - F.col("target")
-    shift = cell.select(*_KEY, F.when(nearer, F.col("_at")).otherwise(F.col("_at") + F.col("_wide")).alias("_shift"))
+    shift = cell.select(*_KEY, F.when(nearer, F.col("_at")).otherwise(F.col("_at") + F.col("_wide")).alias("shift"))
     # a source that never reaches its target takes all that it may
-    rates = rates.join(shift, _KEY, "left").withColumn("_shift", F.coalesce("_shift", F.lit(SPAN)))
-    copies = F.size(F.filter(_steps(most), lambda s: s < F.col("_shift")))
-    copies = F.when(F.col("_size") > 0, copies).otherwise(F.lit(1))
-    return rates.select(
+    return materialize(tilts.join(shift, _KEY, "left").withColumn("shift", F.coalesce("shift", F.lit(SPAN))), "mix-plan")
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    rows = _keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source")), "_source")
+    return materialize(rows.select("_id", *_KEY, words_in(F.col("_text")).alias("_size")), "mix-words")
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """id, size, source_size, target, rate, copies, taken for every row; see :func:`mixing_plan`.
+
+    Size is the number of words (null or empty text: 0).  A null source is one source, the last.  Nothing is dropped: a row
+    may get 0 copies, at most ``most``.  Reruns agree, as the draws hang on ids alone.
+
+    Repeated rows share their draw and each count; so do null ids.  Documents of size 0 get one copy and take nothing.  An
+    empty table gives an empty result; extra columns are ignored.
+    """
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    rows = _rated(attach(sizes, plan := mixing_plan(sizes, weights, most, seed), _KEY, how="inner", rows=known_rows(plan)), most, seed)
+    copies = _copies(most)
+    return rows.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.col("_rate").alias("rate"), copies.alias("copies"),
         (copies * F.col("_size")).cast("long").alias("taken"),
     )
 
 
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_COPIES, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as :func:`mix` takes it; texts are not shuffled."""
+    plan = mixing_plan(_sizes(docs, id_col, text_col, source_col), weights, most, seed)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    rows = _keyed(docs.select(whole), f"_doc.{source_col}")
+    rows = rows.withColumns({"_id": F.col(f"_doc.{id_col}"), "_size": words_in(F.col(f"_doc.{text_col}"))})
+    rows = _rated(attach(rows, plan, _KEY, how="inner", rows=known_rows(plan)), most, seed).select("_doc", _copies(most).alias("_copies"))
+    return rows.filter("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
+
+
 @query("op9_mixing")
 def op9(spark, folder):
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")

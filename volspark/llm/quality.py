@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import remainder, table
+from volspark.llm.common import hashed_sample, remainder, table
 from volspark.llm.registry import query
 from volspark.plans.storage import materialize
 
-# Labelled rows that the trees learn from, at most; the rows with the smallest hashes of their ids.
+# Labelled rows that the trees learn from, about; chosen by hashes of their ids.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST = 80, 5, 64, 0.15, 10
 # Common short words of the four languages.
@@ -149,10 +149,10 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE, folds: int = 3, held: int = 1) -> Trees:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold; an id with several labels counts by the largest."""
+    """Fit on about ``sample`` labelled rows outside the held-out fold; an id with several labels counts by the largest."""
     known = labels.filter(F.col(label).isNotNull() & (remainder(F.col(id_col), folds) != held))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    known = hashed_sample(known, ["_id"], sample)
     pdf = stats.join(known, "_id").select("_id", "_y", "_stats").dropDuplicates(["_id"]).toPandas().sort_values("_id")
     x = np.stack(pdf["_stats"].to_list()).astype(np.float32) if len(pdf) else np.zeros((0, len(NAMES)), np.float32)
     return train(x, pdf["_y"].to_numpy(dtype=np.float64))
