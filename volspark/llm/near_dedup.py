@@ -20,7 +20,7 @@ from volspark.plans.storage import known_rows, materialize, measured
 # Two collections of SIDE partial keys, each of HASHES minhashes; a table for every pair of partial keys, one of each.  Two
 # sets of similarity 0.8 miss all SIDE * SIDE tables with a chance below 2e-4.
 SIDE, HASHES = 13, 3
-# Pivots with at most so many members get their pairs directly, others through the rarest shingles.
+# Pivots with at most so many members get their pairs directly, others through differences from the pivot.
 SMALL = 32
 # Rounds in which a document is compared with one pivot before it is with all that are left.
 ROUNDS = 3
@@ -184,24 +184,58 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _rare_pairs(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs of members in different components that may be similar enough: they share one of their rarest shingles.
+def _with_parents(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Add ``_above``: whether a member also belongs to the pivot above its own, the largest one that the pivot is a member of.
 
-    Two sets with that similarity share one of the first n - ceil(n * least / 100) + 1 shingles of each, by any common
-    order; the order here is rarest first, so a passage that many share is met last.
+    Two members that do are compared there (pivots grow smaller upwards, so there is an end), not here again.
     """
-    tokens = members.join(sets, "_node").select("_node", "_comp", F.size("_set").alias("_n"), F.explode("_set").alias("_t"))
-    tokens = materialize(tokens, "tokens")
-    often = tokens.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"), (F.min("_comp") != F.max("_comp")).alias("_mixed")).filter("_df > 1")
-    rows = tokens.join(often, "_t")
-    mine = Window.partitionBy("_node")
-    rows = rows.withColumn("_rank", F.row_number().over(mine.orderBy("_df", "_t"))).withColumn("_several", F.count(F.lit(1)).over(mine))
-    ahead = F.col("_n") - F.ceil(F.col("_n") * least / 100) + 1 - (F.col("_n") - F.col("_several"))
-    rows = materialize(rows.filter(F.col("_mixed") & (F.col("_rank") <= ahead)).select("_node", "_comp", "_n", "_t"), "prefix")
-    a = rows.select("_t", F.col("_node").alias("_a"), F.col("_comp").alias("_ca"), F.col("_n").alias("_na"))
-    b = rows.select("_t", F.col("_node").alias("_b"), F.col("_comp").alias("_cb"), F.col("_n").alias("_nb"))
-    pairs = a.join(b, "_t").filter((F.col("_a") < F.col("_b")) & (F.col("_ca") != F.col("_cb")) & _fits(F.col("_na"), F.col("_nb"), least))
-    return pairs.select("_a", "_b").distinct()
+    held = stars.groupBy("_pivot").agg(F.count(F.lit(1)).alias("_held"))
+    own = members.select(F.col("_pivot").alias("_a")).distinct()
+    above = stars.join(own, "_a", "left_semi").join(held, "_pivot").groupBy("_a").agg(F.max_by("_pivot", F.struct("_held", "_pivot")).alias("_parent"))
+    edges = stars.select(F.col("_a").alias("_node"), F.col("_pivot").alias("_parent"), F.lit(True).alias("_there"))
+    rows = members.join(above.withColumnRenamed("_a", "_pivot"), "_pivot", "left").join(edges, ["_node", "_parent"], "left")
+    return rows.select("_pivot", "_node", "_comp", "_n", F.coalesce("_there", F.col("_node") == F.col("_parent"), F.lit(False)).alias("_above"))
+
+
+def _difference_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Pairs of members of a pivot (_pivot, _node, _comp, _n, _above) in different components that may be similar enough.
+
+    Each set is written as its pivot's, less ``_r`` shingles, plus the ``_add`` ones.  Two sets are similar enough when their
+    symmetric difference is at most their sizes times (100 - least) / (100 + least), so two members either share an added
+    shingle, or |r - r'| + a + a' is within that bound.  Of the added shingles one of the rarest must be shared: a member with
+    more than its size times (100 - least) / least of them shares the surplus.  At least one of the two lies outside of
+    the pivot's component.  No condition loses a pair.
+    """
+    whole = sets.select("_node", "_set")
+    base = sets.select(F.col("_node").alias("_pivot"), F.col("_set").alias("_base"))
+    home = comps.select(F.col("_node").alias("_pivot"), F.col("_comp").alias("_home"))
+    rows = members.join(home, "_pivot").join(whole, "_node").join(base, "_pivot")
+    rows = rows.withColumn("_add", F.array_except("_set", "_base")).withColumn("_a", F.size("_add"))
+    rows = rows.select("_pivot", "_node", "_comp", "_n", (F.col("_comp") != F.col("_home")).alias("_out"), "_above", "_a", (F.size("_base") - F.col("_n") + F.col("_a")).alias("_r"), "_add")
+    rows = materialize(rows, "differences")
+
+    tokens = rows.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", F.explode("_add").alias("_t"))
+    # shingles that the same members have added stand together in the order and are met once
+    often = tokens.groupBy("_pivot", "_t").agg(
+        F.count(F.lit(1)).alias("_df"), (F.min("_comp") != F.max("_comp")).alias("_mixed"), F.bit_xor(F.xxhash64("_node")).alias("_who")
+    ).filter("_df > 1")
+    tokens = tokens.join(often, ["_pivot", "_t"])
+    mine = Window.partitionBy("_pivot", "_node")
+    tokens = tokens.withColumn("_rank", F.row_number().over(mine.orderBy("_df", "_who", "_t"))).withColumn("_several", F.count(F.lit(1)).over(mine))
+    ahead = F.least(F.col("_a"), F.floor(F.col("_n") * (100 - least) / least) + 1) - (F.col("_a") - F.col("_several"))
+    tokens = tokens.filter(F.col("_mixed") & (F.col("_rank") <= ahead))
+    tokens = materialize(tokens.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", "_df", "_who").distinct(), "added")
+    slack = lambda x, y: (F.col(f"{x}._n") + F.col(f"{y}._n")) * (100 - least) / (100 + least)
+    apart = (F.col("x._comp") != F.col("y._comp")) & ~(F.col("x._above") & F.col("y._above")) & (~F.col("y._out") | (F.col("x._node") < F.col("y._node"))) & _fits(F.col("x._n"), F.col("y._n"), least)
+    gap = F.abs(F.col("x._r") - F.col("y._r"))
+    pair = [F.least("x._node", "y._node").alias("_a"), F.greatest("x._node", "y._node").alias("_b")]
+
+    left, right = tokens.filter("_out").alias("x"), tokens.alias("y")
+    shared = left.join(right, [F.col("x._pivot") == F.col("y._pivot"), F.col("x._df") == F.col("y._df"), F.col("x._who") == F.col("y._who"), apart, gap + F.abs(F.col("x._a") - F.col("y._a")) <= slack("x", "y")])
+    small = rows.drop("_add").filter(F.col("_a") <= F.col("_n") * (100 - least) / least)
+    left, right = small.filter("_out").alias("x"), small.alias("y")
+    close = left.join(right, [F.col("x._pivot") == F.col("y._pivot"), apart, gap + F.col("x._a") + F.col("y._a") <= slack("x", "y")])
+    return shared.select(*pair).unionByName(close.select(*pair)).distinct()
 
 
 def near_components(
@@ -214,8 +248,8 @@ def near_components(
     1. Texts with the same set are one class.  2. Candidates come from tensored banding; a bucket is a star around its
     smallest class, so a bucket of any size gives as many pairs as members.  3. Each class is compared with its best pivot,
     then with the next, each time leaving out what is already connected; whole sets decide.  4. Buckets that still hold several
-    components get the remaining comparisons: pairs directly where the pivot has few members, else by their rarest shingles,
-    which is exact.
+    components get the remaining comparisons: pairs directly where the pivot has few members, else by what they differ from it
+    in, which is exact.
 
     A null, empty or blank text has no shingles and is linked with nothing; fewer words than ``size`` are one shingle.
     Repeated ids share their component.  A row without an id is not linked: component_id null, not kept.  An empty table gives
@@ -270,9 +304,10 @@ def near_components(
         b = few.select("_pivot", F.col("_node").alias("_b"), F.col("_comp").alias("_cb"), F.col("_n").alias("_nb"))
         pairs = a.join(b, "_pivot").filter((F.col("_a") < F.col("_b")) & (F.col("_ca") != F.col("_cb")) & _fits(F.col("_na"), F.col("_nb"), least))
         pairs = pairs.select("_a", "_b").distinct()
-        many = materialize(members.filter(F.col("_c") > small).select("_node", "_comp").distinct(), "many")
+        many = _with_parents(members.filter(F.col("_c") > small).drop("_c"), stars)
+        many = materialize(many, "many")
         if known_rows(many):
-            pairs = pairs.unionByName(_rare_pairs(many, sets, least)).distinct()
+            pairs = pairs.unionByName(_difference_pairs(many, comps, sets, least)).distinct()
         comps = _joined(comps, materialize(_confirmed(materialize(pairs, "pairs"), sets, least), "confirmed"))
     found = classes.join(comps, "_node", "left").select("_digest", F.coalesce("_comp", "_node").alias("_comp"))
     return _result(sketch, found, id_col)
