@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -22,15 +25,36 @@ END_ID = 2
 # Ids of a shard, about: a shard closes with the document that reaches it.
 SHARD_IDS = 1 << 20
 # A pair must occur so often to become a rule; rules taken in one round; rounds end sooner when no pair is left.
-LEAST_COUNT, ROUND_RULES, ROUNDS = 16, 2048, 24
-MEMO_WORD, MEMO_SIZE = 48, 400_000
+LEAST_COUNT, ROUND_RULES, ROUNDS = 16, 16_000, 24
+# Longest word and most words and pieces that a task remembers.
+MEMO_WORD, MEMO_SIZE, MEMO_PIECES = 48, 800_000, 400_000
+
+
+# Words of ASCII but the apostrophe and "<", where special strings begin, and of Latin letters, and the pieces that the tokenizer cuts them into when lower-cased.
+_PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@[-`{-~]+")
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable, else the next free one."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(free)) for b in range(256)}
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space and no token crosses it, so a text is the sequence of its words also for the library;
-    the ids of short words are remembered and a frequent word is encoded once per task.
+    The vocabulary drops white space and no token crosses it, so a text is the sequence of its words also for the library.
+    The ids of short words are remembered, so a frequent word is encoded once per task; of a plain word only the pieces
+    that are new go to the library's model, any other word goes through the whole library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -40,28 +64,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.plain = all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.letters = _byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8") for w in words]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            text = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            known = _as_bytes([t.id for t in self.model.tokenize(text)])
+            if len(self.pieces) >= MEMO_PIECES:
+                self.pieces.clear()
+            if len(piece) <= MEMO_WORD:
+                self.pieces[piece] = known
+        return known
+
+    def word(self, raw: bytes) -> bytes:
+        text = raw.decode("utf-8")
+        if self.plain and _PLAIN.fullmatch(text):
+            return b"".join([self._piece(p) for p in _PIECES.findall(text.lower())])
+        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, raw: bytes | None) -> bytes:
         words = raw.split() if raw else []
         memo = self.memo
-        new = [w for w in set(words).difference(memo) if len(w) <= MEMO_WORD]
-        if new:
-            if len(memo) + len(new) > MEMO_SIZE:
-                memo.clear()
-                new = [w for w in set(words) if len(w) <= MEMO_WORD]
-            memo.update(zip(new, self._encoded(new), strict=True))
         try:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
-            long = [w for w in dict.fromkeys(words) if w not in memo]
-            known = dict(zip(long, self._encoded(long), strict=True))
-            return b"".join([known[w] if w in known else memo[w] for w in words])
+            pass
+        new = set(words).difference(memo)
+        if len(memo) + len(new) > MEMO_SIZE:
+            memo.clear()
+            new = set(words)
+        found = {w: self.word(w) for w in new}
+        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_WORD)
+        return b"".join([found[w] if w in found else memo[w] for w in words])
 
 
 @dataclass
@@ -92,7 +132,7 @@ def repair(ids: np.ndarray, breaks: np.ndarray, base: int, least: int = LEAST_CO
         if len(symbols) < 2 or made >= room:
             break
         keys = (symbols[:-1] << shift) | symbols[1:]
-        inside = np.sort(keys[~last[:-1]])
+        inside = np.sort(keys[~last[:-1]])  # equal pairs side by side
         if not len(inside):
             break
         heads = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
@@ -248,12 +288,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {n: batch.column(n)[k].as_py() for n in ("part", "seq", "base", "symbols", "rules", "lengths")}
             g = grammar_of(row)
             written = expansions(g)
-            cuts = np.asarray(batch.column("doc_symbols_end")[k].values)
+            ids = memoryview(expand(g, written, 0, len(g.symbols)).astype("<u4").tobytes())
             ends = np.asarray(batch.column("doc_ids_end")[k].values)
             sums, low = [], 0
-            for high in cuts:
-                sums.append(zlib.crc32(expand(g, written, low, int(high)).astype("<u4").tobytes()))
-                low = int(high)
+            for high in ends.tolist():
+                sums.append(zlib.crc32(ids[4 * low : 4 * high]))
+                low = high
             begins = np.concatenate([[0], ends[:-1]])
             n = len(ends)
             yield pa.RecordBatch.from_arrays(
