@@ -68,17 +68,27 @@ def hashed_sample(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     return rows if total <= size else rows.filter(uniform(*keys, seed="sample") < size / total)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (str or bytes), remembered up to a bound so that a frequent word is hashed once per task."""
+class Memo(dict):
+    """Values computed on first use.  Beyond ``most`` entries the younger half goes: frequent keys came early and stay."""
+
+    def __init__(self, compute, most: int, longest: int = 1 << 30):
+        self.compute, self.most, self.longest = compute, most, longest
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                for old in list(self)[self.most // 2 :]:
+                    del self[old]
+            self[key] = value
+        return value
 
-    def __init__(self, most: int = 400_000):
-        self.most = most
 
-    def __missing__(self, word: str | bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+class WordHashes(Memo):
+    """64-bit hashes of words (str or bytes), so that a frequent word is hashed once per task."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__(xxhash.xxh3_64_intdigest, most, 64)
 
     def of(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))

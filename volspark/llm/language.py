@@ -21,7 +21,7 @@ BLOCK = 1024
 SIZES = (1, 2, 3, 4)
 WIDTH = BLOCK * len(SIZES)
 # Rows that the bit classifiers learn from, about; chosen by hashes of ids and texts.
-SAMPLE = 4000
+SAMPLE = 2000
 # Below this difference of mean losses of the two nearest codewords a prediction is ambiguous.
 MARGIN = 0.08
 _MIX = np.uint32(2654435761)
@@ -109,7 +109,7 @@ def train(x: np.ndarray, langs: np.ndarray, rounds: int = 120, ridge: float = 1e
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [gram_counts(t.as_py()).tobytes() for t in batch.column("text")]
+        grams = [gram_counts(t.as_py()).astype(np.float16).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(grams, pa.binary())], ["lang", "grams"])
 
 
@@ -123,7 +123,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     pdf = picked.select("lang", "text").mapInArrow(_sample_batches, "lang string, grams binary").toPandas()
     if not len(pdf):
         return None
-    x = np.frombuffer(b"".join(pdf["grams"]), np.float32).reshape(len(pdf), WIDTH)
+    x = np.empty((len(pdf), WIDTH), np.float32)
+    for k, grams in enumerate(pdf.pop("grams")):
+        x[k] = np.frombuffer(grams, np.float16)
     return train(x, pdf["lang"].to_numpy())
 
 

@@ -17,7 +17,7 @@ from volspark.llm.registry import query
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 # Units longer than this are encoded each time; units in memory per task.
-MEMO_UNIT, MEMO_SIZE = 48, 400_000
+MEMO_UNIT, MEMO_SIZE = 48, 250_000
 # A unit is a run of non-space characters with the white space before it: no token of a byte-level BPE crosses its border.
 _UNITS = re.compile(r"\s*\S+|\s+")
 # Separators that Python takes for white space and the tokenizer's pattern does not.
@@ -69,8 +69,9 @@ class Counter:
         new = [u for u in set(units).difference(memo) if len(u) <= MEMO_UNIT]
         if new:
             if len(memo) + len(new) > MEMO_SIZE:
-                memo.clear()
-                new = [u for u in set(units) if len(u) <= MEMO_UNIT]
+                for old in list(memo)[MEMO_SIZE // 2 :]:
+                    del memo[old]
+                new = [u for u in set(units).difference(memo) if len(u) <= MEMO_UNIT]
             memo.update(zip(new, self._encoded(new), strict=True))
         try:
             return sum(map(memo.__getitem__, units))

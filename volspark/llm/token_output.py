@@ -17,20 +17,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volspark.llm.common import fresh_folder, table
+from volspark.llm.common import Memo, fresh_folder, table
 from volspark.llm.registry import query
 from volspark.plans.joins import attach
 
 END_ID = 2
 # Ids of a shard, about: a shard closes with the document that reaches it.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 # A pair must occur so often to become a rule; rules taken in one round; rounds end sooner when no pair is left.
 LEAST_COUNT, ROUND_RULES, ROUNDS = 16, 16_000, 24
 # Longest word and most words and pieces that a task remembers.
-MEMO_WORD, MEMO_SIZE, MEMO_PIECES = 48, 800_000, 400_000
+MEMO_WORD, MEMO_SIZE, MEMO_PIECES = 48, 200_000, 120_000
 
 
-# Words of ASCII but the apostrophe and "<", where special strings begin, and of Latin letters, and the pieces that the tokenizer cuts them into when lower-cased.
+# The commonest words: letters, then marks.
+_SIMPLE = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@]*)")
+# Words of ASCII but the apostrophe and "<", where special strings begin, and of Latin letters, and the pieces that the
+# tokenizer cuts them into when lower-cased.
 _PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@[-`{-~]+")
 
@@ -67,41 +70,26 @@ class Encoder:
         self.model = self.tokenizer.model
         self.plain = all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memo(self._piece, MEMO_PIECES, MEMO_WORD)
+        self.words = Memo(self._word, MEMO_SIZE, MEMO_WORD)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            text = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            known = _as_bytes([t.id for t in self.model.tokenize(text)])
-            if len(self.pieces) >= MEMO_PIECES:
-                self.pieces.clear()
-            if len(piece) <= MEMO_WORD:
-                self.pieces[piece] = known
-        return known
-
-    def word(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8")
-        if self.plain and _PLAIN.fullmatch(text):
-            return b"".join([self._piece(p) for p in _PIECES.findall(text.lower())])
-        return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode() if piece.isascii() else "".join([self.letters[b] for b in piece])
+        return _as_bytes([t.id for t in self.model.tokenize(text)])
+
+    def _word(self, raw: bytes) -> bytes:
+        if self.plain:
+            if simple := _SIMPLE.fullmatch(raw):
+                letters, marks = simple.groups()
+                return self.pieces[letters.lower()] + (self.pieces[marks] if marks else b"")
+            text = raw.decode("utf-8")
+            if _PLAIN.fullmatch(text):
+                return b"".join([self.pieces[p.encode()] for p in _PIECES.findall(text.lower())])
+        return _as_bytes(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
 
     def encode(self, raw: bytes | None) -> bytes:
-        words = raw.split() if raw else []
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        new = set(words).difference(memo)
-        if len(memo) + len(new) > MEMO_SIZE:
-            memo.clear()
-            new = set(words)
-        found = {w: self.word(w) for w in new}
-        memo.update((w, ids) for w, ids in found.items() if len(w) <= MEMO_WORD)
-        return b"".join([found[w] if w in found else memo[w] for w in words])
+        return b"".join(map(self.words.__getitem__, raw.split())) if raw else b""
 
 
 @dataclass
