@@ -52,6 +52,11 @@ def _rate(tilt: Column, z: Column, most: float) -> Column:
     return F.least(F.exp(F.least(tilt * z, F.lit(50.0))), F.lit(float(most)))
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum in fixed-point numbers, the same in whatever order the rows come, so that reruns agree to the last bit."""
+    return F.sum(F.round(value * (1 << 20)).cast("decimal(28,0)")).cast("double") / (1 << 20)
+
+
 def solve_tilts(sizes: DataFrame, sources: DataFrame, most: float = MOST_COPIES, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """_src, _none, mean, target, tilt per source.
 
@@ -76,7 +81,7 @@ def solve_tilts(sizes: DataFrame, sources: DataFrame, most: float = MOST_COPIES,
         rate = _rate(F.col("tilt"), z, most)
         mass = F.col("_n") * F.col("_size") * rate
         sums = rows.groupBy(*_KEY).agg(
-            F.sum(mass).alias("_g"), F.sum(F.when(F.col("tilt") * z < F.log(F.lit(float(most))), mass * z).otherwise(0.0)).alias("_h")
+            _exact_sum(mass).alias("_g"), _exact_sum(F.when(F.col("tilt") * z < F.log(F.lit(float(most))), mass * z).otherwise(0.0)).alias("_h")
         )
         joined = state.join(sums, _KEY, "left")
         lo = F.when(F.col("_g") < F.col("target"), F.col("tilt")).otherwise(F.col("_lo"))
