@@ -215,15 +215,18 @@ def _difference_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, lea
     rows = materialize(rows, "differences")
 
     tokens = rows.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", F.explode("_add").alias("_t"))
-    # shingles that the same members have added stand together in the order and are met once
+    # An added shingle counts if a pair to be compared can share it: it has members of two components, one outside of the
+    # pivot's and one not above.  The others stand first in the order, as they are never met.  Shingles that the same members have
+    # added stand together and are met once.
     often = tokens.groupBy("_pivot", "_t").agg(
-        F.count(F.lit(1)).alias("_df"), (F.min("_comp") != F.max("_comp")).alias("_mixed"), F.bit_xor(F.xxhash64("_node")).alias("_who")
-    ).filter("_df > 1")
+        F.count(F.lit(1)).alias("_df"), F.bit_xor(F.xxhash64("_node")).alias("_who"),
+        ((F.min("_comp") != F.max("_comp")) & F.bool_or("_out") & ~F.bool_and("_above")).alias("_met"),
+    ).filter("_met").drop("_met")
     tokens = tokens.join(often, ["_pivot", "_t"])
     mine = Window.partitionBy("_pivot", "_node")
     tokens = tokens.withColumn("_rank", F.row_number().over(mine.orderBy("_df", "_who", "_t"))).withColumn("_several", F.count(F.lit(1)).over(mine))
     ahead = F.least(F.col("_a"), F.floor(F.col("_n") * (100 - least) / least) + 1) - (F.col("_a") - F.col("_several"))
-    tokens = tokens.filter(F.col("_mixed") & (F.col("_rank") <= ahead))
+    tokens = tokens.filter(F.col("_rank") <= ahead)
     tokens = materialize(tokens.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", "_df", "_who").distinct(), "added")
     slack = lambda x, y: (F.col(f"{x}._n") + F.col(f"{y}._n")) * (100 - least) / (100 + least)
     apart = (F.col("x._comp") != F.col("y._comp")) & ~(F.col("x._above") & F.col("y._above")) & (~F.col("y._out") | (F.col("x._node") < F.col("y._node"))) & _fits(F.col("x._n"), F.col("y._n"), least)
