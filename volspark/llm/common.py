@@ -78,11 +78,25 @@ class Memo(dict):
         value = self.compute(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
-                for old in list(self)[self.most // 2 :]:
-                    del self[old]
+                self.trim(self.most // 2)
             self[key] = value
         return value
 
+    def keep(self, found: dict, within: bool = True) -> None:
+        """Take values computed elsewhere; ``within`` keeps to the bounds, else :meth:`trim` is due after use."""
+        if not within:
+            self.update(found)
+            return
+        self.update((k, v) for k, v in found.items() if len(k) <= self.longest)
+        self.trim()
+
+    def trim(self, to: int | None = None) -> None:
+        if to is None and len(self) <= self.most:
+            return
+        keys = list(self)
+        for old in keys[(self.most // 2 if to is None else to) :]:
+            del self[old]
+
 
 class WordHashes(Memo):
     """64-bit hashes of words (str or bytes), so that a frequent word is hashed once per task."""

@@ -56,40 +56,76 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no token crosses it, so a text is the sequence of its words also for the library.
-    The ids of short words are remembered, so a frequent word is encoded once per task; of a plain word only the pieces
-    that are new go to the library's model, any other word goes through the whole library.
+    The ids of short words are remembered, so a frequent word is encoded once per task.  Of plain words only the pieces that
+    are new go to the library's model, many at once; any other word goes through the whole library.
     """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
         self.plain = all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
-        self.pieces = Memo(self._piece, MEMO_PIECES, MEMO_WORD)
-        self.words = Memo(self._word, MEMO_SIZE, MEMO_WORD)
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode() if piece.isascii() else "".join([self.letters[b] for b in piece])
-        return _as_bytes([t.id for t in self.model.tokenize(text)])
-
-    def _word(self, raw: bytes) -> bytes:
-        if self.plain:
-            if simple := _SIMPLE.fullmatch(raw):
-                letters, marks = simple.groups()
-                return self.pieces[letters.lower()] + (self.pieces[marks] if marks else b"")
-            text = raw.decode("utf-8")
-            if _PLAIN.fullmatch(text):
-                return b"".join([self.pieces[p.encode()] for p in _PIECES.findall(text.lower())])
-        return _as_bytes(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
+        # the same model behind a split at spaces alone, for pieces that are already cut and lower-cased
+        self.cut = Tokenizer(self.tokenizer.model)
+        self.cut.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = Memo(None, MEMO_SIZE, MEMO_WORD)
+        self.pieces = Memo(None, MEMO_PIECES, MEMO_WORD)
+        self.vocabulary = len(vocabulary)
+
+    def _cut(self, raw: bytes) -> list[bytes] | None:
+        if not self.plain:
+            return None
+        if simple := _SIMPLE.fullmatch(raw):
+            letters, marks = simple.groups()
+            return [letters.lower(), marks] if marks else [letters.lower()]
+        text = raw.decode("utf-8")
+        return [p.encode() for p in _PIECES.findall(text.lower())] if _PLAIN.fullmatch(text) else None
+
+    def _new_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        texts = [p.decode() if p.isascii() else "".join([self.letters[b] for b in p]) for p in pieces]
+        ids = np.array(self.cut.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(pieces):  # a vocabulary that does not mark the ends of words
+            return {p: _as_bytes(self.cut.encode(t, add_special_tokens=False).ids) for p, t in zip(pieces, texts, strict=True)}
+        flat, low, out = ids.tobytes(), 0, {}
+        for piece, high in zip(pieces, stops.tolist(), strict=True):
+            out[piece] = flat[low:high]
+            low = high
+        return out
+
+    def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        cuts = [self._cut(w) for w in words]
+        new = list({p for c in cuts if c for p in c if p not in self.pieces})
+        found = self._new_pieces(new) if new else {}
+        get = lambda p: found.get(p) or self.pieces[p]
+        out = {}
+        for word, cut in zip(words, cuts, strict=True):
+            if cut is None:
+                out[word] = _as_bytes(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+            else:
+                out[word] = get(cut[0]) if len(cut) == 1 else b"".join([get(p) for p in cut])
+        self.pieces.keep(found)
+        return out
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        split = [t.split() if t else [] for t in texts]
+        new = list(set().union(*split).difference(self.words))
+        found = self._new_words(new) if new else {}
+        self.words.keep(found, within=False)
+        get = self.words.__getitem__
+        out = [b"".join(map(get, words)) for words in split]
+        self.words.trim()
+        return out
 
     def encode(self, raw: bytes | None) -> bytes:
-        return b"".join(map(self.words.__getitem__, raw.split())) if raw else b""
+        return self.encode_all([raw])[0]
 
 
 @dataclass
@@ -102,6 +138,15 @@ class Grammar:
     lengths: np.ndarray
 
 
+_SLOT_BITS = 19
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(2654435769)) >> np.uint32(32 - _SLOT_BITS)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+
+
 def repair(ids: np.ndarray, breaks: np.ndarray, base: int, least: int = LEAST_COUNT, per_round: int = ROUND_RULES, rounds: int = ROUNDS) -> tuple[Grammar, np.ndarray]:
     """Replace frequent pairs until none occurs ``least`` times; ``breaks`` are the ends of documents, which no rule crosses.
 
@@ -130,17 +175,13 @@ def repair(ids: np.ndarray, breaks: np.ndarray, base: int, least: int = LEAST_CO
             break
         take = min(per_round, room - made, len(often))
         top = often[np.argsort(-counts[often], kind="stable")[:take]]
-        chosen = np.sort(inside[heads[top]])
-        # cheap tests by either symbol first, then the exact one
-        size = base + made + 1
-        first, second = np.zeros(size, bool), np.zeros(size, bool)
-        first[(chosen >> shift).astype(np.int64)] = True
-        second[(chosen & ((kind(1) << shift) - kind(1))).astype(np.int64)] = True
-        at = np.flatnonzero(first[symbols[:-1]] & second[symbols[1:]] & ~last[:-1])
-        rank = np.searchsorted(chosen, keys[at])
-        rank[rank == len(chosen)] = 0
-        good = chosen[rank] == keys[at]
-        at, rank = at[good], rank[good]
+        chosen = inside[heads[top]]
+        # a hash table finds the rule of a pair; of rules that meet in a slot the most frequent stays, the others wait a round
+        slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+        slots[_slot(chosen[::-1])] = np.arange(len(chosen) - 1, -1, -1)
+        rank = slots[_slot(keys)]
+        at = np.flatnonzero((chosen[rank] == keys) & ~last[:-1])
+        rank = rank[at]
         begin = np.concatenate([[True], np.diff(at) != 1])
         place = np.arange(len(at))
         even = (place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0
@@ -235,13 +276,15 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
     docs, parts, size = [], [], 0
     for batch in batches:
         kind = batch.column("_id").type
-        for doc, text in zip(batch.column("_id"), batch.column("_text"), strict=True):
-            parts.append(encoder.encode(text.as_py()) + tail)
-            docs.append(doc.as_py())
-            size += len(parts[-1]) // 4
-            if size >= shard_ids:
-                yield _shard(part, seq, base, docs, parts, kind)
-                docs, parts, size, seq = [], [], 0, seq + 1
+        for low in range(0, batch.num_rows, 64):
+            rows = batch.slice(low, 64)
+            for doc, ids in zip(rows.column("_id").to_pylist(), encoder.encode_all(rows.column("_text").to_pylist()), strict=True):
+                parts.append(ids + tail)
+                docs.append(doc)
+                size += len(parts[-1]) // 4
+                if size >= shard_ids:
+                    yield _shard(part, seq, base, docs, parts, kind)
+                    docs, parts, size, seq = [], [], 0, seq + 1
     if docs:
         yield _shard(part, seq, base, docs, parts, kind)
 
