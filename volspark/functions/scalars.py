@@ -20,7 +20,7 @@ def version_numbers(text: str) -> Column:
 
 def strip_prefix(text: str, prefix: str) -> Column:
     c = F.col(text)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1_000_000)).otherwise(c)
+    return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
 
 
 def minutes(seconds: str) -> Column:

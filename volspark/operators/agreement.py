@@ -120,11 +120,11 @@ def surface_distances(labels: DataFrame, dims: DataFrame, truth: str = "seg", pr
 
 
 def hausdorff(labels: DataFrame, dims: DataFrame, truth: str = "seg", pred: str = "pred", spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Largest, median and 95th percentile surface distance per label; labels missing on one side are left out."""
+    """Largest, median and 95th percentile surface distance per label; NULL for labels that one side lacks."""
     d = materialize(surface_distances(labels, dims, truth, pred, spacing), "distances")
     keys = [SUBJECT, "cls"]
     top = d.groupBy(*keys).agg(F.max("distance").alias("hd"))
-    return top.join(exact_percentiles(d, keys, "distance", {"hd50": 0.5, "hd95": 0.95}), keys)
+    return top.join(exact_percentiles(d, keys, "distance", {"hd50": 0.5, "hd95": 0.95}), keys, "left")
 
 
 # --- evaluation of class scores ----------------------------------------------------------------------

@@ -42,9 +42,9 @@ def is_bijective(mapping: DataFrame) -> bool:
 def chain_maps(first: DataFrame, second: DataFrame) -> DataFrame:
     """``second`` after ``first``; every target of the first must be a source of the second."""
     gap = first.join(second.select(F.col("src").alias("dst")), "dst", "left_anti").select("dst").distinct()
-    missing = sorted(r[0] for r in gap.limit(LABEL_SPACE).collect())
-    if missing:
-        raise ValueError(f"targets without a source in the second map: {missing}")
+    missing = gap.agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("low"), F.max("dst").alias("high")).first()
+    if missing["n"]:
+        raise ValueError(f"{missing['n']} targets without a source in the second map, from {missing['low']} to {missing['high']}")
     nxt = second.select(F.col("src").alias("dst"), F.col("dst").alias("_end"))
     return first.join(nxt, "dst").select("src", F.col("_end").alias("dst"))
 
@@ -85,7 +85,7 @@ def pair_sides(lut: DataFrame, first: str = "Left-", second: str = "Right-") ->
     name = F.col("label_name")
 
     def side(prefix: str, out: str) -> DataFrame:
-        bare = F.substring(name, len(prefix) + 1, 1_000)
+        bare = F.substr(name, F.lit(len(prefix) + 1))
         return lut.filter(name.startswith(prefix)).select(F.col("id").alias(out), bare.alias("_name"))
 
     return side(first, "src").join(side(second, "dst"), "_name").select("src", "dst")
@@ -182,13 +182,12 @@ def map_scores(scores: DataFrame, mapping: DataFrame, key: Sequence[str], mode:
     moved = spread.select(*key, F.explode("_targets").alias("c"), s.alias("s"))
     joined = F.sum("s") if mode == "prob" else F.product("s")
     sums = moved.groupBy(*key, "c").agg(joined.alias("s"))
-    top = pairs.agg(F.max("dst")).first()[0]
-    got = {r[0] for r in pairs.select("dst").distinct().limit(LABEL_SPACE).collect()}
-    absent = [i for i in range(top + 1) if i not in got]
-    if not absent:
-        return sums
-    zeros = scores.select(*key).distinct().withColumn("c", F.explode(F.lit(absent).cast("array<int>")))
-    return sums.unionByName(zeros.withColumn("s", F.lit(0.0)))
+    # classes below the largest target that no source has: an anti join, joined to the voxels by their mere presence
+    space = pairs.agg(F.max("dst").cast("int").alias("_top")).select(F.explode(F.sequence(F.lit(0), F.col("_top"))).alias("c"))
+    absent = space.join(pairs.select(F.col("dst").cast("int").alias("c")), "c", "left_anti")
+    absent = absent.agg(F.collect_list("c").alias("_absent")).withColumn("_all", F.lit(1))
+    zeros = attach(scores.select(*key).distinct().withColumn("_all", F.lit(1)), absent, "_all", "inner")
+    return sums.unionByName(zeros.select(*key, F.explode("_absent").alias("c"), F.lit(0.0).alias("s")))
 
 
 def colour_index(present: DataFrame, lut: DataFrame) -> DataFrame:

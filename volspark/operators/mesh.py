@@ -142,7 +142,7 @@ def mode_filter(pairs: DataFrame, labels: DataFrame, fill_only: int | None = Non
     return out.withColumn("label", F.coalesce("_won", "label").cast("int")).drop("_won")
 
 
-def smooth_labels(faces: DataFrame, labels: DataFrame, cortex: DataFrame, keys: Sequence[str] = KEYS, max_rounds: int = 1000) -> DataFrame:
+def smooth_labels(faces: DataFrame, labels: DataFrame, cortex: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Fill unlabelled cortex by voting, then smooth with rings of 4, 2 and 1 steps; -1 outside the cortex.
 
     Filling stops when a round changes nothing; what is still unlabelled then becomes 0 and leaves the mesh.
@@ -156,11 +156,11 @@ def smooth_labels(faces: DataFrame, labels: DataFrame, cortex: DataFrame, keys:
     inner = materialize(inner_faces(faces, cortex, keys), "faces")
     near = materialize(ring(adjacency(inner, keys), 1, keys), "ring")
     left = seen["open"]
-    rounds = 0
-    while left and rounds < max_rounds:
+    # the open count falls each round, so this ends
+    while left:
         step, seen = measured(mode_filter(near, current, fill, [fill], keys), "labels", open=F.count_if(F.col("label") == fill))
         release(current)
-        current, rounds, now = step, rounds + 1, seen["open"]
+        current, now = step, seen["open"]
         if now == left:
             break
         left = now

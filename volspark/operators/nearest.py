@@ -70,7 +70,7 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
     """Nearest target of each query: ``keys, qid, tid, distance``; of equal distances the smallest ``tid``.
 
     ``queries`` have ``qid`` (unique within the keys), ``targets`` have ``tid``; both have x, y, z.
-    Queries whose keys have no target are left out.
+    Queries whose keys have no target have NULL ``tid`` and ``distance``.
     """
     keys = list(keys)
     coords = [F.col(a).cast("double").alias(a) for a in "xyz"]
@@ -111,4 +111,7 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
     met = attach(kept, leaf, [*keys, "cell"], "inner", max_rows=_WIDE_ROWS).select(*keys, "qid", "x", "y", "z", F.explode("_points").alias("_t"))
     d2 = sum(((F.col(a) - F.col(f"_t.t{a}")) * (F.col(a) - F.col(f"_t.t{a}")) for a in "xyz"), F.lit(0.0))
     best = met.groupBy(*keys, "qid").agg(F.min(F.struct(d2.alias("d2"), F.col("_t.tid").alias("tid"))).alias("_m"))
-    return best.select(*keys, "qid", "_m.tid", F.sqrt("_m.d2").alias("distance"))
+    found = best.select(*keys, "qid", "_m.tid", F.sqrt("_m.d2").alias("distance"))
+    none = queries.join(points.select(*keys).distinct(), keys, "left_anti")
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("tid", "distance")]
+    return found.unionByName(none.select(*keys, "qid", *nothing))

@@ -134,7 +134,8 @@ def stat_columns(partials: DataFrame) -> DataFrame:
 def merge_groups(partials: DataFrame, groups: DataFrame) -> DataFrame:
     """Statistics of groups of labels (``group_id``, ``member_id``; groups may overlap).
 
-    Mean is over all member voxels; the deviation is pooled within members, not that of the union.
+    Mean is over the values that count (with trimming, the trimmed ones); the deviation is pooled within members, not that of
+    the union.  A group without a present member has no row here; :func:`region_stats` gives it zeros.
     """
     joined = partials.join(groups.withColumnRenamed("member_id", "seg"), "seg")
     within = F.sum(F.col("v_sum2") - F.try_divide(F.col("v_sum") * F.col("v_sum"), F.col("n_values")))
@@ -230,7 +231,9 @@ def region_stats(
     group_ids: list[int] = []
     if groups is not None:
         group_ids = label_ids(groups, "group_id")
-        rows = rows.unionByName(merge_groups(partials, groups), allowMissingColumns=True)
+        merged = fill_labels(merge_groups(partials, groups), headers, group_ids, ["n_voxels", "n_values", "volume", "v_sum", "v_sum2", "v_min", "v_max"])
+        merged = merged.withColumn("v_std", F.when(F.col("n_voxels") == 0, 0.0).otherwise(F.col("v_std")))
+        rows = rows.unionByName(merged, allowMissingColumns=True)
     if not report_empty:
         rows = drop_empty(rows, must_keep)
     rows = stat_columns(rows).fillna(0.0, subset=["v_mean"])

@@ -7,10 +7,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volspark.plans.storage import known_rows, materialize, measured
+from volspark.plans.storage import known_bytes, known_rows, materialize, measured, row_bytes
 
-# Largest lookup side that is broadcast: about 16 MB for rows of a few numbers.
+# Largest lookup side that is broadcast, by rows and by bytes; both are measured.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 # A key is hot when it holds more than 1/HOT_PARTS of all rows, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 512
 
@@ -28,23 +29,28 @@ def attach(
     on: Sequence[str] | str,
     how: str = "left",
     costly: bool = True,
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Join a lookup with one row per key to a table of any size.
 
-    The lookup is counted first.  Within ``max_rows`` it is broadcast; beyond that the rows are joined by
-    shuffle, with the hot keys taken out (:func:`split_hot_join`).  A ``costly`` lookup (an aggregate) is
-    written first, so that counting and joining do not compute it twice.  ``rows`` gives a known count.
+    The lookup is measured first.  Within ``max_rows`` and ``BROADCAST_BYTES`` it is broadcast; beyond that the
+    rows are joined by shuffle, with the hot keys taken out (:func:`split_hot_join`).  A ``costly`` lookup (an
+    aggregate) is written first, so that measuring and joining do not compute it twice.  ``rows`` gives a known
+    count of a lookup whose columns are numbers.
     """
     on = [on] if isinstance(on, str) else list(on)
-    rows = rows if rows is not None else known_rows(small)
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    size = known_bytes(small)
+    if rows is None:
+        rows = known_rows(small)
     if rows is None and costly:
         small = materialize(small, "lookup")
-        rows = known_rows(small)
+        rows, size = known_rows(small), known_bytes(small)
     if rows is None:
-        rows = small.limit(max_rows + 1).count()
-    if rows <= max_rows:
+        seen = small.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(small.schema)).alias("bytes")).first()
+        rows, size = seen["rows"], seen["bytes"] or 0
+    if rows <= max_rows and (size or 0) <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     return split_hot_join(big, small, on, how)
 
@@ -55,11 +61,14 @@ def split_hot_join(
     """Join ``big`` to ``small`` (unique on the key) without sending a hot key to one task.
 
     At most ``parts`` keys can each hold more than ``1/parts`` of the rows, so their lookup rows always
-    fit a broadcast; all other keys are spread by an ordinary shuffle join.
+    fit a broadcast; all other keys are spread by an ordinary shuffle join.  ``big`` is read three times, so it is
+    written first unless it is a written table: a chain of such joins then grows by one write each, not twofold.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner"):
         raise ValueError("split_hot_join supports left and inner joins")
+    if known_rows(big) is None:
+        big = materialize(big, "joined")
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     counts, seen = measured(counts, "keycount", total=F.sum("_rows"))
     total = seen["total"] or 0

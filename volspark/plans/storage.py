@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _FOLDER_CONF = "spark.checkpoint.dir"
 
@@ -37,6 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+def _bytes_of(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a row; nulls count 8."""
+    if isinstance(kind, StringType | BinaryType):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, ArrayType) and not isinstance(kind.elementType, ArrayType | MapType | StringType | BinaryType):
+        width = 8 * len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 8
+        size = F.size(value) * width + 24
+    elif isinstance(kind, ArrayType | MapType):
+        size = F.octet_length(F.to_json(value)) + 24
+    elif isinstance(kind, StructType):
+        size = sum((_bytes_of(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(8))
+
+
+def row_bytes(schema: StructType) -> Column:
+    return sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16)).cast("long")
+
+
 def measured(df: DataFrame, tag: str = "step", **measures: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` once; return it as a plain scan with its row count (``rows``) and further aggregates.
 
@@ -45,11 +66,11 @@ def measured(df: DataFrame, tag: str = "step", **measures: Column) -> tuple[Data
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/volspark/{tag}-{uuid.uuid4().hex}"
     seen = Observation()
-    count = F.count(F.lit(1)).alias("rows")
-    df.observe(seen, count, *(m.alias(n) for n, m in measures.items())).write.parquet(path)
+    totals = F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df.schema)).alias("_bytes")
+    df.observe(seen, *totals, *(m.alias(n) for n, m in measures.items())).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     numbers = dict(seen.get)
-    out._volspark_rows = numbers["rows"]
+    out._volspark_rows, out._volspark_bytes = numbers["rows"], numbers.pop("_bytes") or 0
     return out, numbers
 
 
@@ -63,6 +84,11 @@ def known_rows(df: DataFrame) -> int | None:
     return df.__dict__.get("_volspark_rows")
 
 
+def known_bytes(df: DataFrame) -> int | None:
+    """About the bytes of the rows of a table written here; None for any other DataFrame."""
+    return df.__dict__.get("_volspark_bytes")
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
     if df is None:

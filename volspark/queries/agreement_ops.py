@@ -98,15 +98,15 @@ SURF = ", ".join(
 
 
 @query("hausdorff_distances", with_(EV, cube(1), SURF, f"st AS (FROM mt EXCEPT ({eroded('mt', 1, 7)}))", f"sp AS (FROM mp EXCEPT ({eroded('mp', 1, 7)}))", """
-dd AS (SELECT a.subject_id, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)*4) AS d FROM st a JOIN sp b USING (subject_id) GROUP BY a.subject_id, a.x, a.y, a.z
- UNION ALL SELECT a.subject_id, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)*4) FROM sp a JOIN st b USING (subject_id) GROUP BY a.subject_id, a.x, a.y, a.z)""", body="""
+dd AS (SELECT a.subject_id, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)*4) AS d FROM st a LEFT JOIN sp b USING (subject_id) GROUP BY a.subject_id, a.x, a.y, a.z
+ UNION ALL SELECT a.subject_id, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)*4) FROM sp a LEFT JOIN st b USING (subject_id) GROUP BY a.subject_id, a.x, a.y, a.z)""", body="""
 SELECT subject_id//10 AS subject_id, CAST(subject_id%10 AS INT) AS cls, round(max(sqrt(d)),6) AS hd, round(quantile_cont(sqrt(d),0.5),6) AS hd50, round(quantile_cont(sqrt(d),0.95),6) AS hd95 FROM dd GROUP BY 1,2"""))
 def hausdorff_distances(spark, d):
     return rounded(A.hausdorff(ev(spark, d), ev_dims(spark, d), "hole", "blk", (1.0, 1.0, 2.0)), "hd", "hd50", "hd95")
 
 
-LOSS = """l0 AS (SELECT vec_id, label%4 AS t, unnest(range(0,4)) AS c, unnest(embedding[1:4])::DOUBLE AS s FROM embeddings),
-l1 AS (SELECT *, exp(s)/sum(exp(s)) OVER (PARTITION BY vec_id) AS p, vec_id//100 AS subject_id, 1+vec_id%3 AS w FROM l0),
+LOSS = """l0 AS (SELECT vec_id, label%4 AS t, i//4 AS q, i%4 AS c, s FROM (SELECT vec_id, label, unnest(range(0,64)) AS i, unnest(embedding)::DOUBLE AS s FROM embeddings)),
+l1 AS (SELECT *, exp(s)/sum(exp(s)) OVER (PARTITION BY vec_id, q) AS p, vec_id//100 AS subject_id, 1+vec_id%3 AS w FROM l0),
 l2 AS (SELECT subject_id, c, 1-2*sum(p*(c=t)::INT)/(sum(p+(c=t)::INT)+0.001) AS dl FROM l1 GROUP BY 1,2),
 l3 AS (SELECT subject_id, avg(-ln(p)*w) AS ce FROM l1 WHERE c=t GROUP BY 1)"""
 
@@ -114,9 +114,9 @@ l3 AS (SELECT subject_id, avg(-ln(p)*w) AS ce FROM l1 WHERE c=t GROUP BY 1)"""
 @query("score_losses", with_(LOSS, body="SELECT subject_id, round(avg(dl),6) AS dice_loss, round(any_value(ce),6) AS ce_loss, round(avg(dl)+any_value(ce),6) AS loss FROM l2 JOIN l3 USING (subject_id) GROUP BY 1"))
 def score_losses(spark, d):
     e = table(spark, d, "embeddings")
+    fours = F.explode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda q: F.transform(F.slice("embedding", q * 4 + 1, 4), lambda v: v.cast("double"))))
     rows = e.select(
-        F.floor(F.col("vec_id") / 100).alias("subject_id"), (F.col("label") % 4).alias("label"),
-        F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("s"), (1 + F.col("vec_id") % 3).alias("weight"),
+        F.floor(F.col("vec_id") / 100).alias("subject_id"), (F.col("label") % 4).alias("label"), fours.alias("s"), (1 + F.col("vec_id") % 3).alias("weight"),
     )
     return rounded(A.evaluate_losses(rows), "dice_loss", "ce_loss", "loss")
 

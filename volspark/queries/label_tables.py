@@ -222,9 +222,9 @@ def header_affine_consistent(spark, d):
 
 
 @query("modality_mode", """SELECT l_suppkey AS subject_id, CASE WHEN a AND b THEN 't1t2' WHEN a THEN 't1' WHEN b THEN 't2' END AS mode FROM (
-SELECT l_suppkey, bool_or(l_returnflag='A') a, bool_or(l_returnflag='R' AND l_suppkey%2=0) b FROM lineitem WHERE l_quantity < 3 GROUP BY 1)""")
+SELECT l_suppkey, bool_or(l_returnflag='A') a, bool_or(l_returnflag='R' AND l_suppkey%2=0) b FROM lineitem GROUP BY 1)""")
 def modality_mode(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity < 3")
+    rows = table(spark, d, "lineitem")
     m = F.when(F.col("l_returnflag") == "A", "t1").when((F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 2 == 0), "t2")
     return L.modality_mode(rows.select(F.col("l_suppkey").alias("subject_id"), F.coalesce(m, F.lit("-")).alias("modality")))
 
@@ -396,9 +396,9 @@ def structure_names(spark, d):
 
 
 @query("colour_index", with_(PLUT, body="""SELECT id, CAST(dense_rank() OVER (ORDER BY id)-1 AS INT) AS color_index, round((id%256)/255.0,6) AS r, round((id%7)/255.0,6) AS g, round((id%99)/255.0,6) AS b
-FROM plut WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 5)"""))
+FROM plut WHERE id IN (SELECT l_partkey FROM lineitem)"""))
 def colour_index(spark, d):
-    present = table(spark, d, "lineitem").filter("l_quantity < 5").select(F.col("l_partkey").cast("int").alias("seg"))
+    present = table(spark, d, "lineitem").select(F.col("l_partkey").cast("int").alias("seg"))
     out = M.colour_index(present, part_lut(spark, d))
     return out.select("id", "color_index", *(F.round(c, 6).alias(c) for c in "rgb"))
 

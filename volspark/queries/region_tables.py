@@ -84,13 +84,13 @@ def merged_label_stats(spark, d):
 
 
 @query("distinct_label_groups", """
-WITH g AS (SELECT c_nationkey AS group_id, c_custkey%3 AS m FROM customer WHERE c_acctbal > 9000),
+WITH g AS (SELECT c_nationkey AS group_id, c_custkey%3 AS m FROM customer),
 s AS (SELECT group_id, list_sort(list_distinct(list(m))) AS members FROM g GROUP BY 1),
 f AS (SELECT members, min(group_id) AS first_group FROM s GROUP BY 1)
 SELECT CAST(9999 + row_number() OVER (ORDER BY first_group) AS INT) AS group_id, first_group,
   array_to_string(members, ',') AS members FROM f""")
 def distinct_label_groups(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet").filter("c_acctbal > 9000")
+    rows = spark.read.parquet(f"{d}/customer.parquet")
     groups = rows.select(F.col("c_nationkey").alias("group_id"), (F.col("c_custkey") % 3).alias("member_id"))
     out = R.distinct_groups(groups)
     return out.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))

@@ -123,10 +123,10 @@ def class_names(spark, d):
     return T.class_names(t, "sagittal", ["HOUSEHOLD", "MACHINERY"])
 
 
-@query("add_auxiliary", """SELECT l_orderkey AS k, false AS auxiliary FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity<10)
+@query("add_auxiliary", """SELECT l_orderkey AS k, false AS auxiliary FROM (SELECT DISTINCT l_orderkey FROM lineitem)
 UNION ALL SELECT o_orderkey, true FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey)-1 AS p FROM orders) WHERE p%3=0""")
 def add_auxiliary(spark, d):
-    labelled = table(spark, d, "lineitem").filter("l_quantity < 10").select(F.col("l_orderkey").alias("k")).distinct()
+    labelled = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
     return T.add_auxiliary(labelled, table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), 0.3, "k")
 
 

@@ -63,7 +63,7 @@ def parse_batch_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     bare = F.transform(words, lambda w: F.regexp_replace(w, "^[\"']|[\"']$", ""))
     keep = [c for c in lines.columns if c != line]
     rows = lines.filter(F.contains(F.col(line), F.lit("="))).withColumn("_w", bare)
-    return rows.select(*keep, F.get(halves, F.lit(0)).alias("id"), F.get("_w", F.lit(0)).alias("path"), F.slice("_w", 2, 1_000_000).alias("args"))
+    return rows.select(*keep, F.get(halves, F.lit(0)).alias("id"), F.get("_w", F.lit(0)).alias("path"), F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))).alias("args"))
 
 
 def parse_pairings(lines: DataFrame, line: str = "line") -> DataFrame:
