@@ -211,14 +211,17 @@ def region_stats(
     robust: float | None = None,
     value: str = "norm",
     volumes: DataFrame | None = None,
+    partials: DataFrame | None = None,
 ) -> DataFrame:
     """The complete region table of a study.
 
     Voxels are shuffled once, as partial aggregates on (subject, label).  ``volumes`` (subject, seg,
-    volume) replaces the voxel-count volumes, e.g. by partial-volume corrected ones.
+    volume) replaces the voxel-count volumes, e.g. by partial-volume corrected ones.  ``partials`` are sums made
+    earlier (:func:`region_partials`); ``voxels`` then only names the labels.
     """
     labels = choose_labels(voxels, ids, lut, exclude) if (ids is not None or lut is not None) else None
-    partials = region_partials(voxels, value) if robust is None else robust_partials(voxels, robust, value)
+    if partials is None:
+        partials = region_partials(voxels, value) if robust is None else robust_partials(voxels, robust, value)
     partials = with_volume(partials, headers)
     if volumes is not None:
         partials = partials.drop("volume").join(volumes, REGION, "left").fillna(0.0, subset=["volume"])

@@ -186,7 +186,8 @@ def stream_deduplicated(spark, d):
     return spark.read.schema("event_id bigint").parquet(out)
 
 
-@query("stream_stage_durations", with_(STAGES, body="SELECT * FROM (SELECT subject_id, event_id, stage, round((lead(us) OVER (PARTITION BY subject_id ORDER BY us, event_id)-us)/1e6,6) AS duration_s FROM stages) WHERE duration_s IS NOT NULL"))
+@query("stream_stage_durations", with_(STAGES, body="""SELECT subject_id, event_id, stage, round((nx-us)/1e6,6) AS duration_s FROM (SELECT *, lead(us) OVER (PARTITION BY subject_id ORDER BY us, event_id) AS nx FROM stages)
+WHERE nx//1000 < (SELECT max(us)//1000 FROM stages) - 3600000"""))
 def stream_stage_durations(spark, d):
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     starts = stream_of(spark, d, "events").select(F.col("user_id").alias("subject_id"), "event_id", F.col("event_type").alias("stage"), us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
@@ -202,6 +203,6 @@ def stream_region_stats(spark, d):
     heads = bag_headers(spark, d)
     voxels = stream_of(spark, d, "lineitem").select((F.col("l_suppkey") % 4).alias("subject_id"), (F.col("l_suppkey") % 30).cast("int").alias("seg"), F.col("l_extendedprice").alias("norm"))
     out = scratch(spark, "regions")
-    sink = S.live_regions(voxels, lambda batch: R.region_stats(batch, heads, exclude=[0]), out, scratch(spark, "progress"))
-    S.run_available(sink)
-    return spark.read.parquet(out).select("subject_id", "seg", "n_voxels", "volume", F.round("v_mean", 6).alias("v_mean"))
+    S.run_available(S.live_regions(voxels, out, scratch(spark, "progress")))
+    sums = S.stored_regions(spark, out)
+    return R.region_stats(sums, heads, exclude=[0], partials=sums).select("subject_id", "seg", "n_voxels", "volume", F.round("v_mean", 6).alias("v_mean"))

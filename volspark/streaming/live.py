@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from volspark.operators.logs import ERROR_WORDS, HARMLESS, is_error
-from volspark.operators.regions import SUBJECT
+from volspark.operators.regions import SUBJECT, region_partials
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -40,14 +40,16 @@ def once_only(status: DataFrame, keys: Sequence[str], delay: str = "1 hour") ->
 
 
 _STAGE_OUT = "subject_id long, event_id long, stage string, duration_s double, finished boolean"
-_STAGE_STATE = "event_id long, stage string, us long"
+# The open stage (its time is NULL before the first), and the starts that the watermark has not passed yet.
+_STAGE_STATE = "event_id long, stage string, us long, waiting_us array<long>, waiting_id array<long>, waiting_stage array<string>"
 
 
 def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 86_400_000) -> DataFrame:
     """Duration of each stage once the next one of its subject starts (``subject_id, event_id, stage, us, ts``).
 
-    The state is one open stage per subject.  A stage still open ``timeout_ms`` of event time after its
-    start is reported unfinished.
+    Starts wait in the state until the watermark has passed them and are then taken in order, so a start may come up to
+    ``delay`` late, in any batch; those that come after a later start has been taken are dropped.  A stage still open ``timeout_ms`` of event time after its start is
+    reported unfinished.  The state of a subject holds its starts of the last ``delay`` and one open stage.
     """
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -62,20 +64,35 @@ def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 8
         )
 
     def close(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        event, stage, us, waiting = 0, None, None, []
+        if state.exists:
+            event, stage, us, *lists = state.get
+            waiting = list(zip(*lists, strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), rows["stage"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda r: r[:2])
+        ready = [r for r in waiting if r[0] // 1000 < passed]
+        waiting = waiting[len(ready) :]
         done = []
-        if state.hasTimedOut:
-            event, stage, _ = state.get
-            state.remove()
+        for at, number, name in ready:
+            if us is not None and at < us:
+                continue  # later than the delay: its place in the order has been given out
+            if us is not None:
+                done.append((event, stage, (at - us) / 1e6, True))
+            event, stage, us = number, name, at
+        if us is not None and not waiting and us // 1000 + timeout_ms < passed:
             done.append((event, stage, float("nan"), False))
+            us = None
+        if us is None and not waiting:
+            if state.exists:
+                state.remove()
         else:
-            opened = state.get if state.exists else None
-            rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-            for event, stage, us in zip(rows["event_id"], rows["stage"], rows["us"], strict=True):
-                if opened is not None:
-                    done.append((opened[0], opened[1], (us - opened[2]) / 1e6, True))
-                opened = (int(event), stage, int(us))
-            state.update(opened)
-            state.setTimeoutTimestamp(max(opened[2] // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            columns = list(zip(*waiting, strict=True)) if waiting else [(), (), ()]
+            state.update((event, stage, us, *(list(c) for c in columns)))
+            due = waiting[0][0] // 1000 if waiting else us // 1000 + timeout_ms
+            state.setTimeoutTimestamp(max(due, passed + 1))
         out = frame(done)
         out.insert(0, "subject_id", pd.Series([key[0]] * len(out), dtype="int64"))
         yield out
@@ -84,20 +101,30 @@ def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 8
     return marked.groupBy(SUBJECT).applyInPandasWithState(close, _STAGE_OUT, _STAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def live_regions(voxels: DataFrame, table: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Region tables of newly arrived subjects; a subject that comes again replaces its rows.
+def live_regions(voxels: DataFrame, path: str, checkpoint: str, value: str = "norm"):
+    """Partial sums of every subject and label, one folder per batch; see :func:`stored_regions`.
 
-    ``table`` turns the voxels of a batch into region rows with ``subject_id``.
+    A batch that runs again after a failure writes the same folder again, so nothing counts twice.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        # the folder name takes the key, so the rows keep a copy
-        rows = table(batch).withColumn("subject", F.col(SUBJECT))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject").parquet(path)
+        region_partials(batch, value).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return voxels.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
+def stored_regions(spark: SparkSession, path: str) -> DataFrame:
+    """The partial sums of all batches together, for ``region_stats(partials=...)``: subjects may come in any parts."""
+    parts = spark.read.parquet(path)
+    spread = F.coalesce(F.col("v_std") * F.col("v_std") * (F.col("n_values") - 1), F.lit(0.0)) + F.try_divide(F.col("v_sum") * F.col("v_sum"), F.col("n_values"))
+    out = parts.groupBy(SUBJECT, "seg").agg(
+        *(F.sum(c).alias(c) for c in ("n_voxels", "n_values", "v_sum", "v_sum2")), F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.sum(spread).alias("_spread")
+    )
+    within = F.col("_spread") - F.col("v_sum") * F.col("v_sum") / F.col("n_values")
+    deviation = F.when(F.col("n_values") > 1, F.sqrt(F.greatest(within, F.lit(0.0)) / (F.col("n_values") - 1)))
+    return out.withColumn("v_std", deviation).drop("_spread")
+
+
 def upsert_counts(path: str) -> Callable[[DataFrame, int], None]:
     """Batch writer for update-mode aggregates: keeps every version with its batch number."""
 
