@@ -214,7 +214,9 @@ def _difference_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, lea
     rows = rows.select("_pivot", "_node", "_comp", "_n", (F.col("_comp") != F.col("_home")).alias("_out"), "_above", "_a", (F.size("_base") - F.col("_n") + F.col("_a")).alias("_r"), "_add")
     rows = materialize(rows, "differences")
 
-    tokens = rows.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", F.explode("_add").alias("_t"))
+    # members of a large pivot are dealt over all tasks before their shingles are written out
+    spread = rows.repartition("_pivot", "_node")
+    tokens = spread.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", F.explode("_add").alias("_t"))
     # An added shingle counts if a pair to be compared can share it: it has members of two components, one outside of the
     # pivot's and one not above.  The others stand first in the order, as they are never met.  Shingles that the same members have
     # added stand together and are met once.
