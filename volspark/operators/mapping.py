@@ -34,9 +34,9 @@ def reverse_map(mapping: DataFrame, order: str = "src") -> DataFrame:
     return mapping.groupBy(F.col("dst").alias("src")).agg(F.max_by(F.col("src"), F.col(order)).alias("dst"))
 
 
-def is_bijective(mapping: DataFrame) -> bool:
-    row = mapping.agg(F.count("dst").alias("n"), F.countDistinct("dst").alias("d")).first()
-    return row["n"] == row["d"]
+def bijective(mapping: DataFrame) -> DataFrame:
+    """One row: whether no target has two sources."""
+    return mapping.agg((F.count("dst") == F.count_distinct("dst")).alias("bijective"))
 
 
 def chain_maps(first: DataFrame, second: DataFrame) -> DataFrame:

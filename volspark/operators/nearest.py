@@ -105,12 +105,11 @@ def nearest_points(queries: DataFrame, targets: DataFrame, keys: Sequence[str] =
         bound = F.min(F.least("_limit", _far2() * (1 + 1e-9))).over(Window.partitionBy(*keys, "qid"))
         opened = opened.withColumn("_limit", bound).filter(_near2() <= F.col("_limit"))
         kept = materialize(opened.select(*keys, "qid", "x", "y", "z", "_limit", F.col("_b._inner").alias("cell")), "descent")
-    leaf = points.groupBy(*keys, _cell(levels[-1], frame).alias("cell")).agg(
-        F.collect_list(F.struct(*(F.col(a).alias(f"t{a}") for a in "xyz"), "tid")).alias("_points")
-    )
-    met = attach(kept, leaf, [*keys, "cell"], "inner", max_rows=_WIDE_ROWS).select(*keys, "qid", "x", "y", "z", F.explode("_points").alias("_t"))
-    d2 = sum(((F.col(a) - F.col(f"_t.t{a}")) * (F.col(a) - F.col(f"_t.t{a}")) for a in "xyz"), F.lit(0.0))
-    best = met.groupBy(*keys, "qid").agg(F.min(F.struct(d2.alias("d2"), F.col("_t.tid").alias("tid"))).alias("_m"))
+    # points of the last boxes join one by one, so a box that can't be split further is no row of its own
+    last = points.select(*keys, _cell(levels[-1], frame).alias("cell"), *(F.col(a).alias(f"t{a}") for a in "xyz"), "tid")
+    met = kept.join(last, [*keys, "cell"])
+    d2 = sum(((F.col(a) - F.col(f"t{a}")) * (F.col(a) - F.col(f"t{a}")) for a in "xyz"), F.lit(0.0))
+    best = met.groupBy(*keys, "qid").agg(F.min(F.struct(d2.alias("d2"), F.col("tid").alias("tid"))).alias("_m"))
     found = best.select(*keys, "qid", "_m.tid", F.sqrt("_m.d2").alias("distance"))
     none = queries.join(points.select(*keys).distinct(), keys, "left_anti")
     nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("tid", "distance")]

@@ -83,7 +83,8 @@ SELECT g AS scale_group, round(avg(tp/(t+p-tp)),6) AS mean_iou, round(avg(CASE W
 def group_mean_scores(spark, d):
     rows = lv(spark, d).select((F.col("z") % 3).alias("scale_group"), (F.col("seg") - 1).alias("seg"), (F.col("pred") - 1).alias("pred"))
     per_class = A.class_counts(A.confusion(rows, by=["scale_group"]), ["scale_group"])
-    out = A.group_scores(per_class, "scale_group").join(A.final_score(per_class, "scale_group"), how="full")
+    score = A.final_score(per_class, "scale_group").select("score").scalar()
+    out = A.group_scores(per_class, "scale_group").withColumn("score", score)
     return rounded(out, "mean_iou", "mean_recall", "mean_precision", "score")
 
 

@@ -68,15 +68,15 @@ def region_stats_partial_volume(spark, d):
     return rounded(out, "volume", "v_mean").select("subject_id", "row_index", "seg", "n_voxels", "volume", "v_mean")
 
 
-BODY = ("b0 AS (SELECT subject_id, x, y, z FROM ev WHERE seg>=4 AND blk<>4)", f"m1 AS ({dilated('b0', 3)})", f"m2 AS ({eroded('m1', 3, 27)})",
-        "hs AS (SELECT subject_id, 0 AS g, x, y, z FROM m2)")
+BODY = ("b0 AS (SELECT subject_id, x, y, z FROM ev WHERE seg>=4 AND blk<>4)", *(f"b{k} AS MATERIALIZED ({dilated(f'b{k - 1}', 3)})" for k in range(1, 6)),
+        *(f"b{k} AS MATERIALIZED ({eroded(f'b{k - 1}', 3, 27)})" for k in range(6, 10)), "hs AS (SELECT subject_id, 0 AS g, x, y, z FROM b9)")
 
 
 @query("brain_mask", with_(EV, cube(1), *BODY, *reach("hs", 3), BEST, body="""
 SELECT subject_id, x, y, z FROM comp JOIN bs USING (subject_id, g, component) UNION SELECT subject_id, x, y, z FROM ev WHERE seg>=4 AND blk=4""", recursive=True))
 def brain_mask(spark, d):
     v = ev(spark, d).withColumn("l", F.when(F.col("seg") < 4, 0).when(F.col("blk") == 4, 1012).otherwise(5))
-    return K.brain_mask(v, ev_dims(spark, d), 1, 1, "l")
+    return K.brain_mask(v, ev_dims(spark, d), 5, 4, "l")
 
 
 BLURRED = """(SELECT t.subject_id, t.x0 AS x, t.y0 AS y, t.z0 AS z, {agg} FROM (SELECT e.subject_id, e.x AS x0, e.y AS y0, e.z AS z0, o.w, {match} FROM ev e, {kernel} o) t JOIN ev s USING (subject_id, x, y, z) GROUP BY 1,2,3,4)"""
@@ -95,12 +95,12 @@ def kernel(name, sigma):
     return f"{name}1 AS (SELECT i, exp(-0.5*(i/{sigma})*(i/{sigma}))/(SELECT sum(exp(-0.5*(i/{sigma})*(i/{sigma}))) FROM {one}) AS w FROM {one}), {name} AS MATERIALIZED (SELECT a.i AS dx, b.i AS dy, c.i AS dz, a.w*b.w*c.w AS w FROM {name}1 a, {name}1 b, {name}1 c)"
 
 
-@query("flip_islands", with_(EV, cube(1), kernel("gk", 0.5), "hs AS (SELECT subject_id, hole AS g, x, y, z FROM ev WHERE hole IN (1,3))", *reach("hs", 3), BEST,
+@query("flip_islands", with_(EV, cube(1), kernel("gk", 1.5), "hs AS (SELECT subject_id, hole AS g, x, y, z FROM ev WHERE hole IN (1,3))", *reach("hs", 3), BEST,
     "fd AS " + BLURRED.format(agg="round(sum(t.w*CASE WHEN s.hole IN (1,2) THEN -1 WHEN s.hole IN (3,4) THEN 1 ELSE 0 END),9) AS f", match=NEAR, kernel="gk"), body="""
 SELECT ev.subject_id, ev.x, ev.y, ev.z, CAST(CASE WHEN c.component IS NOT NULL AND bs.component IS NULL AND hole=3 AND f<0 THEN 1 WHEN c.component IS NOT NULL AND bs.component IS NULL AND hole=1 AND f>0 THEN 3 ELSE hole END AS INT) AS hole
 FROM ev JOIN fd USING (subject_id, x, y, z) LEFT JOIN comp c USING (subject_id, x, y, z) LEFT JOIN bs ON bs.subject_id=c.subject_id AND bs.g=c.g AND bs.component=c.component""", recursive=True))
 def flip_islands(spark, d):
-    return K.flip_islands(ev(spark, d).select(*VOXEL, "hole"), ev_dims(spark, d), "hole", ((1, 2), (3, 4)), 0.5)
+    return K.flip_islands(ev(spark, d).select(*VOXEL, "hole"), ev_dims(spark, d), "hole", ((1, 2), (3, 4)), 1.5)
 
 
 @query("clean_regions")

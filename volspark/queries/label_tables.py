@@ -278,7 +278,7 @@ def reverse_label_map(spark, d):
 def map_bijective(spark, d):
     p = table(spark, d, "part")
     maps = {"size": part_map(spark, d, -1), "key": p.select(F.col("p_size").alias("src"), F.col("p_partkey").alias("dst"))}
-    parts = [p.groupBy().agg(F.lit(n).alias("map_name"), F.lit(M.is_bijective(m)).alias("bijective")) for n, m in maps.items()]
+    parts = [M.bijective(m).select(F.lit(n).alias("map_name"), "bijective") for n, m in maps.items()]
     return parts[0].unionByName(parts[1])
 
 

@@ -61,7 +61,7 @@ def numbered_text_lines(spark, d):
     path = scratch(spark, "lines")
     docs = table(spark, d, "documents").select("doc_id", "lang")
     lines = log_lines(spark, d).join(docs, "doc_id").select("lang", "line")
-    lines.repartition("lang").write.partitionBy("lang").text(path)
+    lines.write.partitionBy("lang").text(path)
     got = numbered_lines(spark, path)
     lang = F.regexp_extract("file", "lang=([^/]+)/", 1)
     return got.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line").alias("kinds"), F.countDistinct("file", "line_no").alias("numbers"))
