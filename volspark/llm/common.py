@@ -25,6 +25,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+    """Let Arrow batches of texts hold at most so many rows and bytes; a session with stricter settings keeps them.
+
+    The defaults allow 10,000 rows, which for long texts is more than a task should hold on either side.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name).strip().lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else kept."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import WordHashes, table
+from volspark.llm.common import WordHashes, bounded_batches, table
 from volspark.llm.registry import query
 
 # Words of a shingle and the least weighted similarity that counts as a copy.
@@ -262,6 +262,7 @@ def contaminated(
     Null or empty texts and items hold nothing; repeated documents give a row each, repeated items count as several; null ids are
     carried; extra columns are ignored.  Without items or documents the result is empty.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"))
     item_type = items.schema[item_col].dataType
     names = [id_col, item_col, "start", "n_words", "similarity"]
@@ -277,6 +278,7 @@ def contaminated(
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; see :func:`contaminated`."""
+    bounded_batches(docs.sparkSession)
     for part in _item_blocks(items, item_col, item_text, block):
         docs = docs.mapInArrow(partial(_clean, items=part, at=docs.columns.index(text_col)), docs.schema)
     return docs

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import has_letter, hashed_sample, remainder, table
+from volspark.llm.common import bounded_batches, has_letter, hashed_sample, remainder, table
 from volspark.llm.registry import query
 
 UNKNOWN = "und"
@@ -115,6 +115,7 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = 4, held: int = 2) -> Model | None:
     """Fit on about ``sample`` rows with a language, outside the held-out fold; None without any."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.coalesce(remainder(F.col("_id"), folds) != held, F.lit(False)))
     picked = hashed_sample(rows, ["_id", "text"], sample).filter(F.col("text").isNotNull())
@@ -155,6 +156,7 @@ def predict_language(docs: DataFrame, model: Model | None, keep: list[str], text
     nothing to learn from.  ``keep`` may hold any columns but lang_pred, score and ambiguous; repeated rows are each
     predicted; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("binary").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     return rows.mapInArrow(partial(_predict, model=model), f"{fields}, lang_pred string, score double, ambiguous boolean")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from volspark.llm.common import WordHashes, table
+from volspark.llm.common import WordHashes, bounded_batches, table
 from volspark.llm.registry import query
 from volspark.plans.joins import BROADCAST_ROWS
 from volspark.plans.storage import known_rows, materialize, measured
@@ -260,6 +260,7 @@ def near_components(
     Repeated ids share their component.  A row without an id is not linked: component_id null, not kept.  An empty table gives
     an empty result; extra columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = texts.schema["_id"].dataType.simpleString()
     sketch = texts.mapInArrow(

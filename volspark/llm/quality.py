@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import hashed_sample, remainder, table
+from volspark.llm.common import bounded_batches, hashed_sample, remainder, table
 from volspark.llm.registry import query
 from volspark.plans.storage import materialize
 
@@ -177,6 +177,7 @@ def score_quality(
     alike, null ids are scored and never held out.  Without labels the score is 0.5; with one class only it is the
     share of that class, kept within 0.001 of the ends.  Extra columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     stats = materialize(document_statistics(docs, id_col, text_col), "quality")
     trees = learn(stats, labels, label, id_col, folds=folds, held=held)
     scored = stats.mapInArrow(partial(_score, trees=trees), f"_id {stats.schema['_id'].dataType.simpleString()}, score double, predicted int")

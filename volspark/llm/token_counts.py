@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import fresh_folder, path_exists, table
+from volspark.llm.common import bounded_batches, fresh_folder, path_exists, table
 from volspark.llm.registry import query
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -98,6 +98,7 @@ def count_tokens(
     tokens; extra columns are ignored.  A cache that holds a digest twice (two jobs that ran at once) counts as once.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
     store = f"{cache_path.rstrip('/')}/version={tokenizer_version(tokenizer_path)}"

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from volspark.llm.common import Memo, fresh_folder, table
+from volspark.llm.common import Memo, bounded_batches, fresh_folder, table
 from volspark.llm.registry import query
 from volspark.plans.joins import attach
 
@@ -301,6 +301,7 @@ def write_shards(
     A null or empty text is the end id alone; repeated rows are written each, ties by text; null ids come first; extra columns
     are ignored; an empty table gives an empty folder.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     order = [F.col("_id"), F.xxhash64("_text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions("_id", F.xxhash64("_text"), "_text")
@@ -338,6 +339,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of every written document, decoded from the files alone."""
+    bounded_batches(spark)
     shards = spark.read.parquet(path)
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     docs = shards.mapInArrow(_decode, f"part int, seq int, _id {kind}, _begin long, n_tokens long, ids_crc32 long")
