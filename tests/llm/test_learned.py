@@ -234,6 +234,34 @@ def test_contaminated(spark, empty, hard):
     assert D.without_contaminated(hard, bench).columns == hard.columns and D.without_contaminated(hard, bench).count() == hard.count()
 
 
+def edge_copies(lengths, seed):
+    """(items, texts): copies shortened or reworded at the start, in the middle or at the end, down to similarity LEAST."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    items, texts = [], []
+    for k, n in enumerate(lengths):
+        own = fresh(n)
+        items.append((k, " ".join(own)))
+        for edits in range(1, n // 6 + 1):
+            for at in (0, (n - edits) // 2, n - edits):
+                for new in (edits, 0):
+                    copy = own[:at] + fresh(new) + own[at + edits :]
+                    texts.append((len(texts), " ".join(fresh(30) + copy + fresh(30))))
+    return items, texts
+
+
+def assert_none_lost(lengths, seed):
+    items, texts = edge_copies(lengths, seed)
+    index = D.Index(items)
+    found = index.matches([D.words_of(t) for _, t in texts], D.WordHashes())
+    want = brute_contaminated(texts, items)
+    assert len(want) > len(lengths) and {(d, index.items[i][0]) for (d, _), hits in zip(texts, found, strict=True) for i in hits} == want
+
+
+def test_no_edge_cut_copy_of_a_long_item_is_lost():
+    assert_none_lost([80, 127], 5)
+
+
 def test_fingerprints_are_majorities():
     rng = np.random.default_rng(2)
     pairs = rng.integers(0, 1 << 63, 200, np.uint64) * np.uint64(2) + rng.integers(0, 2, 200, np.uint64)

@@ -1,7 +1,8 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted shingles."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, shingle anchors, exact weighted shingles."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -62,6 +63,18 @@ def pair_hashes(h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each SHINGLE words in a row."""
+    count = max(len(h) - SHINGLE + 1, 0)
+    x = h[:count].copy()
+    for k in range(1, SHINGLE):
+        x *= _P
+        x += h[k : k + count]
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def fingerprints(pairs: np.ndarray, count: int, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """(size, SimHash of the ``size``-word window at each of the first ``count`` places), sizes ascending.
 
@@ -105,12 +118,17 @@ def fingerprints(pairs: np.ndarray, count: int, sizes: list[int]) -> Iterator[tu
 
 
 class Index:
-    """Fingerprints of the items by window size, each size with a table per block of all values near enough."""
+    """Fingerprints of the items by window size, each size with a table per block of all values near enough.
+
+    Items of more than MAX_WINDOW words also have anchors: so many of their shingles, the rarest among the items, that a text of
+    similarity LEAST must share one of them.  Anchors lose no window, wherever the copy was cut or reworded.
+    """
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
         self.radius = radius
         self.items: list[tuple[int, list[str], Counter]] = []
         entries: dict[int, list[tuple[int, int, int]]] = {}
+        own: dict[int, np.ndarray] = {}
         hashes = WordHashes()
         for item_id, text in items:
             words = words_of(text)
@@ -121,7 +139,10 @@ class Index:
             for offset in range(0, n - w + 1, w):
                 mark = next(fingerprints(pairs[offset:], 1, [w]))[1][0]
                 entries.setdefault(w, []).append((int(mark), len(self.items), offset))
+            if n > MAX_WINDOW:
+                own[len(self.items)] = shingle_hashes(hashes.of(words))
             self.items.append((item_id, words, shingle_weights(words)))
+        self._anchor(own)
         self.sizes = sorted(entries)
         self.marks = {w: np.array([e[0] for e in rows], np.uint64) for w, rows in entries.items()}
         self.where = {w: [e[1:] for e in rows] for w, rows in entries.items()}
@@ -135,6 +156,34 @@ class Index:
                 tables[b, (parts[:, b, None] ^ near[None, :]).ravel()] = True
             self.tables[w] = tables
 
+    def _anchor(self, own: dict[int, np.ndarray]) -> None:
+        """Sorted anchors with their items, a bit table before them, and the distinct shingles of each anchored item."""
+        self.shingles = {item: np.unique(x) for item, x in own.items()}
+        held = Counter(s for x in self.shingles.values() for s in x.tolist())
+        rows = []
+        for item, x in own.items():
+            # at most len(x) - least shingles are not shared, so of one more at least one is
+            some = len(x) - math.ceil(LEAST * len(x) - 1e-9) + 1
+            rows += [(s, item) for s in set(sorted(x.tolist(), key=held.__getitem__)[:some])]
+        rows.sort()
+        self.anchors = np.array([s for s, _ in rows], np.uint64)
+        self.owners = np.array([item for _, item in rows], np.int64)
+        self.low = np.uint64((1 << max(16, (8 * len(rows)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.low) + 1, bool)
+        self.maybe[self.anchors & self.low] = True
+
+    def _anchored(self, shingles: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """(text, item) -> first and last place in the joined texts where the text holds an anchor of the item."""
+        at = np.flatnonzero(self.maybe[shingles & self.low])
+        left, right = (np.searchsorted(self.anchors, shingles[at], side) for side in ("left", "right"))
+        text = np.searchsorted(ends, at, "right")
+        good = (right > left) & (at + SHINGLE <= ends[np.minimum(text, len(ends) - 1)]) & (text < len(ends))
+        spans: dict[tuple[int, int], tuple[int, int]] = {}
+        for place, k, a, b in zip(*(x[good].tolist() for x in (at, text, left, right)), strict=True):
+            for item in self.owners[a:b].tolist():
+                spans[k, item] = (spans.get((k, item), (place,))[0], place)
+        return spans
+
     def _near(self, size: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places whose fingerprint is within the radius of an entry, and that entry."""
         parts, tables = marks.view(np.uint16).reshape(-1, BLOCKS), self.tables[size]
@@ -179,6 +228,11 @@ class Index:
         for k, words in enumerate(texts):
             if words:
                 self._whole(found[k], words, hashes, least)
+        if len(self.anchors) and total:
+            shingles = shingle_hashes(flat)
+            for (k, item), (first, last) in self._anchored(shingles, ends).items():
+                begin = int(ends[k]) - len(texts[k])
+                self._around(found[k], item, texts[k], shingles[begin : int(ends[k])], first - begin, last - begin, least)
         return found
 
     def _verify(self, found: dict, item: int, words: list[str], begin: int, least: float) -> None:
@@ -188,6 +242,19 @@ class Index:
         if alike >= least and (item not in found or (alike, -begin) > (found[item][0], -found[item][1])):
             found[item] = (alike, begin, len(window))
 
+    def _around(self, found: dict, item: int, words: list[str], shingles: np.ndarray, first: int, last: int, least: float) -> None:
+        """The windows that hold a shingle between two places, most promising first, as long as one can be the best."""
+        n, m = len(self.items[item][1]), len(words)
+        low, high = (0, 0) if m <= n else (max(first - (n - SHINGLE), 0), min(last, m - n))
+        whole, size = n - SHINGLE + 1, min(n, m) - SHINGLE + 1
+        sums = np.append(0, np.cumsum(np.isin(shingles[low : high + size], self.shingles[item])))
+        both = sums[size:] - sums[:-size]
+        most = both / (whole + size - both)
+        for k in np.argsort(-most, kind="stable"):
+            if most[k] < max(least, found.get(item, (0.0,))[0]):
+                break
+            self._verify(found, item, words, low + int(k), least)
+
     def _whole(self, found: dict, words: list[str], hashes: WordHashes, least: float) -> None:
         """A text that is somewhat shorter than an item: the whole text is the window."""
         m = len(words)
@@ -254,7 +321,7 @@ def contaminated(
     """One row per document row and item that it holds: id, item id, start, n_words, similarity of the best window.
 
     Windows of the item's size (:func:`window_size`) are fingerprinted at every word; where a SimHash differs from an item's in
-    at most RADIUS bits, the window of exactly as many words as the item is compared by 5-word shingles with
+    at most RADIUS bits, or an anchor of an item of more than MAX_WINDOW words is held, the window of exactly as many words as the item is compared by 5-word shingles with
     multiplicity, and counts from a similarity of 0.8.  A document
     shorter than the item is one window.  The items are a query set: they are read in blocks of about ``block``,
     each block a pass over the documents without any shuffle.
