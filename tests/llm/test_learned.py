@@ -262,6 +262,10 @@ def test_no_edge_cut_copy_of_a_long_item_is_lost():
     assert_none_lost([80, 127], 5)
 
 
+def test_no_edge_cut_copy_of_a_short_item_is_lost():
+    assert_none_lost([*range(10, 25, 2), 40, 64], 6)
+
+
 def test_fingerprints_are_majorities():
     rng = np.random.default_rng(2)
     pairs = rng.integers(0, 1 << 63, 200, np.uint64) * np.uint64(2) + rng.integers(0, 2, 200, np.uint64)

@@ -21,7 +21,7 @@ from volspark.llm.registry import query
 SHINGLE, LEAST = 5, 0.8
 # Fingerprints of 64 bits in BLOCKS blocks; of RADIUS differing bits some block has at most RADIUS // BLOCKS.
 BLOCKS, RADIUS = 4, 11
-# Items of more words are found by windows of this many, laid side by side over the item.
+# Items of more words are fingerprinted by windows of this many, laid side by side over the item.
 MAX_WINDOW = 64
 # Items of one pass over the documents; more items take more passes.
 ITEM_BLOCK = 20_000
@@ -120,7 +120,7 @@ def fingerprints(pairs: np.ndarray, count: int, sizes: list[int]) -> Iterator[tu
 class Index:
     """Fingerprints of the items by window size, each size with a table per block of all values near enough.
 
-    Items of more than MAX_WINDOW words also have anchors: so many of their shingles, the rarest among the items, that a text of
+    Items of SHINGLE words and more also have anchors: so many of their shingles, the rarest among the items, that a text of
     similarity LEAST must share one of them.  Anchors lose no window, wherever the copy was cut or reworded.
     """
 
@@ -139,7 +139,7 @@ class Index:
             for offset in range(0, n - w + 1, w):
                 mark = next(fingerprints(pairs[offset:], 1, [w]))[1][0]
                 entries.setdefault(w, []).append((int(mark), len(self.items), offset))
-            if n > MAX_WINDOW:
+            if n >= SHINGLE:
                 own[len(self.items)] = shingle_hashes(hashes.of(words))
             self.items.append((item_id, words, shingle_weights(words)))
         self._anchor(own)
@@ -321,7 +321,7 @@ def contaminated(
     """One row per document row and item that it holds: id, item id, start, n_words, similarity of the best window.
 
     Windows of the item's size (:func:`window_size`) are fingerprinted at every word; where a SimHash differs from an item's in
-    at most RADIUS bits, or an anchor of an item of more than MAX_WINDOW words is held, the window of exactly as many words as the item is compared by 5-word shingles with
+    at most RADIUS bits, or an anchor of an item of SHINGLE words and more is held, the window of exactly as many words as the item is compared by 5-word shingles with
     multiplicity, and counts from a similarity of 0.8.  A document
     shorter than the item is one window.  The items are a query set: they are read in blocks of about ``block``,
     each block a pass over the documents without any shuffle.
