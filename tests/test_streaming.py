@@ -60,6 +60,32 @@ def test_durations_with_late_rows(spark, tmp_path):
     assert {(r["subject_id"], r["event_id"]): (r["duration_s"], True) for r in batch} == got
 
 
+def test_a_finite_source_is_closed(spark, tmp_path):
+    # under an hour in all, in two batches, the second with an earlier start: without a closing marker nothing would come
+    batches = [[start(1, 1, "a", 10), start(1, 3, "c", 300), start(2, 9, "a", 12)], [start(1, 2, "b", 20), start(2, 10, "b", 1500), start(3, 20, "x", 1501)]]
+    shifted = F.col("us") + int(at(0).replace(tzinfo=datetime.timezone.utc).timestamp() * 1e6)
+    stream = files(spark, tmp_path, batches, STARTS).withColumn("us", shifted)
+    marks = live.mark_stream(spark, f"{tmp_path}/marks")
+    sink = live.live_durations(stream, marks=marks).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    live.run_to_end(sink, f"{tmp_path}/progress", f"{tmp_path}/marks", at(1501))
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["subject_id"], r["event_id"], r["stage"], r["duration_s"], r["finished"]) for r in got) == [
+        (1, 1, "a", 10.0, True), (1, 2, "b", 280.0, True), (2, 9, "a", 1488.0, True)
+    ]
+
+
+def test_the_query_gives_every_stage_with_a_successor(spark):
+    import duckdb
+
+    from volspark.queries import training_ops
+
+    folder = "/root/testdata/sf0.001"
+    want = duckdb.sql(f"""SELECT user_id, event_id, event_type, round(s, 6) FROM (SELECT *, (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts)) / 1e6 AS s
+        FROM '{folder}/events.parquet') WHERE s IS NOT NULL""").fetchall()
+    got = training_ops.stream_stage_durations(spark, folder).select("subject_id", "event_id", "stage", "duration_s").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_open_stage_times_out(spark, tmp_path):
     batches = [[start(1, 1, "a", 10)], [start(2, 2, "b", 10_000)], [start(2, 3, "c", 20_000)]]
     got = durations(spark, tmp_path, batches, delay="1 minute", timeout_ms=3_600_000)

@@ -191,9 +191,10 @@ WHERE nx//1000 < (SELECT max(us)//1000 FROM stages) - 3600000"""))
 def stream_stage_durations(spark, d):
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     starts = stream_of(spark, d, "events").select(F.col("user_id").alias("subject_id"), "event_id", F.col("event_type").alias("stage"), us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
-    out = scratch(spark, "durations")
-    sink = S.live_durations(starts).writeStream.format("parquet").option("path", out)
-    S.run_available(sink, scratch(spark, "progress"))
+    out, marks = scratch(spark, "durations"), scratch(spark, "marks")
+    sink = S.live_durations(starts, marks=S.mark_stream(spark, marks)).writeStream.format("parquet").option("path", out)
+    last = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    S.run_to_end(sink, scratch(spark, "progress"), marks, last)
     got = spark.read.schema("subject_id bigint, event_id bigint, stage string, duration_s double, finished boolean").parquet(out)
     return got.filter("finished").select("subject_id", "event_id", "stage", F.round("duration_s", 6).alias("duration_s"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -44,12 +45,18 @@ _STAGE_OUT = "subject_id long, event_id long, stage string, duration_s double, f
 _STAGE_STATE = "event_id long, stage string, us long, waiting_us array<long>, waiting_id array<long>, waiting_stage array<string>"
 
 
-def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 86_400_000) -> DataFrame:
+# The time of a marker row, which is no start.
+_MARK = -(1 << 63)
+
+
+def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 86_400_000, marks: DataFrame | None = None) -> DataFrame:
     """Duration of each stage once the next one of its subject starts (``subject_id, event_id, stage, us, ts``).
 
     Starts wait in the state until the watermark has passed them and are then taken in order, so a start may come up to
     ``delay`` late, in any batch; those that come after a later start has been taken are dropped.  A stage still open ``timeout_ms`` of event time after its start is
     reported unfinished.  The state of a subject holds its starts of the last ``delay`` and one open stage.
+
+    ``marks`` is a stream of times (``ts``) that only move the watermark; :func:`run_to_end` closes a finite source with one.
     """
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -70,6 +77,7 @@ def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 8
             waiting = list(zip(*lists, strict=True))
         if not state.hasTimedOut:
             for rows in batches:
+                rows = rows[rows["us"] != _MARK]
                 waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), rows["stage"].tolist(), strict=True)
         passed = state.getCurrentWatermarkMs()
         waiting.sort(key=lambda r: r[:2])
@@ -97,6 +105,10 @@ def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 8
         out.insert(0, "subject_id", pd.Series([key[0]] * len(out), dtype="int64"))
         yield out
 
+    if marks is not None:
+        empty = [F.lit(None).cast(starts.schema[c].dataType).alias(c) for c in (SUBJECT, "stage")]
+        mark = marks.select(empty[0], F.lit(0).cast("long").alias("event_id"), empty[1], F.lit(_MARK).alias("us"), "ts")
+        starts = starts.select(*mark.columns).unionByName(mark)
     marked = starts.withWatermark("ts", delay)
     return marked.groupBy(SUBJECT).applyInPandasWithState(close, _STAGE_OUT, _STAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -145,3 +157,21 @@ def run_available(query, checkpoint: str | None = None) -> None:
     if checkpoint is not None:
         query = query.option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
+
+
+def mark_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The times that :func:`run_to_end` writes to ``path``, none at first."""
+    spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(path)
+    return file_stream(spark, path, StructType.fromDDL("ts timestamp"))
+
+
+def run_to_end(query, checkpoint: str, path: str, last: datetime.datetime | None, delay: datetime.timedelta = datetime.timedelta(hours=1)) -> None:
+    """Process a finite source, then what still waits for the watermark.
+
+    After all data, a marker later than the last event (at ``last``) by the delay takes the watermark past every row.
+    """
+    run_available(query, checkpoint)
+    if last is not None:
+        spark = SparkSession.active()
+        spark.createDataFrame([(last + delay + datetime.timedelta(seconds=1),)], "ts timestamp").write.mode("append").parquet(path)
+        run_available(query, checkpoint)
