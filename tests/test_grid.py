@@ -102,6 +102,52 @@ def test_clean_regions_matches_brute_force(spark):
     assert np.array_equal(dense(out, shape, "seg"), want)
 
 
+EV_SHAPE = (8, 8, 100)
+
+
+def embeddings(spark, folder, high, label):
+    """The table behind ``fixtures.ev`` for one subject: seg is 5 where ``high``, else 0 or 2."""
+    rng = np.random.default_rng(8)
+    rows = [(z, int(label[z]), [0.4 if high[p % 8, p // 8, z] else rng.choice([-0.2, 0.1]).item() for p in range(64)]) for z in range(100)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    x, y, z = np.indices(EV_SHAPE)
+    return (x // 4 + 2 * (y // 3) + z // 10) % 5
+
+
+def test_the_clean_regions_query_runs_with_the_default_reach(spark, tmp_path):
+    from volspark.queries.cleanup_ops import clean_regions
+
+    high, label = np.zeros(EV_SHAPE, bool), np.full(100, 6)
+    # parts of other labels at gaps of 9 and 25 voxels, of optic ones (1 and 5) at gaps of 12 and 20
+    high[1:6, 1:5, 0:6] = high[2:5, 1:4, 15:19] = high[2:5, 1:4, 44:48] = True
+    for low, up in ((50, 56), (68, 70), (90, 92)):
+        high[1:6, 1:6, low:up], label[low:up] = True, 1
+    a = np.where(high, embeddings(spark, tmp_path, high, label) + label, 0)
+    kept = {}
+    for reach in ((7, 5), (1, 1)):
+        want, optic = np.zeros_like(a), np.isin(a, cleanup.OPTIC)
+        for part, steps in zip((optic, (a != 0) & ~optic), reach, strict=True):
+            want += np.where(part & largest(grow(part, 3, steps)) & ~np.isin(a, cleanup.NOT_REPORTED), a, 0)
+        found = components(want > 0)
+        want[(np.bincount(found.ravel()) <= 3)[found]] = 0
+        kept[reach] = want
+    assert not np.array_equal(kept[7, 5], kept[1, 1])
+    assert np.array_equal(dense(clean_regions(spark, str(tmp_path)), EV_SHAPE, "l"), kept[7, 5])
+
+
+def test_the_fill_by_blur_query_runs_with_the_default_sigma(spark, tmp_path):
+    from volspark.queries.cleanup_ops import fill_unknown_by_blur
+
+    high = np.zeros(EV_SHAPE, bool)
+    high[1:7, 1:8, 20:45] = high[0:3, 2:6, 60:75] = True
+    a = np.where(high, 1, embeddings(spark, tmp_path, high, np.zeros(100)) + 1)
+    ring = grow(a == 1, 2)
+    rivals = [k for k in (2, 3, 4) if (ring & (a == k)).any()]
+    filled = {s: np.where(a == 1, np.array(rivals)[np.argmax([gaussian((a == k) * 1.0, s, "reflect").round(12) for k in rivals], 0)], a) for s in (5.0, 0.5)}
+    assert not np.array_equal(filled[5.0], filled[0.5])
+    assert np.array_equal(dense(fill_unknown_by_blur(spark, str(tmp_path)), EV_SHAPE, "l"), filled[5.0])
+
+
 def test_split_parcels_matches_brute_force(spark):
     shape = (12, 6, 6)
     a = RNG.choice([0, 1003, 1011], shape, p=[0.6, 0.2, 0.2])

@@ -106,7 +106,7 @@ def flip_islands(spark, d):
 @query("clean_regions")
 def clean_regions(spark, d):
     v = ev(spark, d).withColumn("l", F.when(F.col("seg") >= 4, F.col("blk") + F.col("label")).otherwise(0))
-    return K.clean_regions(v.select(*VOXEL, "l"), ev_dims(spark, d), "l", reach=(1, 1))
+    return K.clean_regions(v.select(*VOXEL, "l"), ev_dims(spark, d), "l")
 
 
 @query("fill_unknown_by_blur", with_(EV, cube(1), kernel("gk", 0.5), "u AS (SELECT *, CASE WHEN seg>=4 THEN 1 ELSE blk+1 END AS l FROM ev)",
@@ -118,7 +118,7 @@ def clean_regions(spark, d):
 SELECT u.subject_id, u.x, u.y, u.z, CAST(CASE WHEN u.l=1 THEN coalesce(bf.l, f.l) ELSE u.l END AS INT) AS l FROM u LEFT JOIN bf USING (subject_id, x, y, z) LEFT JOIN (SELECT subject_id, min(l) AS l FROM tc GROUP BY 1) f ON f.subject_id=u.subject_id"""))
 def fill_unknown_by_blur(spark, d):
     v = ev(spark, d).withColumn("l", F.when(F.col("seg") >= 4, 1).otherwise(F.col("blk") + 1))
-    return K.fill_by_blur(v.select(*VOXEL, "l"), ev_dims(spark, d), 1, 5, 0.5, "l")
+    return K.fill_by_blur(v.select(*VOXEL, "l"), ev_dims(spark, d), 1, 5, label="l")
 
 
 @query("fill_unknown_by_distance", with_(EV, """ds AS (SELECT q.subject_id, q.x, q.y, q.z, s.blk AS l, floor(sqrt(min((q.x-s.x)**2+(q.y-s.y)**2+(q.z-s.z)**2))) AS dist
