@@ -5,7 +5,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("url_filter", "token_counts", "exact_dedup", "chat", "mixing", "language", "quality", "near_dedup", "decontamination", "token_output", "centroids", "prefix_trie")
+_MODULES = ("url_filter", "token_counts", "exact_dedup", "chat", "mixing", "language", "quality", "near_dedup", "decontamination", "token_output", "centroids", "prefix_trie", "secret_scan")
 
 
 def query(name: str, sql: str | None = None):
