@@ -1,8 +1,8 @@
 """Neighbourhood operators on voxel grids.
 
-Small neighbourhoods: every voxel sends its value to its neighbours' positions and one hash aggregate per
-position collects them, so copies combine before the shuffle and no join is needed.  Wide kernels: one
-pass per axis over whole image lines, whose length is bounded by the image size.
+Small neighbourhoods: blocks with a halo (:mod:`volspark.operators.blocks`), so only voxels next to a block's face are
+sent twice and no join is needed.  Wide kernels: one pass per axis over whole image lines, whose length is bounded by the
+image size.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.functions.lines import box_weights, gaussian_weights, line_filter
+from volspark.operators.blocks import Block, map_cells, map_voxels
 from volspark.operators.labels import VOXEL
 from volspark.operators.regions import SUBJECT, is_in, not_in
 from volspark.plans.joins import attach
@@ -41,28 +43,25 @@ def send(voxels: DataFrame, offsets: Sequence[Offset]) -> DataFrame:
     return rows.withColumn("_k", F.col("_o._k")).drop("_o")
 
 
-def stencil(voxels: DataFrame, offsets: Sequence[Offset], aggregates: Sequence[Column], keep: Sequence[str] = (), key: Sequence[str] = VOXEL) -> DataFrame:
-    """Aggregate over each voxel and its neighbours; columns in ``keep`` are the voxel's own.
-
-    ``_k = 0`` marks the voxel's own row in ``aggregates``.
-    """
-    own = [F.max(F.when(F.col("_k") == 0, F.col(c))).alias(c) for c in keep]
-    here = F.bool_or(F.col("_k") == 0).alias("_here")
-    return send(voxels, [(0, 0, 0), *offsets]).groupBy(*key).agg(here, *own, *aggregates).filter("_here").drop("_here")
-
-
-def borders(voxels: DataFrame, label: str = "seg", connectivity: int = 6, keep: Sequence[str] = (), outside: str = "ignore", key: Sequence[str] = VOXEL) -> DataFrame:
+def borders(voxels: DataFrame, label: str = "seg", connectivity: int = 6, keep: Sequence[str] = (), outside: str = "ignore") -> DataFrame:
     """Add ``border``: some neighbour has another label, which marks both sides of a boundary.
 
     Beyond the image nothing differs (``ignore``), or everything counts as label 0 (``zero``).
     """
     offsets = neighbours(connectivity)
-    differs = (F.min(label) != F.max(label)).alias("border")
-    out = stencil(voxels.select(*key, label, *keep), offsets, [differs, F.count(F.lit(1)).alias("_seen")], [label, *keep], key)
-    if outside == "zero":
-        edge = (F.col("_seen") < len(offsets) + 1) & (F.col(label) != 0)
-        out = out.withColumn("border", F.col("border") | edge)
-    return out.drop("_seen")
+
+    def compute(block: Block):
+        own = block.at(label)
+        differs, missing = np.zeros(own.shape, bool), np.zeros(own.shape, bool)
+        for o in offsets:
+            there = block.here(o)
+            differs |= there & (block.at(label, o) != own)
+            missing |= ~there
+        if outside == "zero":
+            differs |= missing & (own != 0)
+        return block.here(), {"border": differs}
+
+    return map_voxels(voxels, 1, [label], compute, "border boolean", [label, *keep])
 
 
 def label_borders(voxels: DataFrame, wanted: int, label: str = "seg", connectivity: int = 6) -> DataFrame:
@@ -103,8 +102,15 @@ def dilate(mask: DataFrame, dims: DataFrame, connectivity: int = 26, iterations:
     """
     if connectivity == 26:
         return _box_counts(mask, dims, iterations, extra).select(*VOXEL, *extra)
-    spread = send(mask.select(*VOXEL, *extra), [(0, 0, 0), *neighbours(connectivity, iterations)])
-    grown = spread.select(*VOXEL, *extra).distinct()
+    offsets = neighbours(connectivity, iterations)
+
+    def compute(block: Block) -> np.ndarray:
+        grown = block.here().copy()
+        for o in offsets:
+            grown |= block.here(o)
+        return grown
+
+    grown = map_cells(mask, iterations, compute, extra)
     return _inside(with_dims(grown, dims)).select(*VOXEL, *extra)
 
 
@@ -113,9 +119,15 @@ def erode(mask: DataFrame, dims: DataFrame, connectivity: int = 26, iterations:
     if connectivity == 26:
         full = (2 * iterations + 1) ** 3
         return _box_counts(mask, dims, iterations, extra).filter(F.col("_c") > full - 0.5).select(*VOXEL, *extra)
-    offsets = [(0, 0, 0), *neighbours(connectivity, iterations)]
-    counts = send(mask.select(*VOXEL, *extra), offsets).groupBy(*VOXEL, *extra).agg(F.count(F.lit(1)).alias("_c"))
-    return counts.filter(F.col("_c") == len(offsets)).select(*VOXEL, *extra)
+    offsets = neighbours(connectivity, iterations)
+
+    def compute(block: Block):
+        left = block.here().copy()
+        for o in offsets:
+            left &= block.here(o)
+        return left, {}
+
+    return map_voxels(mask, iterations, [], compute, extra=extra)
 
 
 def close_mask(mask: DataFrame, dims: DataFrame, connectivity: int = 26, iterations: int = 1) -> DataFrame:
@@ -165,19 +177,20 @@ def gaussian(voxels: DataFrame, dims: DataFrame, values: dict[str, str], sigma:
 # --- slices and gradients ----------------------------------------------------------------------------
 
 
-def gradient_nonzero(voxels: DataFrame, label: str = "seg", axes: str = "xyz", key: Sequence[str] = VOXEL, keep: Sequence[str] = ()) -> DataFrame:
+def gradient_nonzero(voxels: DataFrame, label: str = "seg", axes: str = "xyz", keep: Sequence[str] = ()) -> DataFrame:
     """Add ``has_gradient``: a central difference (one-sided at the image edge) is not 0 on some axis."""
-    offsets = []
-    for a in axes:
-        for step in (-1, 1):
-            offsets.append(tuple(step if a == b else 0 for b in "xyz"))
-    seen = [F.max(F.when(F.col("_k") == k + 1, F.col(label))).alias(f"_n{k}") for k in range(len(offsets))]
-    out = stencil(voxels.select(*key, label, *keep), offsets, seen, [label, *keep], key)
-    moved = F.lit(False)
-    for i in range(len(axes)):
-        low, high = F.coalesce(f"_n{2 * i}", label), F.coalesce(f"_n{2 * i + 1}", label)
-        moved = moved | (low != high)
-    return out.withColumn("has_gradient", moved).drop(*(f"_n{k}" for k in range(len(offsets))))
+
+    def compute(block: Block):
+        own = block.at(label)
+        moved = np.zeros(own.shape, bool)
+        for a in axes:
+            low, high = (
+                np.where(block.here(o), block.at(label, o), own) for o in (tuple(step * (a == b) for b in "xyz") for step in (-1, 1))
+            )
+            moved |= low != high
+        return block.here(), {"has_gradient": moved}
+
+    return map_voxels(voxels, 1, [label], compute, "has_gradient boolean", [label, *keep])
 
 
 def thick_slices(voxels: DataFrame, thickness: int, value: str, axis: str = "z") -> DataFrame:
@@ -229,9 +242,16 @@ def closing_difference(voxels: DataFrame, dims: DataFrame, threshold: int = 33,
 
 def contact_volume(voxels: DataFrame, headers: DataFrame, labels: Sequence[int], background: int = 0, label: str = "seg") -> DataFrame:
     """Volume of background voxels next to (6 neighbours) a region."""
-    region = voxels.filter(is_in(label, labels)).select(*VOXEL)
-    reached = send(region, neighbours(6)).select(*VOXEL).distinct()
-    touched = voxels.filter(F.col(label) == background).select(*VOXEL).join(reached, VOXEL, "left_semi")
+    sides = voxels.select(*VOXEL, F.when(is_in(label, labels), 1).when(F.col(label) == background, 0).alias("_in"))
+
+    def compute(block: Block):
+        own = block.at("_in")
+        touched = np.zeros(own.shape, bool)
+        for o in neighbours(6):
+            touched |= block.at("_in", o) == 1
+        return block.here() & (own == 0) & touched, {}
+
+    touched = map_voxels(sides.filter("_in IS NOT NULL"), 1, ["_in"], compute)
     counts = touched.groupBy(SUBJECT).agg(F.count(F.lit(1)).alias("n_voxels"))
     out = headers.select(SUBJECT, "vox_vol").join(counts, SUBJECT, "left").fillna(0, subset=["n_voxels"])
     return out.select(SUBJECT, "n_voxels", (F.col("n_voxels") * F.col("vox_vol")).alias("volume"))

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.operators.grid import borders, box_sum, neighbours, send
+from volspark.operators.blocks import Block, box_sums, map_voxels
+from volspark.operators.grid import neighbours
 from volspark.operators.labels import VOXEL
 from volspark.operators.regions import SUBJECT, is_in
 from volspark.plans.joins import attach
@@ -19,24 +22,66 @@ from volspark.plans.storage import materialize
 
 EPS = 1e-6
 WINDOW = 15
+# Blocks are larger here, as the halo is seven voxels wide.
+PV_SIDE = 64
 # Decimals kept of local means and of local label frequencies before they are compared.
 MEAN_DECIMALS = 10
 FREQUENCY_DECIMALS = 6
 
 
-def boundary_voxels(voxels: DataFrame, guide: str = "norm", labels: Sequence[int] | None = None) -> DataFrame:
-    """Voxels on a 6-neighbour boundary of the wanted labels (on either side of it)."""
+def boundary_neighbourhoods(voxels: DataFrame, guide: str = "norm", labels: Sequence[int] | None = None, side: int = PV_SIDE) -> DataFrame:
+    """Boundary voxels (6 neighbours) of the wanted labels, on either side of it: own label, ``pv``, and ``near``, one entry
+    for each label c of its 3x3x3 window with the voxels and the sum of c in the 15x15x15 window.
+
+    ``face`` tells whether c lies at the voxel or a face neighbour.  Voxels meet in blocks with a halo of seven; a block
+    without a boundary ends there, and a label's box sums cover no more than its boundary voxels and their windows.
+    """
     wanted = F.col("seg") if labels is None else F.when(is_in("seg", labels), F.col("seg")).otherwise(-1)
-    marked = borders(voxels.withColumn("_wanted", wanted.cast("int")), "_wanted", 6, ["seg", guide])
-    return marked.filter("border").select(*VOXEL, F.col("seg").alias("own"), F.col(guide).cast("double").alias("pv"))
+    rows = voxels.select(*VOXEL, "seg", wanted.cast("int").alias("_wanted"), F.col(guide).cast("double").alias("pv"))
+    reach = WINDOW // 2
+    faces = [(0, 0, 0), *neighbours(6)]
+    window = [*faces, *(o for o in neighbours(26) if o not in faces)]
+    near_type = pa.list_(pa.struct([("c", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("face", pa.int32())]))
+
+    def compute(block: Block):
+        own = block.at("_wanted")
+        edge = np.zeros(own.shape, bool)
+        for o in faces:
+            edge |= block.here(o) & (block.at("_wanted", o) != own)
+        edge &= block.here()
+
+        def near(at: tuple[np.ndarray, ...]) -> pa.Array:
+            n = len(at[0])
+            seen = np.stack([block.at("seg", o)[at] for o in window]) if n else np.zeros((0, 0))
+            there = np.stack([block.here(o)[at] for o in window]) if n else np.zeros((0, 0), bool)
+            seg, value, filled = block.whole("seg"), block.whole("pv"), block.whole()
+            parts = []
+            for c in np.unique(seen[there]):
+                found = (seen == c) & there
+                which = np.flatnonzero(found.any(0))
+                # positions of the window's lowest corner in the array with the halo are those of the voxel in the inside
+                low = [int(i[which].min()) for i in at]
+                box = tuple(slice(lo, int(i[which].max()) + 2 * reach + 1) for lo, i in zip(low, at, strict=True))
+                mine = filled[box] & (seg[box] == c)
+                inside = tuple(i[which] - lo for i, lo in zip(at, low, strict=True))
+                count = box_sums(mine.astype(np.int64), WINDOW)[inside]
+                total = box_sums(np.where(mine, value[box], 0.0), WINDOW)[inside]
+                parts.append((which, np.full(len(which), c), count, total, found[: len(faces), which].any(0)))
+            if not parts:
+                return pa.array([[]] * n, near_type)
+            which, c, count, total, face = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(which, kind="stable")
+            entries = pa.StructArray.from_arrays(
+                [pa.array(v[order]).cast(f.type) for v, f in zip((c, count, total, face.astype(np.int32)), near_type.value_type, strict=True)],
+                fields=list(near_type.value_type),
+            )
+            ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, type=near_type)
 
+        return edge, {"near": near}
 
-def window_labels(voxels: DataFrame) -> DataFrame:
-    """Labels in the 3x3x3 window of every position, with ``face``: whether one lies at a face neighbour or the voxel."""
-    faces = neighbours(6)
-    offsets = [(0, 0, 0), *faces, *(o for o in neighbours(26) if o not in faces)]
-    near = F.max((F.col("_k") <= len(faces)).cast("int")).alias("face")
-    return send(voxels.select(*VOXEL, "seg"), offsets).groupBy(*VOXEL, "seg").agg(near)
+    out = map_voxels(rows, reach, ["seg", "_wanted", "pv"], compute, "near array<struct<c:int,n:bigint,total:double,face:int>>", ["seg", "pv"], side=side)
+    return out.withColumnRenamed("seg", "own")
 
 
 def partial_volume_maps(
@@ -48,23 +93,21 @@ def partial_volume_maps(
     smallest.  Without a valid label the voxel is all its own.  ``legacy`` drops the other share unless
     the voxel touches the chosen label by a face.
     """
-    edge = boundary_voxels(voxels, guide, labels)
-    counted = voxels.select(*VOXEL, "seg", F.lit(1.0).alias("_one"), F.col(guide).cast("double").alias("_v"))
-    local = box_sum(counted, dims, {"_count": "_one", "_sum": "_v"}, WINDOW, "constant", extra=["seg"])
-    near = window_labels(voxels).join(edge, VOXEL).join(local, [*VOXEL, "seg"])
-    near = near.select(
-        *VOXEL, "own", "pv", "face", F.col("seg").alias("c"),
-        F.round(F.col("_sum") / F.col("_count"), MEAN_DECIMALS).alias("mean"),
-        F.round(F.col("_count") / WINDOW**3, FREQUENCY_DECIMALS).alias("freq"),
+    edge = boundary_neighbourhoods(voxels, guide, labels)
+    pv, own = F.col("pv"), F.col("seg_mean")
+    known = F.transform(
+        "near",
+        lambda e: F.struct(
+            F.round(e["n"] / WINDOW**3, FREQUENCY_DECIMALS).alias("freq"), (-e["c"]).alias("order"),
+            F.round(e["total"] / e["n"], MEAN_DECIMALS).alias("mean"), e["face"].alias("face"),
+        ),
     )
-    own_mean = F.max(F.when(F.col("c") == F.col("own"), F.col("mean"))).over(Window.partitionBy(*VOXEL))
-    near = near.withColumn("seg_mean", own_mean)
-    pv, own, mean = F.col("pv"), F.col("seg_mean"), F.col("mean")
-    valid = (F.col("c") != F.col("own")) & ((mean > pv) != (own > pv)) & (mean != pv) & (F.abs(own - pv) > EPS)
-    rank = F.struct("freq", (-F.col("c")).alias("order"), "mean", "face")
-    chosen = near.groupBy(*VOXEL).agg(
-        F.max("own").alias("seg"), F.max("pv").alias("pv"), F.max("seg_mean").alias("seg_mean"), F.max(F.when(valid, rank)).alias("_best")
+    edge = edge.select(*VOXEL, F.col("own").alias("seg"), "pv", known.alias("_near"))
+    edge = edge.withColumn("seg_mean", F.filter("_near", lambda e: -e["order"] == F.col("seg"))[0]["mean"])
+    valid = lambda e: (
+        (-e["order"] != F.col("seg")) & ((e["mean"] > pv) != (own > pv)) & (e["mean"] != pv) & (F.abs(own - pv) > EPS)
     )
+    chosen = edge.withColumn("_best", F.array_max(F.filter("_near", valid)))
     apart = own - F.col("_best.mean")
     share = F.when(F.col("_best").isNull() | (F.abs(apart) <= EPS), 1.0).otherwise(
         F.least(F.greatest((pv - F.col("_best.mean")) / apart, F.lit(0.0)), F.lit(1.0))
