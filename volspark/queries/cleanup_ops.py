@@ -25,16 +25,16 @@ PV = (
     cube(1),
     "pv AS MATERIALIZED (SELECT subject_id, x, y, z, blk AS seg, floor((norm+blk)*1000) AS v FROM ev)",
     f"wn AS MATERIALIZED (SELECT s.subject_id, s.x0 AS x, s.y0 AS y, s.z0 AS z, s.own, s.v, s.l1, b.seg AS c FROM {moved('pv', '(SELECT *, abs(dx)+abs(dy)+abs(dz) AS l1 FROM off)', 'a.seg AS own, a.v AS v, o.l1,')} s JOIN pv b USING (subject_id, x, y, z))",
-    "bd AS (SELECT subject_id, x, y, z FROM wn WHERE l1 <= 1 GROUP BY 1,2,3,4 HAVING min(c) <> max(c))",
-    "cd AS (SELECT subject_id, x, y, z, any_value(own) AS own, any_value(v) AS v, c, bool_or(l1=1) AS face FROM wn SEMI JOIN bd USING (subject_id, x, y, z) GROUP BY subject_id, x, y, z, c)",
+    "bd AS MATERIALIZED (SELECT subject_id, x, y, z FROM wn WHERE l1 <= 1 GROUP BY 1,2,3,4 HAVING min(c) <> max(c))",
+    "cd AS MATERIALIZED (SELECT subject_id, x, y, z, any_value(own) AS own, any_value(v) AS v, c, bool_or(l1=1) AS face FROM wn SEMI JOIN bd USING (subject_id, x, y, z) GROUP BY subject_id, x, y, z, c)",
     "r15 AS (SELECT unnest(range(-7,8)) AS k)",
-    "s1 AS (SELECT subject_id, seg, x+k AS x, y, z, count(*) AS n, sum(v) AS t FROM pv, r15 WHERE x+k BETWEEN 0 AND 7 GROUP BY 1,2,3,4,5)",
-    "s2 AS (SELECT subject_id, seg, x, y+k AS y, z, sum(n) AS n, sum(t) AS t FROM s1, r15 WHERE y+k BETWEEN 0 AND 7 GROUP BY 1,2,3,4,5)",
-    "s3 AS (SELECT subject_id, seg AS c, x, y, z+k AS z, sum(n) AS n, sum(t) AS t FROM s2, r15 GROUP BY 1,2,3,4,5)",
+    "s1 AS MATERIALIZED (SELECT subject_id, seg, x+k AS x, y, z, count(*) AS n, sum(v) AS t FROM pv, r15 WHERE x+k BETWEEN 0 AND 7 GROUP BY 1,2,3,4,5)",
+    "s2 AS MATERIALIZED (SELECT subject_id, seg, x, y+k AS y, z, sum(n) AS n, sum(t) AS t FROM s1, r15 WHERE y+k BETWEEN 0 AND 7 GROUP BY 1,2,3,4,5)",
+    "s3 AS MATERIALIZED (SELECT subject_id, seg AS c, x, y, z+k AS z, sum(n) AS n, sum(t) AS t FROM s2, r15 GROUP BY 1,2,3,4,5)",
     "mn AS MATERIALIZED (SELECT subject_id, x, y, z, own, v, c, face, round((t/n)::DOUBLE,10) AS m, round((n/3375)::DOUBLE,6) AS f FROM cd JOIN s3 USING (subject_id, x, y, z, c))",
-    "ow AS (SELECT subject_id, x, y, z, m AS om FROM mn WHERE c=own)",
-    "vl AS (SELECT mn.*, om FROM mn JOIN ow USING (subject_id, x, y, z) WHERE c<>own AND (m>v)<>(om>v) AND m<>v AND abs(om-v)>1e-6 QUALIFY row_number() OVER (PARTITION BY subject_id, x, y, z ORDER BY f DESC, c)=1)",
-    """pm AS (SELECT b.subject_id, b.x, b.y, b.z, b.own AS seg, CAST(coalesce(vl.c,0) AS INT) AS nbr, om AS seg_mean, coalesce(vl.m,0) AS nbr_mean, vl.face,
+    "ow AS MATERIALIZED (SELECT subject_id, x, y, z, m AS om FROM mn WHERE c=own)",
+    "vl AS MATERIALIZED (SELECT mn.*, om FROM mn JOIN ow USING (subject_id, x, y, z) WHERE c<>own AND (m>v)<>(om>v) AND m<>v AND abs(om-v)>1e-6 QUALIFY row_number() OVER (PARTITION BY subject_id, x, y, z ORDER BY f DESC, c)=1)",
+    """pm AS MATERIALIZED (SELECT b.subject_id, b.x, b.y, b.z, b.own AS seg, CAST(coalesce(vl.c,0) AS INT) AS nbr, om AS seg_mean, coalesce(vl.m,0) AS nbr_mean, vl.face,
  CASE WHEN vl.c IS NULL OR abs(om-vl.m)<=1e-6 THEN 1.0::DOUBLE ELSE least(greatest((b.v-vl.m)/(om-vl.m),0),1) END AS mix
  FROM (SELECT subject_id, x, y, z, own, v, om FROM mn JOIN ow USING (subject_id, x, y, z) WHERE c=own) b LEFT JOIN (SELECT * EXCLUDE (om, v, own) FROM vl) vl USING (subject_id, x, y, z))""",
 )
@@ -109,13 +109,23 @@ def clean_regions(spark, d):
     return K.clean_regions(v.select(*VOXEL, "l"), ev_dims(spark, d), "l")
 
 
-@query("fill_unknown_by_blur", with_(EV, cube(1), kernel("gk", 0.5), "u AS (SELECT *, CASE WHEN seg>=4 THEN 1 ELSE blk+1 END AS l FROM ev)",
-    f"tc AS (SELECT DISTINCT b.subject_id, b.l FROM {moved('(SELECT * FROM u WHERE l=1)', steps(2))} s JOIN u b USING (subject_id, x, y, z) WHERE b.l>1 AND b.l<5)",
-    """sv AS (SELECT t.subject_id, t.x0 AS x, t.y0 AS y, t.z0 AS z, s.l, round(sum(t.w),12) AS v FROM (SELECT e.subject_id, e.x AS x0, e.y AS y0, e.z AS z0, o.w, """ + ", ".join(
-    f"CASE WHEN e.{a}+o.d{a}<0 THEN -1-(e.{a}+o.d{a}) WHEN e.{a}+o.d{a}>={n} THEN {2 * n}-1-(e.{a}+o.d{a}) ELSE e.{a}+o.d{a} END AS {a}" for a, n in (("x", 8), ("y", 8), ("z", 100)))
-    + """ FROM u e, gk o WHERE e.l=1) t JOIN u s USING (subject_id, x, y, z) SEMI JOIN tc ON tc.subject_id=s.subject_id AND tc.l=s.l GROUP BY 1,2,3,4,5)""",
-    "bf AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY subject_id, x, y, z ORDER BY v DESC, l)=1)", body="""
-SELECT u.subject_id, u.x, u.y, u.z, CAST(CASE WHEN u.l=1 THEN coalesce(bf.l, f.l) ELSE u.l END AS INT) AS l FROM u LEFT JOIN bf USING (subject_id, x, y, z) LEFT JOIN (SELECT subject_id, min(l) AS l FROM tc GROUP BY 1) f ON f.subject_id=u.subject_id"""))
+def mirrored(a, n, sigma=5.0):
+    """Rows (i, j, w): the weight with which position j of an axis of n enters the blur at i, edges mirrored again and again."""
+    r = int(4 * sigma + 0.5)
+    return f"""g{a} AS MATERIALIZED (SELECT i, CASE WHEN p < {n} THEN p ELSE {2 * n - 1} - p END AS j, sum(exp(-0.5*(k/{sigma})*(k/{sigma})) / s) AS w
+ FROM (SELECT i, k, s, ((i + k) % {2 * n} + {2 * n}) % {2 * n} AS p FROM range({n}) r(i), range({-r}, {r + 1}) q(k), (SELECT sum(exp(-0.5*(k/{sigma})*(k/{sigma}))) AS s FROM range({-r}, {r + 1}) q(k))) GROUP BY ALL)"""
+
+
+def along(name, src, a, value):
+    """One axis of the blur of every label."""
+    return f"{name} AS MATERIALIZED (SELECT subject_id, l, {', '.join('i AS ' + b if b == a else b for b in 'xyz')}, sum({value}*w) AS v FROM {src} JOIN g{a} ON {a} = j GROUP BY ALL)"
+
+
+@query("fill_unknown_by_blur", with_(EV, cube(1), *(mirrored(a, n) for a, n in (("x", 8), ("y", 8), ("z", 100))), "u AS (SELECT *, CASE WHEN seg>=4 THEN 1 ELSE blk+1 END AS l FROM ev)",
+    f"tc AS MATERIALIZED (SELECT DISTINCT b.subject_id, b.l FROM {moved('(SELECT * FROM u WHERE l=1)', steps(2))} s JOIN u b USING (subject_id, x, y, z) WHERE b.l>1 AND b.l<5)",
+    "rv AS (SELECT u.subject_id, u.x, u.y, u.z, u.l FROM u SEMI JOIN tc ON tc.subject_id=u.subject_id AND tc.l=u.l)", along("bx", "rv", "x", "1"), along("bxy", "bx", "y", "v"), along("bxyz", "bxy", "z", "v"),
+    "bf AS (SELECT * FROM (SELECT subject_id, x, y, z, l, round(v,12) AS v FROM bxyz) QUALIFY row_number() OVER (PARTITION BY subject_id, x, y, z ORDER BY v DESC, l)=1)", body="""
+SELECT u.subject_id, u.x, u.y, u.z, CAST(CASE WHEN u.l=1 THEN coalesce(bf.l, f.l, u.l) ELSE u.l END AS INT) AS l FROM u LEFT JOIN bf USING (subject_id, x, y, z) LEFT JOIN (SELECT subject_id, min(l) AS l FROM tc GROUP BY 1) f ON f.subject_id=u.subject_id"""))
 def fill_unknown_by_blur(spark, d):
     v = ev(spark, d).withColumn("l", F.when(F.col("seg") >= 4, 1).otherwise(F.col("blk") + 1))
     return K.fill_by_blur(v.select(*VOXEL, "l"), ev_dims(spark, d), 1, 5, label="l")

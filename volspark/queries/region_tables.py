@@ -39,10 +39,14 @@ ids AS (SELECT s.subject_id, n_nationkey AS seg FROM (SELECT DISTINCT subject_id
 labelled AS (SELECT subject_id, seg, coalesce(n_voxels,0) n_voxels, coalesce(volume,0) volume, coalesce(v_mean,0) v_mean,
   CASE WHEN n_voxels IS NULL THEN 0 ELSE v_std END v_std, coalesce(v_min,0) v_min, coalesce(v_max,0) v_max
   FROM ids LEFT JOIN pv USING (subject_id, seg)),
-merged AS (SELECT subject_id, 10000+n_regionkey AS seg, CAST(sum(n_voxels) AS BIGINT) n_voxels, sum(volume) volume,
+found AS (SELECT subject_id, 10000+n_regionkey AS seg, CAST(sum(n_voxels) AS BIGINT) n_voxels, sum(volume) volume,
   sum(v_sum)/sum(n_voxels) v_mean,
   sqrt(greatest(sum(v_sum2 - v_sum*v_sum/n_voxels),0)/(sum(n_voxels)-1)) v_std, min(v_min) v_min, max(v_max) v_max
   FROM pv JOIN nation ON seg=n_nationkey GROUP BY 1,2),
+merged AS (SELECT s.subject_id, g.seg, coalesce(n_voxels,0) n_voxels, coalesce(volume,0) volume, coalesce(v_mean,0) v_mean,
+  CASE WHEN n_voxels IS NULL THEN 0 ELSE v_std END v_std, coalesce(v_min,0) v_min, coalesce(v_max,0) v_max
+  FROM (SELECT DISTINCT subject_id FROM bag) s CROSS JOIN (SELECT DISTINCT 10000+n_regionkey AS seg FROM nation) g
+  LEFT JOIN found f ON f.subject_id=s.subject_id AND f.seg=g.seg),
 al AS (SELECT * FROM labelled UNION ALL SELECT * FROM merged)""", body="""
 SELECT subject_id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY seg) AS INT) AS row_index, CAST(seg AS INT) AS seg,
   n_voxels, volume, CASE WHEN seg >= 10000 THEN 'Merged-Label-'||seg ELSE coalesce(n_name,'Unknown-Label') END AS struct_name,
