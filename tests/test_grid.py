@@ -3,7 +3,7 @@ import pytest
 from volumes import components, dense, dims, frame, gaussian, grow, largest, points, shrink
 
 from volspark.operators import cleanup, components as C, grid as G, partial_volume as P
-from volspark.operators.nearest import nearest_points
+from volspark.operators.nearest import nearest_points, split_points
 
 RNG = np.random.default_rng(3)
 SHAPE = (6, 7, 8)
@@ -75,6 +75,27 @@ def test_nearest_points_with_copies_and_a_dense_cluster(spark):
         assert got[i][0] == np.flatnonzero(np.isclose(d[i], d[i].min(), atol=1e-12))[0]
 
 
+def test_leaves_stay_small_beside_an_outlier(spark):
+    """100,000 points in a box that a far outlier makes tiny, and most of them in one plane."""
+    dense_points = spark.range(100_000).selectExpr(
+        "1L AS subject_id", "id AS tid", "IF(id % 10 < 9, 0D, id * 1e-9) AS x", "(id % 1000) * 1e-6 AS y", "(id div 1000) * 1e-6 AS z"
+    )
+    outlier = spark.createDataFrame([(1, -1, 1e12, -1e12, 1e12), (2, 5, 0.0, 0.0, 0.0)], dense_points.schema)
+    points, leaves, levels = split_points(dense_points.unionByName(outlier), ["subject_id"], 500)
+    sizes = [r["count"] for r in points.groupBy("subject_id", "path").count().collect()]
+    assert sum(sizes) == 100_002 and max(sizes) <= 500 and leaves.count() == len(sizes)
+    assert len(levels) <= 6
+    queries = spark.createDataFrame([(1, k, 5e-7 * k, 1e-6 * k, 2e-6 * k) for k in range(40)] + [(1, 99, 1e12, 0.0, 0.0), (2, 1, 3.0, 4.0, 0.0), (3, 1, 0.0, 0.0, 0.0)],
+                                    "subject_id long, qid long, x double, y double, z double")
+    got = {(r["subject_id"], r["qid"]): (r["tid"], r["distance"]) for r in nearest_points(queries, dense_points.unionByName(outlier), leaf_points=500).collect()}
+    all_points = [(r["tid"], r["x"], r["y"], r["z"]) for r in dense_points.unionByName(outlier).filter("subject_id = 1").collect()]
+    tids, xyz = np.array([p[0] for p in all_points]), np.array([p[1:] for p in all_points])
+    for r in queries.filter("subject_id = 1").collect():
+        d2 = ((np.array([r["x"], r["y"], r["z"]]) - xyz) ** 2).sum(1)
+        assert got[1, r["qid"]] == (tids[d2 == d2.min()].min(), pytest.approx(d2.min() ** 0.5, abs=1e-15))
+    assert got[2, 1] == (5, 5.0) and got[3, 1] == (None, None)
+
+
 def test_partial_volume_shares_add_up(spark):
     seg = np.repeat(np.array([1, 1, 2, 2])[:, None, None], 3, 1).repeat(3, 2)
     pv = np.repeat(np.array([10.0, 12.0, 30.0, 40.0])[:, None, None], 3, 1).repeat(3, 2)
