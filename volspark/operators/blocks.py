@@ -35,8 +35,11 @@ def with_halo(voxels: DataFrame, reach: int, side: int = SIDE) -> DataFrame:
     for a, name in zip(_AXES, _BLOCK, strict=True):
         own = block_of(a, side)
         place = F.col(a) - own * side
-        beside = F.array(own, F.when(place < reach, own - 1), F.when(place >= side - reach, own + 1))
-        rows = rows.withColumn(name, F.explode(F.filter(beside, lambda b: b.isNotNull())))
+        low, high = place < reach, place >= side - reach
+        beside = (
+            F.when(low & high, F.array(own, own - 1, own + 1)).when(low, F.array(own, own - 1)).when(high, F.array(own, own + 1))
+        )
+        rows = rows.withColumn(name, F.explode(beside.otherwise(F.array(own))))
     return rows
 
 
@@ -93,8 +96,8 @@ def _part_of(schema: StructType, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {schema[n].dataType.simpleString()}" for n in names)
 
 
-def _arrow(voxels: DataFrame, schema: str) -> pa.Schema:
-    return to_arrow_schema(voxels.sparkSession.createDataFrame([], schema).schema)
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
 def map_voxels(
@@ -117,7 +120,7 @@ def map_voxels(
     passed = list(dict.fromkeys([*VOXEL, *extra, *keep]))
     needed = list(dict.fromkeys([*passed, *names]))
     schema = _part_of(voxels.schema, passed) + (f", {out}" if out else "")
-    arrow = _arrow(voxels, schema)
+    arrow = _arrow(schema)
     outputs = [f for f in arrow if f.name not in passed]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -142,7 +145,7 @@ def map_cells(
 ) -> DataFrame:
     """Positions, whether or not they hold a voxel, that ``compute`` marks; its array spans the voxels and ``reach`` more."""
     schema = _part_of(mask.schema, [*VOXEL, *extra])
-    arrow = _arrow(mask, schema)
+    arrow = _arrow(schema)
     names = [VOXEL[0], *extra]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
