@@ -1,6 +1,8 @@
+import itertools
+
 import numpy as np
 import pytest
-from volumes import components, dense, dims, frame, gaussian, grow, largest, points, shrink
+from volumes import components, dense, dims, frame, gaussian, grow, largest, offsets, points, shrink
 
 from volspark.operators import cleanup, components as C, grid as G, partial_volume as P
 from volspark.operators.nearest import nearest_points, split_points
@@ -48,6 +50,72 @@ def test_components_match_flood_fill(spark, connectivity, limit):
     assert [n for _, n in sorted(pairs)] == list(range(1, want.max() + 1))
 
 
+# Where blocks of 32 meet, so that a small volume lies in eight of them.
+CORNER = np.array([28, 27, 29])
+
+
+def cells(spark, mask, corner=(0, 0, 0)):
+    rows = [(1, *map(int, np.array(p) + corner)) for p in zip(*np.nonzero(mask))]
+    return spark.createDataFrame(rows, "subject_id long, x int, y int, z int")
+
+
+@pytest.mark.parametrize("connectivity,limit", [(6, 1), (18, 2), (26, 3)])
+def test_blocks_meet(spark, connectivity, limit):
+    """Neighbourhoods and components of a volume that lies across eight blocks equal those of the whole array."""
+    a = RNG.random((9, 10, 8)) < 0.25
+    place = lambda mask: {tuple(map(int, np.array(p) + CORNER)) for p in zip(*np.nonzero(mask))}
+    sparse = cells(spark, a, CORNER)
+    found = {(r["x"], r["y"], r["z"]): r["component"] for r in C.voxel_components(sparse, connectivity).collect()}
+    want = components(a, limit)
+    assert set(found) == place(a)
+    pairs = {(found[tuple(np.array(p) + CORNER)], int(want[p])) for p in zip(*np.nonzero(a))}
+    assert [n for _, n in sorted(pairs)] == list(range(1, want.max() + 1))
+    wide = np.zeros((60, 60, 60), bool)
+    wide[tuple(slice(c, c + n) for c, n in zip(CORNER, a.shape))] = a
+    if connectivity != 26:
+        assert points(G.dilate(sparse, dims(spark, (60, 60, 60)), connectivity, 2)) == set(zip(*map(lambda i: i.tolist(), np.nonzero(grow(wide, limit, 2) if connectivity == 6 else _ball(wide, 2)))))
+    full = ~(RNG.random((9, 10, 8)) < 0.02)
+    if connectivity != 26:
+        assert points(G.erode(cells(spark, full, CORNER), dims(spark, (60, 60, 60)), connectivity)) == place(shrink(full, limit))
+    labels = RNG.integers(0, 3, a.shape)
+    rows = frame(spark, {"seg": labels})
+    for axis, c in zip("xyz", CORNER):
+        rows = rows.withColumn(axis, rows[axis] + int(c))
+    other = np.zeros(a.shape, bool)
+    for o in offsets(limit):
+        here = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(o, a.shape))
+        there = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(o, a.shape))
+        other[here] |= labels[here] != labels[there]
+    assert points(G.borders(rows, connectivity=connectivity).filter("border")) == place(other)
+
+
+def _ball(mask, reach):
+    """Two steps of the 18-neighbourhood as one set of offsets."""
+    out = mask.copy()
+    for p in zip(*np.nonzero(mask)):
+        for o in itertools.product(range(-reach, reach + 1), repeat=3):
+            if sum(map(abs, o)) <= 2 * reach:
+                out[tuple(np.array(p) + o)] = True
+    return out
+
+
+@pytest.mark.parametrize("steps", [1, 3, 7])
+def test_largest_grown_component_equals_that_of_the_grown_mask(spark, steps):
+    shape = (40, 44, 48)
+    for density in (0.0006, 0.004):
+        a = RNG.random(shape) < density
+        a[0, 0, :3] = a[-1, -1, -3:] = True  # grown against the image edge
+        body = largest(grow(a, 3, steps))
+        got = points(C.in_largest_grown(cells(spark, a), dims(spark, shape), steps))
+        assert got == set(zip(*map(lambda i: i.tolist(), np.nonzero(a & body))))
+
+
+def test_equal_grown_components_keep_the_first(spark):
+    a = np.zeros((30, 3, 3), bool)
+    a[5, 1, 1] = a[24, 1, 1] = True
+    assert points(C.in_largest_grown(cells(spark, a), dims(spark, a.shape), 2)) == {(5, 1, 1)}
+
+
 def test_equal_components_keep_the_first(spark):
     a = np.zeros((5, 1, 1), int)
     a[0] = a[4] = 1

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.operators.components import drop_small, keep_largest, split_largest, voxel_components
+from volspark.operators.components import drop_small, in_largest_grown, keep_largest, split_largest, voxel_components
 from volspark.operators.grid import dilate, erode, gaussian
 from volspark.operators.labels import VOXEL
 from volspark.operators.nearest import nearest_points
@@ -66,7 +66,7 @@ def clean_regions(voxels: DataFrame, dims: DataFrame, label: str = "seg", optic:
     parts = []
     for chosen, steps in ((is_in(label, optic), reach[0]), (not_in(label, [0, *optic]), reach[1])):
         part = voxels.filter(chosen).select(*VOXEL, label)
-        body = keep_largest(dilate(part.select(*VOXEL), dims, 26, steps), 26)
+        body = in_largest_grown(part, dims, steps)
         parts.append(part.join(body, VOXEL, "left_semi").filter(not_in(label, NOT_REPORTED)))
     cleaned = materialize(parts[0].unionByName(parts[1]), "cleaned")
     return cleaned.join(drop_small(cleaned.select(*VOXEL), 3, 26), VOXEL, "left_semi")

@@ -1,17 +1,23 @@
 """Connected components of graphs and voxel masks.
 
 Each round hooks every node to its smallest neighbour, shortcuts the resulting trees to their roots and
-contracts the graph to those roots, so the edge table shrinks by a factor every round.  Voxels enter as
-runs along z, which are far fewer than voxels.
+contracts the graph to those roots, so the edge table shrinks by a factor every round.  Voxels are labelled inside
+blocks first; only components that meet at block faces enter the graph.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from volspark.operators.blocks import SIDE, Block, box_sums, with_halo
+from volspark.operators.grid import neighbours
 from volspark.operators.labels import VOXEL
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import attach
@@ -19,12 +25,6 @@ from volspark.plans.storage import materialize, measured, release
 
 # Parent links followed per pass.
 _HOPS = 3
-# Neighbouring columns of runs (dx, dy, reach along z), one of each opposite pair.
-_COLUMNS = {
-    6: [(0, 1, 0), (1, 0, 0)],
-    18: [(0, 1, 1), (1, 0, 1), (1, -1, 0), (1, 1, 0)],
-    26: [(0, 1, 1), (1, 0, 1), (1, -1, 1), (1, 1, 1)],
-}
 
 
 def _both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,14 +75,133 @@ def graph_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (
     return out
 
 
-def voxel_runs(mask: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Maximal runs along z.  ``id`` orders runs as their first voxels lie in the array (x slowest, z fastest)."""
+def _half(connectivity: int) -> list[tuple[int, int, int]]:
+    """One of each opposite pair of neighbours, without the two along z that runs cover."""
+    return [o for o in neighbours(connectivity) if o > (0, 0, 0) and o[:2] != (0, 0)]
+
+
+def _shifted(cells: np.ndarray, offset: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Views of all cells that have a neighbour at an offset, and of that neighbour."""
+    here = tuple(slice(max(0, -o), n - max(0, o)) for o, n in zip(offset, cells.shape, strict=True))
+    there = tuple(slice(max(0, o), n - max(0, -o)) for o, n in zip(offset, cells.shape, strict=True))
+    return cells[here], cells[there]
+
+
+def joined_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of 0 .. n - 1 that each is joined to by the pairs (a, b): hook to the smaller root, jump to the roots."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def label_cells(mask: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Component number of each cell (0 outside) and the flat index of each component's first cell, by number.
+
+    Cells become runs along the last axis; touching runs are joined by hooking to the smaller one and jumping to the root.
+    """
+    before = np.zeros_like(mask)
+    before[..., 1:] = mask[..., :-1]
+    starts = mask & ~before
+    runs = np.cumsum(starts.ravel()).reshape(mask.shape) * mask
+    first = np.concatenate([[0], np.flatnonzero(starts)])
+    n = len(first)
+    touching = []
+    for o in _half(connectivity):
+        a, b = _shifted(runs, o)
+        both = (a > 0) & (b > 0)
+        touching.append(np.unique(a[both].astype(np.int64) * n + b[both]))
+    a, b = np.divmod(np.unique(np.concatenate(touching)), n)
+    return joined_roots(a, b, n)[runs], first
+
+
+def _place(x, y, z):
+    """Orders positions as they lie in the array: x slowest, z fastest."""
+    return (x.astype(np.int64) << 40) + (y.astype(np.int64) << 20) + z
+
+
+# Rows of a block's result: its own voxels, cells that other blocks see too, and how many cells a component has here.
+_OWN, _SEEN, _SIZE = 0, 1, 2
+
+
+def _block_components(mask: DataFrame, connectivity: int, extra: Sequence[str], grow: int) -> DataFrame:
+    """Components of each block and its halo: ``kind, x, y, z, id, n``.
+
+    ``id`` is the place of the component's first cell as the block sees it.  With ``grow``, cells are those of the mask grown
+    by that many steps of the 26-neighbourhood inside the image (``nx, ny, nz``); only own voxels of the mask itself and
+    cells at block faces leave the task.
+    """
     keys = [SUBJECT, *extra]
-    line = Window.partitionBy(*keys, "x", "y").orderBy("z")
-    marked = mask.select(*keys, "x", "y", "z").withColumn("_g", F.col("z") - F.row_number().over(line))
-    runs = marked.groupBy(*keys, "x", "y", "_g").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-    place = F.shiftleft(F.col("x").cast("long"), 40) + F.shiftleft(F.col("y").cast("long"), 20) + F.col("z0")
-    return runs.drop("_g").withColumn("id", place)
+    reach = grow + 1
+    sizes = ["nx", "ny", "nz"] if grow else []
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        corner = [k.as_py() * SIDE for k in key[-3:]]
+        block = Block(table, corner, SIDE, reach, (), grow)
+        cells = block.here().copy()
+        if grow:
+            cells = box_sums(block.whole().astype(np.int16), 2 * grow + 1)
+            cells = cells[tuple(slice(1, 1 + n) for n in block.shape)] > 0
+            for axis, name in enumerate(sizes):
+                at = np.arange(cells.shape[axis]) + block.low[axis]
+                outside = (at < 0) | (at >= table.column(name)[0].as_py())
+                cells[tuple(outside if i == axis else slice(None) for i in range(3))] = False
+            # grown cells further out than the next block's first layer are not whole
+            for axis in range(3):
+                at = np.arange(cells.shape[axis]) + block.low[axis] - corner[axis]
+                cells[tuple(((at < -1) | (at > SIDE)) if i == axis else slice(None) for i in range(3))] = False
+        found, first = label_cells(cells, connectivity)
+        places = _place(*(i + low for i, low in zip(np.unravel_index(first, cells.shape), block.low, strict=True)))
+        at = np.stack(np.nonzero(found), 1)
+        inner = at + block.low - np.array(corner)
+        ids = places[found[tuple(at.T)]]
+        own = ((inner >= 0) & (inner < SIDE)).all(1)
+        seen = ((inner <= 0) | (inner >= SIDE - 1)).any(1)
+        xyz = at + block.low
+        mine = np.flatnonzero(own)
+        if grow:
+            mine = mine[block.here()[tuple(at[mine].T)]]
+            total, counts = np.unique(ids[own], return_counts=True)
+        else:
+            total, counts = ids[:0], ids[:0]
+        faces = np.flatnonzero(seen)
+        kind = np.repeat([_OWN, _SEEN, _SIZE], [len(mine), len(faces), len(total)]).astype(np.int32)
+        none = np.full(len(total), -1)
+        columns = {a: np.concatenate([xyz[mine, i], xyz[faces, i], none]) for i, a in enumerate("xyz")}
+        columns |= {"kind": kind, "id": np.concatenate([ids[mine], ids[faces], total]), "n": np.concatenate([np.ones(len(mine) + len(faces), int), counts])}
+        fixed = dict(zip(keys, key[:-3], strict=True))
+        return pa.table([pa.repeat(fixed[f.name], len(kind)).cast(f.type) if f.name in fixed else pa.array(columns[f.name]).cast(f.type) for f in arrow], schema=arrow)
+
+    kinds = ", ".join(f"`{k}` {mask.schema[k].dataType.simpleString()}" for k in [*keys, "x", "y", "z"])
+    schema = f"{kinds}, kind int, id bigint, n bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    rows = with_halo(mask.select(*keys, "x", "y", "z", *sizes), reach)
+    return rows.groupBy(*keys, "_bx", "_by", "_bz").applyInArrow(run, schema)
+
+
+def _joined_blocks(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``component`` to the rows of blocks: the smallest id of all components that share a cell with it."""
+    seen = parts.filter(F.col("kind") == _SEEN)
+    met = seen.groupBy(*keys, "x", "y", "z").agg(F.collect_set("id").alias("_ids")).filter(F.size("_ids") > 1)
+    # a cell is seen by eight blocks at most
+    pairs = met.select(*keys, F.array_min("_ids").alias("src"), F.explode("_ids").alias("dst")).filter("src <> dst").distinct()
+    kinds = ", ".join(f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, id bigint, component bigint"
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("src", "dst")]), return_inverse=True)
+        joined = ids[joined_roots(*np.split(ends, 2), len(ids))]
+        columns = [*(pa.repeat(k, len(ids)) for k in key), pa.array(ids), pa.array(joined)]
+        return pa.table(columns, names=[*keys, "id", "component"])
+
+    # the graph of one image's block faces is bounded by the image
+    found = pairs.groupBy(*keys).applyInArrow(run, schema)
+    return attach(parts, found, [*keys, "id"]).withColumn("component", F.coalesce("component", "id"))
 
 
 def voxel_components(mask: DataFrame, connectivity: int = 26, extra: Sequence[str] = ()) -> DataFrame:
@@ -91,21 +210,21 @@ def voxel_components(mask: DataFrame, connectivity: int = 26, extra: Sequence[st
     The component id grows in array order of the components' first voxels.
     """
     keys = [SUBJECT, *extra]
-    runs = materialize(voxel_runs(mask, extra), "runs")
-    columns = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(r).alias("r")) for dx, dy, r in _COLUMNS[connectivity])))
-    sent = runs.withColumn("_c", columns).select(
-        *keys,
-        (F.col("x") + F.col("_c.dx")).alias("x"),
-        (F.col("y") + F.col("_c.dy")).alias("y"),
-        F.col("id").alias("src"),
-        (F.col("z0") - F.col("_c.r")).alias("_a"),
-        (F.col("z1") + F.col("_c.r")).alias("_b"),
-    )
-    met = sent.join(runs, [*keys, "x", "y"]).filter((F.col("z0") <= F.col("_b")) & (F.col("z1") >= F.col("_a")))
-    edges = met.select(*keys, "src", F.col("id").alias("dst"))
-    found = graph_components(runs, edges, keys)
-    voxels = runs.join(found, [*keys, "id"])
-    return voxels.select(*keys, "x", "y", F.explode(F.sequence("z0", "z1")).alias("z"), "component")
+    parts = materialize(_block_components(mask, connectivity, extra, 0), "blocks")
+    return _joined_blocks(parts, keys).filter(F.col("kind") == _OWN).select(*keys, "x", "y", "z", "component")
+
+
+def in_largest_grown(mask: DataFrame, dims: DataFrame, steps: int, connectivity: int = 26) -> DataFrame:
+    """Voxels of the mask that lie in the largest component of the mask grown by ``steps`` 26-neighbourhoods in the image.
+
+    The grown mask stays inside the blocks: only its cells at block faces and its sizes leave them.
+    """
+    sized = attach(mask.select(*VOXEL), dims.select(SUBJECT, "nx", "ny", "nz"), SUBJECT, "inner", costly=False)
+    parts = materialize(_block_components(sized, connectivity, (), steps), "blocks")
+    parts = materialize(_joined_blocks(parts, [SUBJECT]), "grown")
+    sizes = parts.filter(F.col("kind") == _SIZE).groupBy(SUBJECT, "component").agg(F.sum("n").alias("n"))
+    best = sizes.groupBy(SUBJECT).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
+    return attach(parts.filter(F.col("kind") == _OWN), best, [SUBJECT, "component"], "inner").select(*VOXEL)
 
 
 def component_sizes(components: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

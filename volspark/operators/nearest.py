@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import BROADCAST_ROWS, attach
-from volspark.plans.storage import materialize, measured, release
+from volspark.plans.storage import known_rows, materialize, measured, release
 
 # Points of a leaf, parts a full box is cut into at once, and queries that meet a leaf in one group, at most.
-LEAF_POINTS = 1024
+LEAF_POINTS = 2048
 PARTS = 16
 CHUNK_QUERIES = 4096
 # Rows with a list of up to PARTS boxes are broadcast only when there are that much fewer.
@@ -73,7 +73,11 @@ def split_points(points: DataFrame, keys: Sequence[str], leaf_points: int = LEAF
         pick = lambda name: F.when(F.col("axis") == 0, F.col(f"{name}x")).when(F.col("axis") == 1, F.col(f"{name}y")).otherwise(F.col(f"{name}z"))  # noqa: E731, B023
         full = boxes.filter(F.col("n") > leaf_points).withColumn("axis", axis)
         full = full.withColumns({"_lo": pick("lo"), "_hi": pick("hi"), "_q": pick("_q")})
-        cuts = F.filter(F.array_sort(F.array_distinct("_q")), lambda c: c < F.col("_hi"))
+        # no more parts than it takes: 2, 4, 8 or 16 of about half a leaf
+        wanted = F.col("n") * 2 / leaf_points
+        stride = F.when(wanted <= 2, 8).when(wanted <= 4, 4).when(wanted <= 8, 2).otherwise(1)
+        some = F.filter("_q", lambda c, i: (i + 1) % stride == 0)
+        cuts = F.filter(F.array_sort(F.array_distinct(some)), lambda c: c < F.col("_hi"))
         # more than a quantile's share at the upper end: cut in the middle, or right above the lower end
         middle = (F.col("_lo") + F.col("_hi")) / 2
         spare = F.array(F.when(middle < F.col("_hi"), middle).otherwise(F.col("_lo")))
@@ -94,7 +98,8 @@ def _closest(pairs: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFr
     a share of the queries.
     """
     at = [*keys, "path"]
-    pairs = materialize(pairs, "asked")
+    if known_rows(pairs) is None:
+        pairs = materialize(pairs, "asked")
     chunks = pairs.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / CHUNK_QUERIES).cast("int").alias("_chunks"))
     chunks = materialize(chunks, "chunks")
     asked = attach(pairs, chunks, at, "inner").withColumn("_chunk", F.pmod(F.xxhash64("qid"), F.col("_chunks")).cast("int"))
