@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volspark.operators.regions import SUBJECT
-from volspark.plans.joins import BROADCAST_ROWS, attach
+from volspark.plans.joins import attach
 from volspark.plans.ordered import forward_fill, next_value
+from volspark.plans.storage import materialize
 
 # Words that mark a failing line, and phrases that make it harmless.
 ERROR_WORDS = ["error", "error:", "exception", "traceback"]
@@ -47,9 +48,7 @@ def scan_errors(lines: DataFrame, words: Sequence[str] = ERROR_WORDS, harmless:
 
 def sections(lines: DataFrame, by: Sequence[str] = ("file",), chunk: int = 65_536) -> DataFrame:
     """Add ``section``: the last heading (a line with ``======``, but no iteration line) at or before each line."""
-    heading = F.contains(F.col("line"), F.lit("======")) & ~F.contains(F.col("line"), F.lit("teration"))
-    name = F.regexp_replace(F.trim(F.regexp_replace("line", "^[= ]+|[= ]+$", "")), " ", "-")
-    marked = lines.withColumn("_name", F.when(heading & (name != "DONE"), name))
+    marked = lines.withColumn("_name", _heading())
     return forward_fill(marked, by, "line_no", "_name", "section", chunk).drop("_name")
 
 
@@ -77,6 +76,67 @@ def timing_lines(lines: DataFrame) -> DataFrame:
     return rows.filter(good).withColumn("t", parse_timing(F.col("line"))).drop("line").select("*", "t.*").drop("t")
 
 
+def _heading(line: str = "line") -> Column:
+    """The name of a section heading (a line with ``======``, but no iteration line); NULL for other lines."""
+    marked = F.contains(F.col(line), F.lit("======")) & ~F.contains(F.col(line), F.lit("teration"))
+    name = F.regexp_replace(F.trim(F.regexp_replace(line, "^[= ]+|[= ]+$", "")), " ", "-")
+    return F.when(marked & (name != "DONE"), name)
+
+
+def _stage_marks(line: str = "line") -> Column:
+    """Stage marks of a line, ``(stage, us)``: a ``#@# name date`` of more than five words, and an ``Ended`` (stage NULL).
+
+    The last six words are the date, like "Thu Jan 21 18:27:08 UTC 2016".
+    """
+    words = F.split(F.trim(line), r"\s+")
+    date = F.slice(words, F.size(words) - 5, 6)
+    stamp = F.concat_ws(" ", date[1], F.lpad(date[2], 2, "0"), date[3], date[5])
+    us = F.unix_micros(F.try_to_timestamp(stamp, F.lit("MMM dd HH:mm:ss yyyy")))
+    name = F.concat_ws(" ", F.slice(words, 2, F.greatest(F.size(words) - 7, F.lit(0))))
+    stage = F.when(F.contains(F.col(line), F.lit(STAGE_MARK)), F.struct(name.alias("stage"), us.alias("us")))
+    ended = F.when(F.contains(F.col(line), F.lit("Ended")), F.struct(F.lit(None).cast("string").alias("stage"), us.alias("us")))
+    return F.when(F.size(words) > 5, F.array_compact(F.array(stage, ended)))
+
+
+def report_lines(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
+    """The lines that time reports need, read and parsed once: ``head``, ``timing``, ``plain`` (possible command lines), ``marks``.
+
+    Quiet commands are dropped; a timing line of another layout is an error.
+    """
+    line = F.col("line")
+    words = F.split(F.trim("line"), r"\s+")
+    timing = F.contains(line, F.lit(TIMING_MARK)) & ~F.contains(line, F.lit("cmdf")) & ~F.get(words, F.lit(2)).isin(QUIET_COMMANDS)
+    bad = F.raise_error(F.concat(F.lit("unexpected timing line: "), line)).cast("boolean")
+    good = F.when(~timing | (F.get(words, F.lit(5)) == "e"), F.lit(True)).otherwise(bad)
+    marks = _stage_marks()
+    tagged = lines.filter(good).select(
+        *by, "line_no", _heading().alias("head"), F.when(timing, parse_timing(line)).alias("timing"),
+        F.when(~_has_any(line, NOT_A_COMMAND), line).alias("plain"), F.when(F.size(marks) > 0, marks).alias("marks"),
+    )
+    return tagged.filter("head IS NOT NULL OR timing IS NOT NULL OR plain IS NOT NULL OR marks IS NOT NULL")
+
+
+def _timed_commands(tagged: DataFrame, by: Sequence[str], chunk: int) -> DataFrame:
+    """Timing lines with their section and ``_full``, the command line (``line_no``, ``plain``) before them.
+
+    A command line ends some word, before a space, with the command's name: words are cut to the lengths that names have, and
+    only those that the file times are kept.
+    """
+    timed = tagged.filter("timing IS NOT NULL").select(*by, "line_no", "timing", F.col("timing.cmd").alias("cmd"))
+    names = materialize(timed.select(*by, "cmd").distinct(), "commands")
+    lengths = [r[0] for r in names.select(F.length("cmd")).distinct().collect()]
+    headed = tagged.filter("head IS NOT NULL OR timing IS NOT NULL").select(*by, "line_no", "timing", "head")
+    headed = forward_fill(headed, by, "line_no", "head", "section", chunk).filter("timing IS NOT NULL").drop("head")
+    words = F.regexp_extract_all("plain", F.lit(r"(\S+) "), F.lit(1))
+    ends = F.transform(words, lambda w: F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length(w)), lambda n: F.right(w, n)))
+    plain = tagged.filter("plain IS NOT NULL").select(*by, "line_no", "plain", F.explode(F.array_distinct(F.flatten(ends))).alias("cmd"))
+    plain = attach(plain, names, [*by, "cmd"], "inner")
+    rows = headed.withColumn("cmd", F.col("timing.cmd")).unionByName(plain, allowMissingColumns=True)
+    rows = rows.withColumn("_line", F.when(F.col("plain").isNotNull(), F.struct("line_no", F.ltrim("plain").alias("command"))))
+    rows = forward_fill(rows, [*by, "cmd"], "line_no", "_line", "_full", chunk, include_self=False)
+    return rows.filter("timing IS NOT NULL AND _full IS NOT NULL").drop("plain", "_line")
+
+
 def command_times(lines: DataFrame, by: Sequence[str] = ("file",), chunk: int = 65_536) -> DataFrame:
     """Timed commands with their section, full command line, stop time and minutes.
 
@@ -84,22 +144,13 @@ def command_times(lines: DataFrame, by: Sequence[str] = ("file",), chunk: int =
     without such a line are dropped.
     """
     by = list(by)
-    timed = timing_lines(sections(lines, by, chunk))
-    commands = timed.groupBy(*by).agg(F.collect_set("cmd").alias("_cmds"))
-    plain = lines.filter(~_has_any(F.col("line"), NOT_A_COMMAND))
-    named = attach(plain, commands, by, "inner", max_rows=BROADCAST_ROWS // 64).withColumn(
-        "cmd", F.explode(F.filter("_cmds", lambda c: F.contains(F.col("line"), F.concat(c, F.lit(" ")))))
-    )
-    rows = named.select(*by, "cmd", "line_no", F.col("line").alias("_line")).unionByName(
-        timed.select(*by, "cmd", "line_no", F.lit(None).cast("string").alias("_line"))
-    )
-    last = forward_fill(rows, [*by, "cmd"], "line_no", "_line", "_full", chunk, include_self=False).filter("_line IS NULL AND _full IS NOT NULL")
-    full = last.select(*by, "cmd", "line_no", F.ltrim("_full").alias("command"))
-    out = timed.join(full, [*by, "cmd", "line_no"])
-    stop = F.col("start") + F.make_dt_interval(secs=F.col("elapsed_s").cast("decimal(18,6)"))
+    out = _timed_commands(materialize(report_lines(lines, by), "report"), by, chunk)
+    seconds = F.col("timing.elapsed_s")
+    stop = F.col("timing.start") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     return out.select(
-        *by, "line_no", "section", "cmd", "command", "start", stop.alias("stop"), "elapsed_s", F.bround(F.col("elapsed_s") / 60, 2).alias("minutes")
-    )
+        *by, "line_no", "section", "cmd", F.col("_full.command").alias("command"), F.col("timing.start").alias("start"), stop.alias("stop"),
+        seconds.alias("elapsed_s"), F.bround(seconds / 60, 2).alias("minutes"),
+    )
 
 
 def stage_durations(stages: DataFrame, by: Sequence[str] = (SUBJECT,), time: str = "us", tie: str = "event_id", width: int = 3_600_000_000) -> DataFrame:
@@ -111,24 +162,28 @@ def stage_durations(stages: DataFrame, by: Sequence[str] = (SUBJECT,), time: str
     return led.withColumn("duration_s", (F.col("_next") - F.col(time)) / 1_000_000.0).drop("_next")
 
 
-def command_stages(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """Stages inside a command's log: ``#@# name date`` lines of more than five words, closed by an ``Ended`` line.
+def command_stages(lines: DataFrame, by: Sequence[str] = ("file",), command: str = "recon-all", chunk: int = 65_536) -> DataFrame:
+    """Stages inside a command's log, keyed by the line of the command's timing (``timed_at``): stage, start, stop, seconds.
 
-    The last six words are the date.  Each stage lasts until the next mark.
+    Stage marks between the command's line and its timing line count; each stage lasts until the next mark or ``Ended``.
+    Marks meet the spans that cover them by pieces of line numbers, so neither a long log nor a long span is one group.
     """
-    words = F.split(F.trim("line"), r"\s+")
-    stage = F.contains(F.col("line"), F.lit(STAGE_MARK)) & (F.size(words) > 5)
-    ended = F.contains(F.col("line"), F.lit("Ended"))
-    date = F.slice(words, F.size(words) - 5, 6)
-    # month, day, time and year of "Thu Jan 21 18:27:08 UTC 2016"
-    stamp = F.concat_ws(" ", date[1], F.lpad(date[2], 2, "0"), date[3], date[5])
-    name = F.when(stage, F.concat_ws(" ", F.slice(words, 2, F.greatest(F.size(words) - 7, F.lit(0)))))
-    marks = lines.filter(stage | ended).filter(F.size(words) >= 6).select(
-        *by, "line_no", name.alias("stage"), F.unix_micros(F.try_to_timestamp(stamp, F.lit("MMM dd HH:mm:ss yyyy"))).alias("us")
-    )
-    led = next_value(marks, by, F.floor(F.col("line_no") / 65_536), ["line_no"], "us", "_next")
-    out = led.filter("stage IS NOT NULL AND _next IS NOT NULL")
-    return out.select(*by, "line_no", "stage", "us", ((F.col("_next") - F.col("us")) / 1_000_000.0).alias("duration_s"))
+    by = list(by)
+    tagged = materialize(report_lines(lines, by), "report")
+    spans = _timed_commands(tagged, by, chunk).filter(F.col("cmd") == command)
+    spans = spans.select(*by, F.col("line_no").alias("timed_at"), F.col("_full.line_no").alias("_from"), F.col("_full.command").alias("command"))
+    piece = lambda n: F.floor(n / chunk)
+    spans = spans.withColumn("_piece", F.explode(F.sequence(piece(F.col("_from")), piece(F.col("timed_at") - 1))))
+    marks = tagged.filter("marks IS NOT NULL").withColumn("_piece", piece(F.col("line_no")))
+    met = spans.join(marks.select(*by, "_piece", "line_no", "marks"), [*by, "_piece"]).filter("line_no >= _from AND line_no < timed_at")
+    met = met.select(*by, "timed_at", "command", "line_no", F.posexplode("marks").alias("_k", "_mark")).withColumn("_order", F.col("line_no").cast("long") * 2 + F.col("_k"))
+    met = met.withColumn("_stage", F.when(F.col("_mark.stage").isNotNull(), F.col("_mark")))
+    led = forward_fill(met, [*by, "timed_at"], "_order", "_stage", "_open", 2 * chunk, include_self=False).filter("_open IS NOT NULL")
+    us = F.col("_mark.us") - F.col("_open.us")
+    return led.select(
+        *by, "timed_at", "command", "line_no", F.col("_open.stage").alias("stage"), F.timestamp_micros("_open.us").alias("start"),
+        F.timestamp_micros("_mark.us").alias("stop"), (us / 1_000_000.0).alias("duration_s"),
+    )
 
 
 # --- regression checks -------------------------------------------------------------------------------
@@ -185,11 +240,31 @@ def failure_ratio(flags: DataFrame) -> DataFrame:
     return flags.agg(n.alias("subjects"), F.count_if("failed").alias("n_failed"), ratio.alias("ratio"))
 
 
-def sequence_runs(ids: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Compact text of id lists, e.g. ``1-3,7`` (``()`` for an empty one)."""
-    line = Window.partitionBy(*by).orderBy(value)
-    runs = ids.distinct().withColumn("_g", F.col(value) - F.row_number().over(line))
-    spans = runs.groupBy(*by, "_g").agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+def sequence_runs(ids: DataFrame, by: Sequence[str], value: str, chunk: int = 4096) -> DataFrame:
+    """Compact text of id lists, e.g. ``1-3,7``.
+
+    Runs are found inside chunks of ``chunk`` ids; one summary row per chunk tells where a run that reaches the chunk's end
+    began, so a run over many chunks is joined without a window or a list over a whole group's ids.
+    """
+    by = list(by)
+    part = F.floor(F.col(value) / chunk)
+    rows = ids.select(*by, value).distinct().withColumn("_c", part)
+    line = Window.partitionBy(*by, "_c").orderBy(value)
+    runs = rows.withColumn("_g", F.col(value) - F.row_number().over(line)).groupBy(*by, "_c", "_g").agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    low, high = F.col("_c") * chunk, F.col("_c") * chunk + (chunk - 1)
+    edge = runs.groupBy(*by, "_c").agg(
+        F.max(F.when(F.col("_b") == high, F.col("_a"))).alias("_open"), F.bool_or((F.col("_a") == low) & (F.col("_b") == high)).alias("_full")
+    )
+    summary = Window.partitionBy(*by).orderBy("_c")
+    previous = F.coalesce((F.lag("_c").over(summary) == F.col("_c") - 1) & F.lag("_open").over(summary).isNotNull(), F.lit(False))
+    edge = edge.withColumn("_joins", previous)
+    # a chunk that is one run and joins the one before has the start of that one
+    edge = edge.withColumn("_start", F.when(F.col("_open").isNotNull() & ~(F.col("_full") & F.col("_joins")), F.col("_open")))
+    before = summary.rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select(*by, "_c", F.when(F.col("_joins"), F.last("_start", ignorenulls=True).over(before)).alias("_from"))
+    joined = runs.join(edge, [*by, "_c"]).withColumn("_a", F.when((F.col("_a") == low) & F.col("_from").isNotNull(), F.col("_from")).otherwise(F.col("_a")))
+    spans = joined.groupBy(*by, "_a").agg(F.max("_b").alias("_b"))
     text = F.when(F.col("_a") == F.col("_b"), F.col("_a").cast("string")).otherwise(F.concat(F.col("_a").cast("string"), F.lit("-"), F.col("_b").cast("string")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_a", text.alias("t")))), lambda s: s["t"])
-    return spans.groupBy(*by).agg(F.concat_ws(",", parts).alias("text"))
+    ordered = lambda key, name: F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct(key, F.col(name).alias("t")))), lambda s: s["t"]))
+    pieces = spans.withColumn("t", text).groupBy(*by, F.floor(F.col("_a") / chunk).alias("_c")).agg(ordered("_a", "t").alias("t"))
+    return pieces.groupBy(*by).agg(ordered("_c", "t").alias("text"))

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from volspark.functions.matrix import det3
 from volspark.operators.grid import split_sided_label
-from volspark.operators.regions import SUBJECT
+from volspark.operators.labels import VOXEL
+from volspark.operators.mesh import enclosed_volume, euler_numbers
+from volspark.operators.regions import SUBJECT, mask_volume, with_volume
 from volspark.plans.joins import literal_table
+from volspark.plans.storage import materialize
 
 MM3 = "mm^3"
 UNITLESS = "unitless"
@@ -159,6 +162,52 @@ def sided_measures(voxels: DataFrame, dims: DataFrame, headers: DataFrame, wante
     return sized.select(SUBJECT, rows.alias("r")).select(SUBJECT, "r.*")
 
 
+# The surfaces that mesh measures are taken from.
+HOLES_SURFACE, PIAL_SURFACE, WHITE_SURFACE = "orig.nofix", "pial", "white"
+
+
+def mesh_measures(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Holes and enclosed volumes of the surfaces that the catalogue names (``subject_id, key, value``).
+
+    Both tables carry ``hemi`` (lh, rh) and ``surface``; holes come from the surface before its defects were mended.
+    """
+    mesh = [SUBJECT, "hemi", "surface"]
+    holes = euler_numbers(faces.filter(F.col("surface") == HOLES_SURFACE), mesh)
+    holes = holes.select(SUBJECT, F.concat("hemi", F.lit("SurfaceHoles")).alias("key"), F.col("holes").cast("double").alias("value"))
+    closed = F.col("surface").isin(PIAL_SURFACE, WHITE_SURFACE)
+    volumes = enclosed_volume(faces.filter(closed), vertices.filter(closed), mesh)
+    name = F.concat("hemi", F.when(F.col("surface") == PIAL_SURFACE, "PialTotal").otherwise("WhiteMatterTotal"))
+    return holes.unionByName(volumes.select(SUBJECT, name.alias("key"), F.col("volume").alias("value")))
+
+
+def catalogue_measures(
+    segmentation: DataFrame, dims: DataFrame, headers: DataFrame, faces: DataFrame, vertices: DataFrame, mask: DataFrame, transforms: DataFrame,
+    keys: Sequence[str] | None = None, catalogue: dict[str, Measure] = CATALOGUE,
+) -> DataFrame:
+    """Every measure of the catalogue from its sources: labels, sided labels, meshes, the mask and the atlas transform.
+
+    ``segmentation`` has voxels with ``seg``, ``mask`` voxels with ``value`` (above 0 counts), ``transforms`` one 4x4 ``matrix`` per
+    subject.  Leaves of all sources are one table; the definitions are unfolded to leaf coefficients and evaluated in one
+    aggregate.  A subject that lacks a source has NULL for what follows from it.
+    """
+    leaf = ["subject_id", "key", "value"]
+    partials = with_volume(segmentation.groupBy(SUBJECT, "seg").agg(F.count(F.lit(1)).alias("n_voxels")), headers)
+    inside = mask_volume(mask, headers, F.col("value") > 0)
+    parts = [
+        class_measures(partials, catalogue),
+        sided_measures(segmentation.select(*VOXEL, "seg"), dims, headers),
+        mesh_measures(faces, vertices),
+        inside.select(SUBJECT, F.lit("Mask").alias("key"), F.col("volume").alias("value")),
+        transforms.select(SUBJECT, F.lit("EstimatedTotalIntraCranialVol").alias("key"), intracranial_volume("matrix").alias("value")),
+    ]
+    whole = ["lhSurfaceHoles", "rhSurfaceHoles"]
+    values = parts[0].select(*leaf)
+    for p in parts[1:]:
+        values = values.unionByName(p.select(*leaf))
+    values = materialize(values.withColumn("is_int", F.col("key").isin(whole)), "leaves")
+    return derived_measures(values, list(catalogue) if keys is None else keys, headers, catalogue)
+
+
 def derived_measures(
     values: DataFrame, keys: Sequence[str], headers: DataFrame, catalogue: dict[str, Measure] = CATALOGUE
 ) -> DataFrame:

@@ -503,6 +503,89 @@ def sided_label_volumes(spark, d):
     return S.sided_measures(ev(spark, d).withColumn("seg", label), ev_dims(spark, d), heads)
 
 
+# --- the whole catalogue from labels, meshes, masks and transforms --------------------------------------
+
+SURFACES = ("orig.nofix", "pial", "white")
+CATALOGUE_SEG = "CASE blk WHEN 1 THEN 2 WHEN 2 THEN 77 WHEN 3 THEN 10 WHEN 4 THEN 251 ELSE CASE seg % 4 WHEN 0 THEN 14 WHEN 1 THEN 4 WHEN 2 THEN 46 ELSE 41 END END"
+
+
+def catalogue_meshes(spark, d):
+    """Six 10 x 10 grid meshes per 100 embeddings: two sides, three surfaces; some faces of the right side are missing."""
+    kinds = F.array(*(F.struct(F.lit(h).alias("hemi"), F.lit(s).alias("surface"), F.lit(9 * i + 3 * j).alias("o")) for i, h in enumerate(("lh", "rh")) for j, s in enumerate(SURFACES)))
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("subject_id"), (F.col("vec_id") % 100).alias("vid"), "embedding", F.explode(kinds).alias("m"))
+    keys = ("subject_id", "m.hemi", "m.surface")
+    vertices = rows.select(*keys, "vid", *(F.element_at("embedding", F.col("m.o") + k).cast("double").alias(a) for k, a in ((1, "x"), (2, "y"), (3, "z"))))
+    v = F.col("vid")
+    tri = F.array(
+        F.struct((2 * v).alias("fid"), v.alias("v0"), (v + 1).alias("v1"), (v + 10).alias("v2")), F.struct((2 * v + 1).alias("fid"), (v + 1).alias("v0"), (v + 11).alias("v1"), (v + 10).alias("v2"))
+    )
+    faces = rows.filter((v < 90) & (v % 10 < 9)).select(*keys, F.explode(tri).alias("t")).select("subject_id", "hemi", "surface", "t.*")
+    return faces.filter((F.col("hemi") == "lh") | (F.col("fid") % 5 != 0)), vertices
+
+
+CATALOGUE_MESH = """md AS (SELECT hemi, surface, 9*i+3*j AS o FROM (VALUES ('lh',0),('rh',1)) h(hemi,i), (VALUES ('orig.nofix',0),('pial',1),('white',2)) s(surface,j)),
+mv AS MATERIALIZED (SELECT vec_id//100 AS subject_id, vec_id%100 AS vid, hemi, surface, embedding[o+1]::DOUBLE AS x, embedding[o+2]::DOUBLE AS y, embedding[o+3]::DOUBLE AS z FROM embeddings, md),
+f0 AS (SELECT subject_id, hemi, surface, vid, 2*vid AS fid, vid AS v0, vid+1 AS v1, vid+10 AS v2 FROM mv UNION ALL SELECT subject_id, hemi, surface, vid, 2*vid+1, vid+1, vid+11, vid+10 FROM mv),
+mf AS MATERIALIZED (SELECT * FROM f0 WHERE vid < 90 AND vid%10 < 9 AND (hemi='lh' OR fid%5 <> 0)),
+de AS (SELECT subject_id, hemi, v0 AS a, v1 AS b FROM mf WHERE surface='orig.nofix' UNION ALL SELECT subject_id, hemi, v1, v2 FROM mf WHERE surface='orig.nofix' UNION ALL SELECT subject_id, hemi, v2, v0 FROM mf WHERE surface='orig.nofix'),
+mh AS (SELECT subject_id, hemi||'SurfaceHoles' AS key, trunc(1-(v-e+f)/2)::DOUBLE AS value FROM (SELECT subject_id, hemi, count(DISTINCT (least(a,b), greatest(a,b))) AS e, count(*)//3 AS f FROM de GROUP BY 1,2)
+ JOIN (SELECT subject_id, hemi, count(DISTINCT u) AS v FROM (SELECT subject_id, hemi, unnest([a,b]) AS u FROM de) GROUP BY 1,2) USING (subject_id, hemi)),
+mo AS (SELECT f.subject_id, f.hemi||CASE f.surface WHEN 'pial' THEN 'PialTotal' ELSE 'WhiteMatterTotal' END AS key,
+ sum(a.x*(b.y*c.z-b.z*c.y)-a.y*(b.x*c.z-b.z*c.x)+a.z*(b.x*c.y-b.y*c.x))/6.0 AS value FROM mf f
+ JOIN mv a ON a.subject_id=f.subject_id AND a.hemi=f.hemi AND a.surface=f.surface AND a.vid=f.v0 JOIN mv b ON b.subject_id=f.subject_id AND b.hemi=f.hemi AND b.surface=f.surface AND b.vid=f.v1
+ JOIN mv c ON c.subject_id=f.subject_id AND c.hemi=f.hemi AND c.surface=f.surface AND c.vid=f.v2 WHERE f.surface <> 'orig.nofix' GROUP BY ALL)"""
+CATALOGUE_LEAVES = ", ".join([
+    f"sg AS MATERIALIZED (SELECT subject_id, x, y, z, {CATALOGUE_SEG} AS l FROM ev)",
+    "o7 AS (SELECT dx, dy, dz FROM (SELECT unnest(range(-3,4)) dx), (SELECT unnest(range(-3,4)) dy), (SELECT unnest(range(-3,4)) dz))",
+    "t7 AS (SELECT a.subject_id, a.x AS x0, a.y AS y0, a.z AS z0, " + ", ".join(
+        f"CASE WHEN a.{a}+o.d{a}<0 THEN -1-(a.{a}+o.d{a}) WHEN a.{a}+o.d{a}>={n} THEN {2 * n}-1-(a.{a}+o.d{a}) ELSE a.{a}+o.d{a} END AS {a}" for a, n in (("x", 8), ("y", 8), ("z", 100))) + " FROM sg a, o7 o WHERE a.l=77)",
+    "f7 AS (SELECT subject_id, x0, y0, z0, count(*) FILTER (l IN (2,4,5,7,8,10,11,12,13,17,18,26,28,30,31))/343.0::DOUBLE AS f FROM t7 JOIN sg USING (subject_id, x, y, z) GROUP BY 1,2,3,4)",
+    "lf AS (" + " UNION ALL ".join(f"SELECT subject_id, '{k}' AS key, count(*) FILTER (l IN ({','.join(map(str, S.CATALOGUE[k].classes))}))*0.5::DOUBLE AS value FROM sg GROUP BY 1" for k in CLASS_KEYS)
+    + " UNION ALL SELECT subject_id, 'lhWM-hypointensities', count(*) FILTER (f>0.2)*0.5::DOUBLE FROM f7 GROUP BY 1 UNION ALL SELECT subject_id, 'rhWM-hypointensities', count(*) FILTER (NOT f>0.2)*0.5::DOUBLE FROM f7 GROUP BY 1"
+    + " UNION ALL FROM mh UNION ALL FROM mo UNION ALL SELECT subject_id, 'Mask', count(*) FILTER (seg>0)*0.5::DOUBLE FROM ev GROUP BY 1"
+    + " UNION ALL SELECT DISTINCT subject_id, 'EstimatedTotalIntraCranialVol', 1948106.0/((1+subject_id)*1.25)::DOUBLE FROM ev)",
+])
+LEAF_KEYS = [*CLASS_KEYS, *(f"{h}{k}" for h in ("lh", "rh") for k in ("WM-hypointensities", "SurfaceHoles", "PialTotal", "WhiteMatterTotal")), "Mask", "EstimatedTotalIntraCranialVol"]
+_NOT_VENT = '"BrainSeg"-"VentricleChoroidVol"-"TFFC"'
+_SUPRA = '"BrainSeg"-"CerebellarGM"-"CerebellarWM"'
+CATALOGUE_SQL = {k: f'"{k}"' for k in LEAF_KEYS} | {
+    "SurfaceHoles": '"rhSurfaceHoles"+"lhSurfaceHoles"',
+    "lhCortex": '"lhPialTotal"-"lhWhiteMatterTotal"',
+    "rhCortex": '"rhPialTotal"-"rhWhiteMatterTotal"',
+    "Cortex": '"lhPialTotal"-"lhWhiteMatterTotal"+"rhPialTotal"-"rhWhiteMatterTotal"',
+    "lhCerebralWhiteMatter": '"lhWhiteMatterVol"+"lhWM-hypointensities"+0.5*"CorpusCallosumVol"',
+    "rhCerebralWhiteMatter": '"rhWhiteMatterVol"+"rhWM-hypointensities"+0.5*"CorpusCallosumVol"',
+    "CerebralWhiteMatter": '"lhWhiteMatterVol"+"lhWM-hypointensities"+"rhWhiteMatterVol"+"rhWM-hypointensities"+"CorpusCallosumVol"',
+    "TotalGray": '"SubCortGray"+"lhPialTotal"-"lhWhiteMatterTotal"+"rhPialTotal"-"rhWhiteMatterTotal"+"CerebellarGM"',
+    "BrainSegNotVent": _NOT_VENT,
+    "BrainSegNotVentSurf": _NOT_VENT,
+    "Cerebellum": '"CerebellarGM"+"CerebellarWM"',
+    "SupraTentorial": _SUPRA,
+    "SupraTentorialNotVent": _SUPRA + '-"VentricleChoroidVol"-"TFFC"',
+    "SupraTentorialNotVentVox": f'({_SUPRA}-"VentricleChoroidVol"-"TFFC")/0.5',
+    "BrainSegVol-to-eTIV": '"BrainSeg"/"EstimatedTotalIntraCranialVol"',
+    "MaskVol-to-eTIV": '"Mask"/"EstimatedTotalIntraCranialVol"',
+}
+_UNITLESS = ("SurfaceHoles", "lhSurfaceHoles", "rhSurfaceHoles", "SupraTentorialNotVentVox", "BrainSegVol-to-eTIV", "MaskVol-to-eTIV")
+
+
+@query("catalogue_measures", with_(EV, CATALOGUE_MESH, CATALOGUE_LEAVES, "w AS MATERIALIZED (SELECT subject_id, " + ", ".join(f"any_value(value) FILTER (key='{k}') AS \"{k}\"" for k in LEAF_KEYS) + " FROM lf GROUP BY 1)",
+    body=" UNION ALL ".join(f"SELECT subject_id, '{k}' AS key, round(({e})::DOUBLE,6) AS value, {str(k.endswith('SurfaceHoles')).lower()} AS is_int, '{'unitless' if k in _UNITLESS else 'mm^3'}' AS unit FROM w" for k, e in CATALOGUE_SQL.items())))
+def catalogue_measures(spark, d):
+    heads = ev_dims(spark, d).select("subject_id", F.lit(0.5).alias("vox_vol"))
+    voxels = ev(spark, d)
+    s = F.col("subject_id").cast("double")
+    matrix = F.array(
+        F.array(F.lit(1.0) + s, F.lit(0.5), F.lit(0.0), F.lit(9.0)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.5), F.lit(1.0)), F.array(F.lit(0.0), F.lit(-0.5), F.lit(1.0), F.lit(2.0))
+    )
+    faces, vertices = catalogue_meshes(spark, d)
+    out = S.catalogue_measures(
+        voxels.select(*L.VOXEL, F.expr(CATALOGUE_SEG).alias("seg")), ev_dims(spark, d), heads, faces, vertices,
+        voxels.select(*L.VOXEL, F.col("seg").alias("value")), heads.select("subject_id", matrix.alias("matrix")),
+    )
+    return out.select("subject_id", "key", F.round("value", 6).alias("value"), "is_int", "unit")
+
+
 @query("cerebellum_groups", """SELECT CAST(CASE WHEN c_name LIKE '%1%' THEN 8 WHEN c_name LIKE '%2%' THEN 47 ELSE 632 END AS INT) AS group_id, c_custkey AS member_id FROM customer
 WHERE (c_name LIKE '%1%' OR c_name LIKE '%2%' OR c_name LIKE '%3%') AND c_custkey%10<>0""")
 def cerebellum_groups(spark, d):

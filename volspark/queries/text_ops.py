@@ -238,15 +238,29 @@ def stage_durations(spark, d):
     return out.select("subject_id", "event_id", "stage", F.round("duration_s", 6).alias("duration_s"))
 
 
-@query("command_stages", """WITH e AS (SELECT user_id AS subject_id, event_id, event_type, epoch_us(date_trunc('second', ts)) AS us, event_id%10=0 AS ended FROM events)
-SELECT subject_id, event_id, stage, round(d/1e6,6) AS duration_s FROM (SELECT subject_id, event_id, ended, event_type AS stage, lead(us) OVER (PARTITION BY subject_id ORDER BY event_id)-us AS d FROM e) WHERE NOT ended AND d IS NOT NULL""")
-def command_stages(spark, d):
-    e = table(spark, d, "events")
+def staged_text(spark, d):
+    """Logs of one command per ten events: its line, six stage marks, an ``Ended`` line and its timing line."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", (F.col("event_id") % 10).alias("k"), "ts")
     date = F.date_format("ts", "EEE MMM d HH:mm:ss 'UTC' yyyy")
-    mark = F.when(F.col("event_id") % 10 == 0, F.lit("run Ended ")).otherwise(F.concat(F.lit("#@# "), "event_type", F.lit(" ")))
-    lines = e.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("line_no"), F.concat(mark, date).alias("line"))
-    out = L.command_stages(lines, ["subject_id"])
-    return out.select("subject_id", F.col("line_no").alias("event_id"), "stage", F.round("duration_s", 6).alias("duration_s"))
+    timing = F.concat(F.lit("@#@FSTIME "), F.date_format("ts", "yyyy:MM:dd:HH:mm:ss"), F.lit(" recon-all N 2 e "), F.col("value").cast("string"), F.lit(" S 0.05 U 1.64 P 77% M 236 F 0 R 55 W 0 c 7 w 3 I 0 O 20"))
+    line = (
+        F.when(F.col("k") == 1, F.concat(F.lit(" /bin/recon-all -s "), F.col("event_id").cast("string")))
+        .when(F.col("k").between(2, 7), F.concat(F.lit("#@# "), "event_type", F.lit(" part "), date))
+        .when(F.col("k") == 8, F.concat(F.lit("recon-all-status: Ended "), date))
+        .when(F.col("k") == 9, timing).otherwise("#@# 241395 lh 227149")
+    )
+    return e.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("line_no"), line.alias("line"))
+
+
+@query("command_stages", """WITH e AS (SELECT user_id AS subject_id, event_id, event_type||' part' AS stage, epoch(date_trunc('second', ts))::BIGINT AS s, event_id%10 AS k FROM events),
+sp AS (SELECT t.subject_id, t.event_id AS timed_at, max(c.event_id) AS c0 FROM e t JOIN e c ON c.subject_id=t.subject_id AND c.k=1 AND c.event_id<t.event_id WHERE t.k=9 GROUP BY 1,2),
+mk AS (SELECT sp.subject_id, timed_at, c0, m.event_id, m.s, m.k, CASE WHEN m.k<8 THEN {'stage': stage, 's': s} END AS st FROM sp JOIN e m ON m.subject_id=sp.subject_id AND m.event_id>=c0 AND m.event_id<timed_at AND m.k BETWEEN 2 AND 8),
+op AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY subject_id, timed_at ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM mk)
+SELECT subject_id, timed_at, '/bin/recon-all -s '||c0 AS command, event_id AS line_no, o.stage AS stage, o.s AS start_s, s AS stop_s, (s-o.s)::DOUBLE AS duration_s FROM op WHERE o IS NOT NULL""")
+def command_stages(spark, d):
+    out = L.command_stages(staged_text(spark, d), ["subject_id"], chunk=64)
+    seconds = lambda c: F.unix_timestamp(c).alias(f"{c}_s")
+    return out.select("subject_id", "timed_at", "command", "line_no", "stage", seconds("start"), seconds("stop"), "duration_s")
 
 
 # --- regression and quality --------------------------------------------------------------------------

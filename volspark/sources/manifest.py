@@ -55,14 +55,29 @@ def common_suffix(paths: DataFrame, path: str = "path") -> DataFrame:
     return ends.select(F.reverse(F.substring(F.col("a"), F.lit(1), F.array_max(sizes))).alias("suffix"))
 
 
+# A word of a batch line: quoted, escaped and bare parts that touch are one word.
+_PART = r"""\\(?s:.)|[^'"\s\\]++|'[^']*'|"(?:[^"\\]|\\(?s:.))*+\""""
+_WORD = f"(?:{_PART})++"
+
+
+def split_words(text: Column) -> Column:
+    """Words of a line by quoting rules: ``a"b c"d`` is the word ``ab cd``; an open quote or a lone ``\\`` at the end is an error."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    rest = F.trim(F.regexp_replace(F.regexp_replace(text, _WORD, ""), r"\s+", ""))
+    bad = F.raise_error(F.concat(F.lit("could not parse the line, maybe incorrect quoting or escaping: "), text)).cast("array<string>")
+    escapes = lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1")
+    bare = lambda p: (
+        F.when(p.startswith("'"), F.substring(p, F.lit(2), F.length(p) - 2)).when(p.startswith('"'), escapes(F.substring(p, F.lit(2), F.length(p) - 2))).otherwise(escapes(p))
+    )
+    joined = F.transform(words, lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(_PART), F.lit(0)), bare), ""))
+    return F.when(rest == "", joined).otherwise(bad)
+
+
 def parse_batch_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """``id=path [arguments]`` lines: the first ``=`` splits, later ones stay; arguments may be quoted."""
+    """``id=path [arguments]`` lines: the first ``=`` splits, later ones stay; path and arguments go by quoting rules."""
     halves = F.split(F.col(line), "=", 2)
-    rest = F.get(halves, F.lit(1))
-    words = F.regexp_extract_all(rest, F.lit(r"""("(?:[^"\\]|\\.)*"|'[^']*'|[^\s"']+)"""), F.lit(1))
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "^[\"']|[\"']$", ""))
     keep = [c for c in lines.columns if c != line]
-    rows = lines.filter(F.contains(F.col(line), F.lit("="))).withColumn("_w", bare)
+    rows = lines.filter(F.contains(F.col(line), F.lit("="))).withColumn("_w", split_words(F.get(halves, F.lit(1))))
     return rows.select(*keep, F.get(halves, F.lit(0)).alias("id"), F.get("_w", F.lit(0)).alias("path"), F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))).alias("args"))
 
 
