@@ -325,3 +325,53 @@ def test_stages_take_hard_rows(spark, hard, empty, small):
     for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, small).collect():
         kept[r["doc_id"]] += 1
     assert kept[6] == 1 and 7 not in kept and kept[3] == 2 and kept[None] == 2
+
+
+def test_number_signs_are_no_letters(spark):
+    from volspark.llm.common import has_letter
+
+    assert not any(has_letter(t.encode()) for t in ("½ ² ①", "Ⅷ ٣ 一2"[:3], "12 ३ _ 🙂"))
+    assert all(has_letter(t.encode()) for t in ("½ª", "日", "é", "① x"))
+    docs = spark.createDataFrame([(k, f"the quick dog {k}", "en") for k in range(40)] + [(100, "½ ² ①", None)], "doc_id long, text string, lang string")
+    seen = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(docs, language.learn(docs), ["doc_id"]).collect()}
+    assert seen[100] == "und" and seen[3] == "en"
+
+
+def test_rare_languages_are_learned_and_copies_do_not_fill_the_sample(spark):
+    rows = [(k, f"the quick brown fox number {k} jumps over it", "en") for k in range(3000)]
+    rows += [(10_000 + k, "the very same text again and again", "en") for k in range(3000)]
+    rows += [(20_000 + k, f"żółty kot {k} śpi na płocie źle", "pl") for k in range(12)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert sorted(model.langs) == ["en", "pl"]
+
+
+def test_shards_with_another_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["Hello world, Foo Bar", "", None, "a  b\n\nc", "ÉTÉ <|endoftext|> x", "don't"]
+    encoder = token_output.Encoder(path)
+    got = encoder.encode_all([None if t is None else t.encode() for t in texts])
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == want and not encoder.wordwise
+    assert token_output.Encoder(public_tokenizers.path("word_bpe_49k.json")).wordwise
+
+
+def test_texts_of_one_id_are_compared_each(spark):
+    words = lambda seed: " ".join(f"w{(seed * 7919 + i * 31) % 997}" for i in range(40))
+    a, b = words(1), words(2)
+    docs = spark.createDataFrame([(1, a), (5, a + " end"), (5, b), (9, b), (-3, words(3)), (-3, words(3))], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_components(docs).collect())
+    assert got == [(-3, -3, True), (-3, -3, True), (1, 1, True), (5, 1, False), (5, 5, True), (9, 5, False)]
+
+
+def test_the_pipeline_keeps_a_unique_text_under_a_repeated_id(spark):
+    import corpus_pipeline
+
+    words = lambda seed: " ".join(f"w{(seed * 7919 + i * 31) % 997}" for i in range(40))
+    docs = spark.createDataFrame([(1, words(1), "x"), (5, words(1), "x"), (5, words(2), "y"), (5, words(2), "y"), (None, words(1), "z")], "doc_id long, text string, source string")
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, words(1)), (1, words(1)), (5, words(2))]
+    assert left.columns == docs.columns

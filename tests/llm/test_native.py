@@ -193,3 +193,17 @@ def test_mixed_documents(spark, hard, empty):
     got = Counter((r["doc_id"], len((r["text"] or "").encode().split())) for r in out.collect())
     assert got == +copies
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_a_role_of_a_megabyte(spark):
+    role = "a:\n\\#<é" * 150_000
+    rows = spark.createDataFrame([(1, 0, role, "x:\ny"), (1, 1, "assistant", ":\n:"), (1, 2, ":", ""), (1, 3, "", None)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.expand_turns(rows)).first()
+    text = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in rows.collect())
+    assert got["n_turns"] == 4 and got["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(b":\n:").hexdigest()
+
+
+def test_large_ids_beside_null_ids_stay_exact(spark):
+    rows = spark.createDataFrame([(2**53 + 1, "http://a.org/x"), (None, "http://b.com/"), (-(2**62) - 1, None)], "page_id long, url string").coalesce(1)
+    assert {r["page_id"] for r in url_filter.judge_urls(rows).collect()} == {2**53 + 1, None, -(2**62) - 1}

@@ -62,13 +62,18 @@ def expand_turns(
 
 
 def parsed_turns(text: Column) -> Column:
-    """The turns (role, text) that a formatted text holds."""
+    """The turns (role, text) that a formatted text holds.
+
+    Colons and line ends of a role are escaped, so the first colon before a line end closes its head, however long it is.
+    """
     parts = F.filter(F.split(text, r"\n</turn>\n"), lambda p: p != "")
-    pattern = r"(?s)^### ((?:[^\\:]|\\.)*):\n(.*)$"
+    colon = lambda p: F.instr(p, F.lit(":\n"))
+    cut = lambda p, start, size: unescaped(F.substr(p, start, size))
+    skip = len(HEAD)
     return F.transform(
         parts,
         lambda p: F.struct(
-            unescaped(F.regexp_extract(p, pattern, 1)).alias("role"), unescaped(F.regexp_extract(p, pattern, 2)).alias("text")
+            cut(p, F.lit(skip + 1), colon(p) - (skip + 1)).alias("role"), cut(p, colon(p) + 2, F.length(p)).alias("text")
         ),
     )
 

@@ -58,7 +58,8 @@ def has_letter(raw: bytes | None) -> bool:
         return False
     if _ASCII_LETTER.search(raw):
         return True
-    return _LETTER.search(raw.decode("utf-8", "replace")) is not None
+    # word characters hold number signs as well, such as fractions and circled digits
+    return any(m.group().isalpha() for m in _LETTER.finditer(raw.decode("utf-8", "replace")))
 
 
 def remainder(key: Column, parts: int) -> Column:

@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import bounded_batches, has_letter, hashed_sample, remainder, table
+from volspark.llm.common import bounded_batches, has_letter, remainder, table, uniform
 from volspark.llm.registry import query
+from volspark.plans.joins import attach
+from volspark.plans.storage import known_rows, materialize
 
 UNKNOWN = "und"
 # Hashed n-grams of 1 to 4 bytes, each length in a block of its own.
@@ -21,7 +23,7 @@ BLOCK = 1024
 SIZES = (1, 2, 3, 4)
 WIDTH = BLOCK * len(SIZES)
 # Rows that the bit classifiers learn from, about; chosen by hashes of ids and texts.
-SAMPLE = 2000
+SAMPLE, LEAST_SAMPLE = 2000, 20
 # Below this difference of mean losses of the two nearest codewords a prediction is ambiguous.
 MARGIN = 0.08
 _MIX = np.uint32(2654435761)
@@ -114,13 +116,21 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = 4, held: int = 2) -> Model | None:
-    """Fit on about ``sample`` rows with a language, outside the held-out fold; None without any."""
+    """Fit on about ``sample`` texts outside the held-out fold, as many of each language (LEAST_SAMPLE at least); None without any.
+
+    Texts are chosen by their own hashes, language by language, so a rare language is learned too and copies under other ids
+    neither change the choice nor fill the sample.
+    """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.coalesce(remainder(F.col("_id"), folds) != held, F.lit(False)))
-    picked = hashed_sample(rows, ["_id", "text"], sample).filter(F.col("text").isNotNull())
-    # equal rows count once, so that many copies can't fill the sample
-    picked = picked.groupBy(F.xxhash64("_id", "text").alias("_h")).agg(F.min("lang").alias("lang"), F.first("text").cast("binary").alias("text"))
+    rows = rows.filter(F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    counts = materialize(counts, "languages")
+    each = max(LEAST_SAMPLE, sample // max(1, known_rows(counts)))
+    picked = attach(rows, counts, "lang").filter(uniform("_h", seed="sample") < each / F.col("_n"))
+    # equal texts count once, under the smallest language given
+    picked = picked.groupBy("_h").agg(F.min("lang").alias("lang"), F.min(F.col("text").cast("binary")).alias("text"))
     pdf = picked.select("lang", "text").mapInArrow(_sample_batches, "lang string, grams binary").toPandas()
     if not len(pdf):
         return None

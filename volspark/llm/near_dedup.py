@@ -243,9 +243,47 @@ def _difference_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, lea
     return shared.select(*pair).unionByName(close.select(*pair)).distinct()
 
 
+# The sign bit: with it turned over, ids order as their sixteen hexadecimal digits do.
+_SIGN = -(1 << 63)
+
+
+def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key that orders like the id and differs where one id carries different texts; null without an id."""
+    body = F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(_SIGN).cast("long"))), 16, "0")
+    return F.concat(body, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def _id_of(key: Column, kind: str) -> Column:
+    return F.conv(F.substring(key, 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(_SIGN).cast("long")).cast(kind)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether some id stands on several rows."""
+    return bool(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").head(1))
+
+
 def near_components(
     docs: DataFrame, size: int = 5, least: int = 80, side: int = SIDE, hashes: int = HASHES, small: int = SMALL, rounds: int = ROUNDS,
     id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """id, n_shingles, component_id, kept for every row of ``docs``: see :func:`unique_components`.
+
+    Integer ids may repeat: each text of an id is a document of its own there, whose component is named by the smallest
+    id in it; then a row is kept if its own id is that one.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    options = dict(size=size, least=least, side=side, hashes=hashes, small=small, rounds=rounds)
+    if kind not in ("bigint", "int", "smallint", "tinyint") or not repeats(docs, id_col):
+        return unique_components(docs, id_col=id_col, text_col=text_col, **options)
+    keyed = docs.select(text_keys(docs, id_col, text_col).alias("_key"), F.col(text_col).alias("_body"))
+    found = unique_components(keyed, id_col="_key", text_col="_body", **options)
+    own, component = _id_of(F.col("_key"), kind), _id_of(F.col("component_id"), kind)
+    return found.select(own.alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))
+
+
+def unique_components(
+    docs: DataFrame, size: int = 5, least: int = 80, side: int = SIDE, hashes: int = HASHES, small: int = SMALL, rounds: int = ROUNDS,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -257,7 +295,8 @@ def near_components(
     in, which is exact.
 
     A null, empty or blank text has no shingles and is linked with nothing; fewer words than ``size`` are one shingle.
-    Repeated ids share their component.  A row without an id is not linked: component_id null, not kept.  An empty table gives
+    Very long texts are compared whole.  Rows that agree in id and text share their component; no id may carry two different
+    texts.  A row without an id is not linked: component_id null, not kept.  An empty table gives
     an empty result; extra columns are ignored.
     """
     bounded_batches(docs.sparkSession)

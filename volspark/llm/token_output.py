@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -52,12 +53,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(free)) for b in range(256)}
 
 
+# The normaliser and the pre-tokenizer that words can be taken apart for.
+_WORDWISE_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_WORDWISE_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+_WORDWISE_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no token crosses it, so a text is the sequence of its words also for the library.
     The ids of short words are remembered, so a frequent word is encoded once per task.  Of plain words only the pieces that
-    are new go to the library's model, many at once; any other word goes through the whole library.
+    are new go to the library's model, many at once; any other word goes through the whole library.  For a vocabulary with
+    another normaliser or pre-tokenizer whole texts go through the library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -67,6 +83,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        known = json.loads(self.tokenizer.to_str())
+        steps = {"type": "Sequence", "pretokenizers": [_WORDWISE_SPLIT, _WORDWISE_BYTES]}
+        self.wordwise = known["normalizer"] == _WORDWISE_NORMALIZER and known["pre_tokenizer"] == steps and known["post_processor"] is None
         self.plain = all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
         # the same model behind a split at spaces alone, for pieces that are already cut and lower-cased
@@ -115,6 +134,9 @@ class Encoder:
         return out
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.wordwise:
+            whole = [t.decode("utf-8", "replace") if t else "" for t in texts]
+            return [_as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         split = [t.split() if t else [] for t in texts]
         new = list(set().union(*split).difference(self.words))
         found = self._new_words(new) if new else {}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volspark.llm.common import ascii_lower, table
+from volspark.llm.common import ascii_lower, bounded_batches, table
 from volspark.llm.registry import query
 
 # One of these rejects a URL.
@@ -53,13 +53,13 @@ def _terms_in(url: str, found) -> tuple[int, set[str]]:
     return strict, soft
 
 
-def _scan(batches: Iterator[pd.DataFrame], strict, soft) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch], strict: Sequence[str], soft: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, the URL, by its hits; all others are handed through as they are."""
     found = _automaton(strict, soft)
-    for pdf in batches:
-        hits = [_terms_in(u, found) if u else (0, ()) for u in pdf.pop("_url")]
-        pdf["strict_hits"] = pd.Series([h[0] for h in hits], dtype="int32")
-        pdf["soft_hits"] = pd.Series([len(h[1]) for h in hits], dtype="int32")
-        yield pdf
+    for batch in batches:
+        hits = [_terms_in(u, found) if u else (0, ()) for u in batch.column(batch.num_columns - 1).to_pylist()]
+        counts = [pa.array([h[0] for h in hits], pa.int32()), pa.array([len(h[1]) for h in hits], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*batch.schema.names[:-1], "strict_hits", "soft_hits"])
 
 
 def judge_urls(
@@ -78,7 +78,8 @@ def judge_urls(
     subdomain, path begins with the prefix; equal lengths: the first given) overrides the vocabulary.
 
     A null or empty URL, or one without "://", has an empty host and path and no rule; its whole text is still scanned.
-    Repeated rows are judged each; other columns of ``pages`` are ignored, null ids kept.
+    Repeated rows are judged each; other columns of ``pages`` are ignored, null ids kept.  Very long URLs are scanned whole; an
+    empty table gives an empty result.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     rest = F.when(F.instr("_raw", "://") > 0, F.expr("substr(_raw, instr(_raw, '://') + 3)")).otherwise("")
@@ -86,12 +87,13 @@ def judge_urls(
     rows = rows.select(id_col, ascii_lower(F.col("_raw")).alias("_url"), rest.alias("_rest"))
     rows = rows.select(
         id_col,
-        "_url",
         ascii_lower(F.regexp_extract("_rest", r"^([^/?#]*)", 1)).alias("host"),
         F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1).alias("path"),
+        "_url",
     )
+    bounded_batches(pages.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
-    scanned = rows.mapInPandas(
+    scanned = rows.mapInArrow(
         partial(_scan, strict=tuple(strict), soft=tuple(soft)),
         f"`{id_col}` {kind}, host string, path string, strict_hits int, soft_hits int",
     )
