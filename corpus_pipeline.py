@@ -9,10 +9,10 @@ from volspark.llm.common import fresh_folder, table
 from volspark.llm.decontamination import without_contaminated
 from volspark.llm.language import UNKNOWN, learn, predict_language
 from volspark.llm.mixing import mixed_documents
-from volspark.llm.near_dedup import near_components
+from volspark.llm.near_dedup import repeats, text_keys, unique_components
 from volspark.llm.token_output import read_shards, write_shards
-from volspark.plans.joins import BROADCAST_ROWS
-from volspark.plans.storage import materialize, measured
+from volspark.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS
+from volspark.plans.storage import known_bytes, measured
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +24,18 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five words, 0.8) the document with the smallest id stays.
 
-    Rows without an id stay.  Where ids repeat, rows equal in id and text become one.
+    Rows without an id stay.  Where ids repeat, rows equal in id and text become one, and each text of an id is judged on its
+    own, so a unique text stays whatever else its id carries.
     """
-    seen = materialize(near_components(docs), "near")
-    if seen.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").head(1):
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    gone, counts = measured(seen.filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if counts["rows"] <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    key = "doc_id"
+    if repeats(docs):
+        key = "_key"
+        docs = docs.withColumn(key, text_keys(docs))
+        docs = docs.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    seen = unique_components(docs.select(key, "text"), id_col=key)
+    gone, counts = measured(seen.filter(F.col(key).isNotNull() & ~F.col("kept")).select(key).distinct(), "near-gone")
+    small = counts["rows"] <= BROADCAST_ROWS and (known_bytes(gone) or 0) <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*(c for c in docs.columns if c != "_key"))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
