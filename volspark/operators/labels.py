@@ -101,14 +101,31 @@ def uncrop(voxels: DataFrame, offset: Sequence[int]) -> DataFrame:
     return voxels.select(*((F.col(c) + offset["xyz".index(c)]).alias(c) if c in "xyz" else c for c in voxels.columns))
 
 
-def centre_offset(image: int, target: int) -> int:
+def centre_offset(image: Column | int, target: int) -> Column:
     """Default crop offset: half the difference, cut towards zero."""
-    return int((image - target) / 2)
+    return ((image - F.lit(target)) / 2).cast("int")
 
 
-def pad_offset(image: int, target: int) -> int:
+def pad_offset(image: Column | int, target: int) -> Column:
     """Offset for padding to a base size: floor of half the difference, negative where the image is smaller."""
-    return -((target - image) // 2)
+    return -F.floor((F.lit(target) - image) / 2).cast("int")
+
+
+def _moved(voxels: DataFrame, dims: DataFrame, target: Sequence[int], offset) -> DataFrame:
+    out = attach(voxels, dims.select(SUBJECT, "nx", "ny", "nz"), SUBJECT, "inner", costly=False)
+    for a, n in zip("xyz", target, strict=True):
+        out = out.withColumn(a, (F.col(a) - offset(F.col(f"n{a}"), n)).cast("int")).filter(F.col(a).between(0, n - 1))
+    return out.select(*voxels.columns)
+
+
+def crop_centred(voxels: DataFrame, dims: DataFrame, target: Sequence[int]) -> DataFrame:
+    """Window of the target size in the middle of each subject's image."""
+    return _moved(voxels, dims, target, centre_offset)
+
+
+def pad_to_base(voxels: DataFrame, dims: DataFrame, target: Sequence[int]) -> DataFrame:
+    """Each subject's image in the middle of a base size; empty cells are simply absent, larger images are cut."""
+    return _moved(voxels, dims, target, pad_offset)
 
 
 def pad_edges(voxels: DataFrame, dims: DataFrame, width: int) -> DataFrame:
@@ -333,10 +350,13 @@ def effective_affine(first: str = "qform", second: str = "sform", tol: float = 1
     return F.when(F.col(second).isNotNull() & differs, F.col(second)).otherwise(F.col(first))
 
 
-def modality_mode(manifest: DataFrame) -> DataFrame:
-    """``t1t2``, ``t1`` or ``t2`` by the images a subject has; none is an error row (``mode`` NULL)."""
+def modality_mode(manifest: DataFrame, none: str = "error") -> DataFrame:
+    """``t1t2``, ``t1`` or ``t2`` by the images a subject has; a subject with neither is an error (``none="null"``: NULL)."""
     has = manifest.groupBy(SUBJECT).agg(
         F.bool_or(F.col("modality") == "t1").alias("t1"), F.bool_or(F.col("modality") == "t2").alias("t2")
     )
     mode = F.when(F.col("t1") & F.col("t2"), "t1t2").when(F.col("t1"), "t1").when(F.col("t2"), "t2")
+    if none == "error":
+        fail = F.raise_error(F.concat(F.lit("no image of a known modality for subject "), F.col(SUBJECT).cast("string"))).cast("string")
+        mode = F.coalesce(mode, fail)
     return has.select(SUBJECT, mode.alias("mode"))

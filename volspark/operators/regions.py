@@ -407,6 +407,19 @@ def rescale(voxels: DataFrame, dst_min: float, dst_max: float, f_low: float = 0.
     return scale_and_clip(voxels, intensity_scale(voxels, dst_min, dst_max, f_low, f_high, value), dst_min, dst_max, value)
 
 
+def rescale_wide(
+    voxels: DataFrame, headers: DataFrame, dst_min: float = 0, dst_max: float = 255, f_low: float = 0.0, f_high: float = 0.999, value: str = "norm", out: str = "scaled"
+) -> DataFrame:
+    """Rescale only images that are not bytes (``dtype`` of the headers) and reach above ``dst_max``; others keep their values."""
+    top = voxels.groupBy(SUBJECT).agg(F.max(value).alias("_top"))
+    wide = top.join(headers.select(SUBJECT, "dtype"), SUBJECT).filter((F.col("dtype") != "uint8") & (F.col("_top") > dst_max))
+    marked = materialize(attach(voxels, wide.select(SUBJECT, F.lit(True).alias("_wide")), SUBJECT), "wide")
+    chosen = marked.filter("_wide").drop("_wide")
+    scaled = scale_and_clip(chosen, intensity_scale(chosen, dst_min, dst_max, f_low, f_high, value), dst_min, dst_max, value, out)
+    kept = marked.filter("_wide IS NULL").drop("_wide").withColumn(out, F.col(value).cast("double"))
+    return scaled.unionByName(kept)
+
+
 def min_max_normalise(voxels: DataFrame, value: str = "norm", by: Sequence[str] = (SUBJECT,), out: str = "unit") -> DataFrame:
     """Scale to 0..1 per group; a constant group becomes 0.  Two aggregates, no window over the group."""
     ends = voxels.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from volspark.operators.mapping import map_labels
 from volspark.operators.regions import SUBJECT, class_weights
 from volspark.plans.joins import attach, literal_table
 from volspark.plans.ordered import row_positions
+from volspark.plans.storage import materialize
 
 # Label of the other side for each cerebellum part label 0..27.
 FLIPPED_LABELS = [0, 2, 1, 4, 3, 7, 6, 5, 9, 8, 11, 10, 13, 12, 14, 16, 15, 18, 17, 19, 22, 21, 20, 25, 24, 23, 27, 26]
@@ -70,6 +71,42 @@ def build_slabs(
     return sized.select(SUBJECT, F.lit(plane).alias("plane"), size.alias("size"), F.col("z").alias("slice"), F.col("x").alias("u"), F.col("y").alias("v"), "slab", "label", "weight")
 
 
+def subject_problems(voxels: DataFrame, dims: DataFrame, mapping: DataFrame | None = None, label: str = "seg", value: str = "norm") -> DataFrame:
+    """``subject_id, reason`` of subjects that slabs can't be built for; the first reason that holds."""
+    top = mapping.agg(F.max("src")).first()[0] if mapping is not None else None
+    sized = attach(voxels, dims.select(SUBJECT, "nx", "ny", "nz"), SUBJECT, costly=False)
+    outside = F.lit(False)
+    for a in "xyz":
+        outside = outside | (F.col(a) < 0) | (F.col(a) >= F.col(f"n{a}"))
+    above = F.lit(False) if top is None else F.col(label) > top
+    seen = sized.groupBy(SUBJECT).agg(
+        F.bool_or(F.col("nx").isNull()).alias("_unsized"), F.bool_or(outside).alias("_outside"), F.count_if(F.col(label).isNull()).alias("_unlabelled"),
+        F.count_if(F.col(value).isNull() | F.isnan(F.col(value).cast("double"))).alias("_blank"), F.max(F.when(above, F.col(label))).alias("_above"),
+    )
+    reason = (
+        F.when(F.col("_unsized"), "no image size")
+        .when(F.col("_outside"), "voxel outside the image")
+        .when(F.col("_unlabelled") > 0, "voxel without a label")
+        .when(F.col("_blank") > 0, "voxel without an intensity")
+        .when(F.col("_above").isNotNull(), F.concat(F.lit("label above the map: "), F.col("_above").cast("string")))
+    )
+    return seen.select(SUBJECT, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def build_slabs_logged(
+    voxels: DataFrame, dims: DataFrame, plane: str, thickness: int = 3, blank_threshold: int = 50, mapping: DataFrame | None = None, stage: str = "slabs", **weights
+) -> tuple[DataFrame, DataFrame]:
+    """Slabs of all sound subjects, and a status row (``subject_id, stage, state``) for each of the others.
+
+    One subject that can't be built neither fails the job nor leaves half of its slices behind.
+    """
+    problems = materialize(subject_problems(voxels, dims, mapping), "problems")
+    marked = attach(voxels, problems.select(SUBJECT, F.lit(True).alias("_bad")), SUBJECT)
+    slabs = build_slabs(marked.filter("_bad IS NULL").drop("_bad"), dims, plane, thickness, blank_threshold, mapping, **weights)
+    log = problems.select(SUBJECT, F.lit(stage).alias("stage"), F.concat(F.lit("Failed: "), F.col("reason")).alias("state"))
+    return slabs, log
+
+
 # --- deterministic augmentation ----------------------------------------------------------------------
 
 
@@ -204,11 +241,3 @@ def plot_slices(voxels: DataFrame, label: str = "seg", axis: str = "x", step: in
     at = F.row_number().over(Window.partitionBy(SUBJECT, "kind").orderBy(axis)) - 1
     every = F.when(F.col("kind") == "core", 1).when(F.col("kind") == "optic", 4).otherwise(step)
     return rows.withColumn("_at", at).filter(F.col("_at") % every == 0).select(SUBJECT, axis, "kind")
-
-
-def remap(label: str, table: Mapping[int, int]) -> Column:
-    """Small driver-side map as an expression; others become 0."""
-    out = F.lit(0)
-    for src, dst in table.items():
-        out = F.when(F.col(label) == src, dst).otherwise(out)
-    return out

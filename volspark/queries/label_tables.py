@@ -40,11 +40,13 @@ def clean_cortex_labels(spark, d):
     return counted(raw_labels(spark, d).withColumn("seg", L.clean_cortex("seg")), "seg")
 
 
-@query("clean_structure_labels", with_(RAW, body=f"""SELECT subject_id, CAST({case(L.STRUCTURE_CLEANING)} AS INT) AS seg, count(*) AS n
-FROM raw WHERE seg < 251 OR seg IN (1000,2000) GROUP BY 1,2"""))
+@query("clean_structure_labels", with_(RAW, f"""va AS (SELECT subject_id, CASE WHEN seg BETWEEN 251 AND 999 THEN seg % 251 WHEN seg IN (1000,2000) THEN seg WHEN seg > 2000 THEN 42 WHEN seg > 1000 THEN 3 ELSE seg END AS seg FROM raw)""", body=f"""
+SELECT subject_id, CAST({case(L.STRUCTURE_CLEANING)} AS INT) AS seg, count(*) AS n FROM va GROUP BY 1,2"""))
 def clean_structure_labels(spark, d):
-    rows = raw_labels(spark, d).filter("seg < 251 OR seg IN (1000, 2000)")
-    return counted(L.clean_structures(rows), "seg")
+    # parcels become their side's cortex first, as in the order of processing; ids in between fold into structure ids
+    s = F.col("seg")
+    valid = F.when(s.between(251, 999), s % 251).when(s.isin(1000, 2000), s).otherwise(L.reduce_ranges("seg"))
+    return counted(L.clean_structures(raw_labels(spark, d).withColumn("seg", valid.cast("int"))), "seg")
 
 
 KEPT = ",".join(map(str, L.KEPT_RIGHT_PARCELS))
@@ -94,6 +96,17 @@ def uncrop_box(spark, d):
     return L.uncrop(ev(spark, d).filter("seg > 2").select(*L.VOXEL, "seg"), (3, 0, 2))
 
 
+@query("crop_centred", with_(EV, body="""SELECT subject_id, CAST(x-2 AS INT) AS x, CAST(y-1 AS INT) AS y, CAST(z-35 AS INT) AS z, seg FROM ev
+WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5 AND z BETWEEN 35 AND 63"""))
+def crop_centred(spark, d):
+    return L.crop_centred(ev(spark, d).select(*L.VOXEL, "seg"), ev_dims(spark, d), (4, 5, 29))
+
+
+@query("pad_to_base", with_(EV, body="""SELECT subject_id, CAST(x+4 AS INT) AS x, CAST(y+1 AS INT) AS y, CAST(z-10 AS INT) AS z, seg FROM ev WHERE z BETWEEN 10 AND 90"""))
+def pad_to_base(spark, d):
+    return L.pad_to_base(ev(spark, d).select(*L.VOXEL, "seg"), ev_dims(spark, d), (16, 11, 81))
+
+
 @query("pad_edges", with_(EV, """off AS (SELECT unnest(range(0,12)) AS i), offz AS (SELECT unnest(range(0,104)) AS k)""", body="""
 SELECT e.subject_id, CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.k AS INT) AS z, e.seg FROM ev e
 JOIN off a ON least(greatest(a.i-2,0),7)=e.x JOIN off b ON least(greatest(b.i-2,0),7)=e.y JOIN offz c ON least(greatest(c.k-2,0),99)=e.z"""))
@@ -349,6 +362,18 @@ def gather_sagittal_scores(spark, d):
     return rows.select("vec_id", F.posexplode("g").alias("c", "s")).withColumn("s", F.col("s").cast("double"))
 
 
+@query("infer_sagittal_index", """WITH l AS (SELECT p_partkey AS pos, p_partkey % 2500 AS id FROM part), s AS (SELECT c_custkey * 3 % 1000 AS k, max(c_custkey) AS pos FROM customer GROUP BY 1),
+r AS (SELECT s_suppkey * 7 AS src, max(s_suppkey * 3 % 1000) AS dst FROM supplier GROUP BY 1)
+SELECT l.pos, l.id, coalesce(a.pos, b.pos, c.pos) AS index FROM l LEFT JOIN s a ON a.k = id LEFT JOIN s b ON b.k = id - 1000 LEFT JOIN r ON src = id LEFT JOIN s c ON c.k = dst""")
+def infer_sagittal_index(spark, d):
+    labels = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), (F.col("p_partkey") % 2500).alias("id"))
+    k = F.col("c_custkey")
+    sagittal = table(spark, d, "customer").groupBy((k * 3 % 1000).alias("id")).agg(F.max(k).alias("pos"))
+    s = F.col("s_suppkey")
+    remap = table(spark, d, "supplier").groupBy((s * 7).alias("src")).agg(F.max(s * 3 % 1000).alias("dst"))
+    return M.infer_index(labels, sagittal, remap)
+
+
 def long_scores(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("c", "e"))
     return rows.select("vec_id", "c", (F.col("e").cast("double") + 1).alias("s"))

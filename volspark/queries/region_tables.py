@@ -258,6 +258,18 @@ def rescale_and_clip(spark, d):
     return R.rescale(ev(spark, d), 0, 255, 0.01, 0.98).select("subject_id", "x", "y", "z", "scaled")
 
 
+WIDE_EV = "evw AS (SELECT subject_id, x, y, z, norm*1000 AS norm FROM ev)"
+
+
+@query("rescale_wide", with_(EV, WIDE_EV, SCALE.replace("FROM ev", "FROM evw"), "wd AS (SELECT subject_id FROM evw WHERE subject_id%2=0 GROUP BY 1 HAVING max(norm) > 255)", body="""
+SELECT v.subject_id, x, y, z, CASE WHEN wd.subject_id IS NULL THEN norm WHEN norm=0 THEN 0 ELSE round_even(greatest(0, least(255, scale*(norm-src_min))),0) END AS scaled
+FROM evw v JOIN sc USING (subject_id) LEFT JOIN wd USING (subject_id)"""))
+def rescale_wide(spark, d):
+    v = ev(spark, d).select("subject_id", "x", "y", "z", (F.col("norm") * 1000).alias("norm"))
+    kinds = ev_dims(spark, d).select("subject_id", F.when(F.col("subject_id") % 2 == 0, "float32").otherwise("uint8").alias("dtype"))
+    return R.rescale_wide(v, kinds, 0, 255, 0.01, 0.98).select("subject_id", "x", "y", "z", "scaled")
+
+
 @query("min_max_normalise", with_(EV, """q AS (SELECT subject_id, min(norm) lo, max(norm) hi FROM ev GROUP BY 1)""", body="""
 SELECT subject_id, x, y, z, round((norm-lo)/(hi-lo),6) AS unit FROM ev JOIN q USING (subject_id)"""))
 def min_max_normalise(spark, d):

@@ -12,6 +12,7 @@ from volspark.queries.fixtures import BAG, BAG_VOX, EV, LINES, STAGES, bag, bag_
 from volspark.queries.region_tables import BASIC, rounded
 from volspark.queries.registry import query
 from volspark.sources import manifest as M
+from volspark.sources import settings as Y
 from volspark.sources import tables as T
 from volspark.sources.text import numbered_lines, small_text_lines
 
@@ -75,11 +76,30 @@ STAT_SQL = """st AS (SELECT subject_id, row_number() OVER (PARTITION BY subject_
  FROM pv JOIN nation ON seg=n_nationkey)"""
 
 
-@query("write_stats_lines", with_(BAG, BASIC, STAT_SQL, body="""SELECT subject_id, printf('%3d %3d %9d %10.1f  %-30s %10.4f %10.4f %10.4f %10.4f %10.4f', row_index, seg, n_voxels, volume::DOUBLE, struct_name, v_mean, v_std, v_min::DOUBLE, v_max::DOUBLE, v_range::DOUBLE) AS line FROM st
-UNION ALL SELECT subject_id, printf('# NRows %2d', count(*)) FROM st GROUP BY 1 UNION ALL SELECT DISTINCT subject_id, '# NTableCols 10' FROM st"""))
+COLUMN_LINES = [
+    line
+    for i, (name, field, unit) in enumerate(
+        [("Index", "Index", "NA"), ("SegId", "Segmentation Id", "NA"), ("NVoxels", "Number of Voxels", "unitless"), ("Volume_mm3", "Volume", "mm^3"), ("StructName", "Structure Name", "NA"),
+         *((f"norm{n}", f"Intensity norm{n}", "MR") for n in ("Mean", "StdDev", "Min", "Max", "Range"))], 1)
+    for line in (f"# TableCol {i:>2d} ColHeader {name}", f"# TableCol {i:>2d} FieldName {field}", f"# TableCol {i:>2d} Units     {unit}")
+]
+
+
+def stats_text_sql():
+    """Every line of a statistics file, with its place."""
+    top = ["# Title Segmentation Statistics", "#", "# Only reporting non-empty segmentations", "# compatibility: fixed"]
+    fixed = [(k, t) for k, t in enumerate(top)] + [(10 + k, t) for k, t in enumerate(COLUMN_LINES)]
+    fixed += [(51, "# NTableCols 10"), (52, "# ColHeaders  Index SegId NVoxels Volume_mm3 StructName normMean normStdDev normMin normMax normRange")]
+    values = ", ".join(f"({k}, '{t}')" for k, t in fixed)
+    return f"""tx AS (SELECT subject_id, k, t AS line FROM (SELECT DISTINCT subject_id FROM st), (VALUES {values}) v(k, t)
+UNION ALL SELECT subject_id, 5, '# VoxelVolume_mm3 '||CAST(({BAG_VOX})::DOUBLE AS VARCHAR) FROM st GROUP BY ALL
+UNION ALL SELECT subject_id, 50, printf('# NRows %2d', count(*)) FROM st GROUP BY 1
+UNION ALL SELECT subject_id, 100+row_index, printf('%3d %3d %9d %10.1f  %-30s %10.4f %10.4f %10.4f %10.4f %10.4f', row_index, seg, n_voxels, volume::DOUBLE, struct_name, v_mean, v_std, v_min::DOUBLE, v_max::DOUBLE, v_range::DOUBLE) FROM st)"""
+
+
+@query("write_stats_lines", with_(BAG, BASIC, STAT_SQL, stats_text_sql(), body="SELECT subject_id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY k) AS INT) AS line_no, line FROM tx"))
 def write_stats_lines(spark, d):
-    lines = T.stat_lines(bag_stats(spark, d), bag_headers(spark, d))
-    return lines.filter(~F.col("line").startswith("#") | F.col("line").rlike("^# N(Rows|TableCols)")).select("subject_id", "line")
+    return T.stat_lines(bag_stats(spark, d), bag_headers(spark, d)).select("subject_id", "line_no", "line")
 
 
 @query("stats_text_round_trip", with_(BAG, BASIC, STAT_SQL, body="""SELECT subject_id, CAST(row_index AS INT) AS "Index", seg AS "SegId", n_voxels AS "NVoxels", round(volume,1)::DOUBLE AS "Volume_mm3", struct_name AS "StructName",
@@ -127,10 +147,37 @@ def subject_manifest(spark, d):
     return rows.select(suffix.alias("subject_id"), "path")
 
 
-@query("common_suffix", "SELECT '/x.mgz' AS suffix FROM (SELECT count(*) FROM pages)")
+@query("subject_modes", "SELECT 'folder' AS mode, 'source='||source AS subject_id, count(DISTINCT doc_id) > 0 AS found FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT 'single', 'source=a.mgz', true FROM (SELECT 1 FROM documents LIMIT 1)")
+def subject_modes(spark, d):
+    """The files of a folder that match a pattern, and one path; each with the subject's name."""
+    path = scratch(spark, "subjects")
+    table(spark, d, "documents").filter("source IS NOT NULL").select("source", F.col("doc_id").cast("string").alias("value")).write.partitionBy("source").text(path)
+    files = M.subject_manifest(spark, folder=path, glob="*.txt")
+    parents = files.select(F.regexp_extract("path", "/(source=[^/]+)/[^/]*$", 1).alias("subject_id")).distinct()
+    single = M.subject_manifest(spark, single=f"{path}/source=a.mgz/", suffix="x")
+    both = parents.withColumn("mode", F.lit("folder")).unionByName(single.select("subject_id").withColumn("mode", F.lit("single")))
+    return both.select("mode", F.url_decode("subject_id").alias("subject_id"), F.lit(True).alias("found"))
+
+
+@query("common_suffix", "SELECT CASE WHEN min(e) = max(e) AND count(*) > 1 THEN '-'||min(e)||'/x.mgz' ELSE '/x.mgz' END AS suffix FROM (SELECT chr(CAST(97 + page_id % 3 AS INT)) AS e FROM pages)")
 def common_suffix(spark, d):
-    p = table(spark, d, "pages").select(F.concat("url", F.col("page_id").cast("string"), F.lit("/x.mgz")).alias("path"))
-    return M.common_suffix(p)
+    end = F.element_at(F.array(*(F.lit(c) for c in "abc")), (F.col("page_id") % 3 + 1).cast("int"))
+    return M.common_suffix(table(spark, d, "pages").select(F.concat("url", F.lit("-"), end, F.lit("/x.mgz")).alias("path")))
+
+
+@query("lut_files", "SELECT 'tsv' AS kind, s_suppkey::VARCHAR AS src, s_name AS dst FROM supplier UNION ALL SELECT 'json', c_name, c_nationkey::VARCHAR FROM customer")
+def lut_files(spark, d):
+    """A tab-separated lookup table with its header row, and name maps in JSON files, one object per file."""
+    tsv, json = scratch(spark, "lut") + ".tsv", scratch(spark, "json")
+    head = spark.range(1).select(F.lit("ID\tLabelName\tR\tG\tB\tA").alias("value"))
+    rows = table(spark, d, "supplier").select(F.concat_ws("\t", F.col("s_suppkey").cast("string"), "s_name", F.lit("1"), F.lit("2"), F.lit("3"), F.lit("0")).alias("value"))
+    head.unionByName(rows).write.text(tsv)
+    c = table(spark, d, "customer")
+    entries = F.map_from_entries(F.collect_list(F.struct("c_name", F.col("c_nationkey").cast("string"))))
+    texts = c.groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(F.to_json(F.struct(entries.alias("labels"))).alias("value"))
+    texts.repartition("part").write.partitionBy("part").text(json)
+    names = T.read_lut(spark, tsv).select(F.lit("tsv").alias("kind"), F.col("id").cast("string").alias("src"), F.col("label_name").alias("dst"))
+    return names.unionByName(T.read_json_lut(spark, json).select(F.lit("json").alias("kind"), "src", "dst"))
 
 
 @query("batch_list_lines", "SELECT page_id, 'sub'||page_id AS id, regexp_extract(url||'=a', '^[^\\s\"'']+') AS path, 'some words' AS arg1, '--n' AS arg2 FROM pages")
@@ -193,6 +240,20 @@ def log_error_scan(spark, d):
     return L.scan_errors(log_lines(spark, d), ["SCH"], ["the"], ["doc_id"])
 
 
+def settings_file(spark, text):
+    """A settings file as a person writes one."""
+    path = scratch(spark, "settings")
+    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
+    return path
+
+
+@query("log_error_scan_settings", with_(LINES, body=f"""SELECT h.doc_id, h.line_no AS hit, CAST(l.line_no-h.line_no AS INT) AS "at", l.line_no, l.line FROM (SELECT * FROM lines WHERE {HIT}) h
+JOIN lines l ON l.doc_id=h.doc_id AND l.line_no-h.line_no BETWEEN -1 AND 3"""))
+def log_error_scan_settings(spark, d):
+    words, harmless = Y.read_words(spark, settings_file(spark, "errors:\n - \"SCH\"  # in any case\n\nwhitelist:\n  - 'the'\n"))
+    return L.scan_errors(log_lines(spark, d), words, harmless, ["doc_id"])
+
+
 HEADED = "hl AS (SELECT doc_id, line_no, CASE WHEN line_no%7=3 THEN '====== '||line||' ======' WHEN line_no%11=5 THEN '====== DONE' WHEN line_no%13=2 THEN '====== iteration 5' ELSE line END AS line FROM lines)"
 
 
@@ -283,6 +344,19 @@ def stats_regression(spark, d):
     return rounded(out, "test", "reference", "off")
 
 
+@query("stats_regression_settings", with_(BAG, PAIR, body="""SELECT subject_id, seg, "column", round(test,6) AS test, round(reference,6) AS reference, round(abs(test/nullif(reference,0)-1),6) AS off FROM u
+WHERE test IS NULL OR reference IS NULL OR (reference<>0 AND abs(test/reference-1) > CASE WHEN seg IN (2, 9, 14) THEN 0.1 ELSE 0.02 END)"""))
+def stats_regression_settings(spark, d):
+    b = bag(spark, d)
+    agg = [F.count(F.lit(1)).alias("n"), F.avg("norm").alias("m")]
+    test = b.filter("l_discount < 0.05 AND seg <> 3").groupBy("subject_id", "seg").agg(*agg)
+    ref = b.groupBy("subject_id", "seg").agg(*agg).withColumn("n", F.when(F.col("seg") == 5, 0).otherwise(F.col("n")))
+    text = "default_threshold: 0.02\n\nthresholds:\n  2: 0.1\n  9: 0.1\n  14: 0.1\n\nstructs: [2, 9,\n          14]\n"
+    loose, default, _ = Y.read_thresholds(spark, settings_file(spark, text), "seg")
+    out = L.compare_tables(test, ref, ["subject_id", "seg"], ["n", "m"], loose, "seg", default)
+    return rounded(out, "test", "reference", "off")
+
+
 @query("required_measures_missing", "SELECT c_nationkey AS subject_id, 'm'||(c_custkey%60) AS key FROM customer EXCEPT SELECT s_nationkey, 'm'||(s_suppkey%60) FROM supplier")
 def required_measures_missing(spark, d):
     key = lambda c: F.concat(F.lit("m"), (F.col(c) % 60).cast("string")).alias("key")

@@ -59,6 +59,27 @@ def training_slabs(spark, d):
     return got.select("subject_id", "slice", "u", "v", "label", F.round("weight", 6).alias("weight"), *(F.col("slab")[i].alias(f"s{i}") for i in range(3)))
 
 
+SLAB_MAP = "mp AS (SELECT n_nationkey AS src, n_nationkey * 7 % 5 AS dst FROM nation WHERE n_nationkey < 20)"
+
+
+@query("training_slabs_logged", with_(EV, SLAB_MAP, "lb AS (SELECT ev.*, blk + CASE WHEN subject_id % 5 = 3 AND seg = 3 THEN 17 ELSE 0 END AS l FROM ev WHERE NOT (subject_id % 5 = 4 AND z = 7))",
+    "bad AS (SELECT subject_id, CASE WHEN subject_id % 5 = 2 THEN 'no image size' WHEN max(l) > 19 THEN 'label above the map: '||max(l) FILTER (l > 19) END AS reason FROM lb GROUP BY 1)",
+    "gd AS (SELECT lb.subject_id, z, x, y, coalesce(dst, 0) AS m FROM lb JOIN bad USING (subject_id) LEFT JOIN mp ON src = l WHERE reason IS NULL)", body="""
+SELECT subject_id, 'Failed: '||reason AS state, CAST(0 AS BIGINT) AS pixels, CAST(0 AS BIGINT) AS labels FROM bad WHERE reason IS NOT NULL UNION ALL
+SELECT subject_id, 'ok', count(*), CAST(sum(m) AS BIGINT) FROM gd WHERE (subject_id, x) IN (SELECT (subject_id, x) FROM gd GROUP BY subject_id, x HAVING sum(m) > 1200) GROUP BY 1"""))
+def training_slabs_logged(spark, d):
+    """One subject has no size and one a label that the map does not know; the others are mapped and built."""
+    k = F.col("subject_id") % 5
+    label = F.col("blk") + F.when((k == 3) & (F.col("seg") == 3), 17).otherwise(0)
+    v = ev(spark, d).filter(~((k == 4) & (F.col("z") == 7))).select(*VOXEL, "norm", label.cast("int").alias("seg"))
+    n = F.col("n_nationkey")
+    mapping = table(spark, d, "nation").filter(n < 20).select(n.cast("int").alias("src"), (n * 7 % 5).cast("int").alias("dst"))
+    slabs, log = T.build_slabs_logged(v, ev_dims(spark, d).filter(k != 2), "axial", 1, 1200, mapping)
+    built = slabs.groupBy("subject_id").agg(F.lit("ok").alias("state"), F.count(F.lit(1)).alias("pixels"), F.sum("label").cast("bigint").alias("labels"))
+    none = F.lit(0).cast("bigint")
+    return built.unionByName(log.select("subject_id", "state", none.alias("pixels"), none.alias("labels")))
+
+
 @query("centre_crop", with_(EV, body="SELECT subject_id, CAST(x-2 AS INT) AS u, CAST(z-24 AS INT) AS v, y, blk FROM ev WHERE x BETWEEN 2 AND 5 AND z BETWEEN 24 AND 74"))
 def centre_crop(spark, d):
     p = ev(spark, d).select("subject_id", F.col("x").alias("u"), F.col("z").alias("v"), "y", "blk")
