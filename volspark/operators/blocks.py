@@ -28,14 +28,17 @@ def block_of(axis: str, side: int = SIDE) -> Column:
 
 
 def with_halo(voxels: DataFrame, reach: int, side: int = SIDE) -> DataFrame:
-    """Every voxel once for its own block and once for each block that it is within reach of."""
+    """Every voxel once for its own block and once for each block that it is within reach of.
+
+    Coordinates are those of an image, 0 and up, so no block lies below 0.
+    """
     if not 0 <= reach <= side:
         raise ValueError("a halo may be as wide as a block at most")
     rows = voxels
     for a, name in zip(_AXES, _BLOCK, strict=True):
         own = block_of(a, side)
         place = F.col(a) - own * side
-        low, high = place < reach, place >= side - reach
+        low, high = (place < reach) & (own > 0), place >= side - reach
         beside = (
             F.when(low & high, F.array(own, own - 1, own + 1)).when(low, F.array(own, own - 1)).when(high, F.array(own, own + 1))
         )

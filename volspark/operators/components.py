@@ -181,6 +181,9 @@ def _block_components(mask: DataFrame, connectivity: int, extra: Sequence[str],
     schema = f"{kinds}, kind int, id bigint, n bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     rows = with_halo(mask.select(*keys, "x", "y", "z", *sizes), reach)
+    for a, n in zip("xyz", sizes):
+        # nothing grows beyond the image
+        rows = rows.filter(F.col(f"_b{a}") * SIDE < F.col(n))
     return rows.groupBy(*keys, "_bx", "_by", "_bz").applyInArrow(run, schema)
 
 
