@@ -89,6 +89,25 @@ def test_blocks_meet(spark, connectivity, limit):
     assert points(G.borders(rows, connectivity=connectivity).filter("border")) == place(other)
 
 
+@pytest.mark.parametrize("corner,size", [(CORNER, 60), (np.array([28, 0, 29]), 38), (np.array([0, 27, 0]), 36)])
+@pytest.mark.parametrize("steps", [1, 3])
+def test_boxes_over_blocks(spark, corner, size, steps):
+    """Growing, shrinking and closing with the 26-neighbourhood across blocks and at the image edge."""
+    a = RNG.random((9, 9, 9)) < 0.3
+    shape = (size,) * 3
+    wide = np.zeros(shape, bool)
+    wide[tuple(slice(c, min(c + 9, size)) for c in corner)] = a[tuple(slice(0, min(9, size - c)) for c in corner)]
+    at = lambda mask: set(zip(*map(lambda i: i.tolist(), np.nonzero(mask))))
+    sparse, extent = cells(spark, wide), dims(spark, shape)
+    assert points(G.dilate(sparse, extent, 26, steps)) == at(grow(wide, 3, steps))
+    dense_mask = grow(wide, 3, 2)
+    assert points(G.erode(cells(spark, dense_mask), extent, 26, steps)) == at(shrink(dense_mask, 3, steps))
+    closed = shrink(grow(wide, 3, steps), 3, steps)
+    labelled = sparse.selectExpr("*", "50 AS seg")
+    assert points(G.closing_difference(labelled, extent, 33, steps)) == at(closed ^ wide)
+    assert points(G.cortex_border(labelled, extent)) == at(wide & ~shrink(wide, 3))
+
+
 def _ball(mask, reach):
     """Two steps of the 18-neighbourhood as one set of offsets."""
     out = mask.copy()

@@ -144,22 +144,25 @@ def map_voxels(
 
 
 def map_cells(
-    mask: DataFrame, reach: int, compute: Callable[[Block], np.ndarray], extra: Sequence[str] = (), side: int = SIDE
+    mask: DataFrame, reach: int, compute: Callable[[Block], np.ndarray], extra: Sequence[str] = (), names: Sequence[str] = (), side: int = SIDE
 ) -> DataFrame:
-    """Positions, whether or not they hold a voxel, that ``compute`` marks; its array spans the voxels and ``reach`` more."""
+    """Positions, whether or not they hold a voxel, that ``compute`` marks; its array spans the voxels and ``reach`` more.
+
+    Columns ``names`` are read as arrays for ``compute``.
+    """
     schema = _part_of(mask.schema, [*VOXEL, *extra])
     arrow = _arrow(schema)
-    names = [VOXEL[0], *extra]
+    fixed_names = [VOXEL[0], *extra]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(table, [k.as_py() * side for k in key[-3:]], side, reach, (), reach)
+        block = Block(table, [k.as_py() * side for k in key[-3:]], side, reach, names, reach)
         xyz = block.own_cells(compute(block))
-        fixed = dict(zip(names, key[:-3], strict=True))
+        fixed = dict(zip(fixed_names, key[:-3], strict=True))
         columns = dict(zip(_AXES, xyz, strict=True))
         n = len(xyz[0])
         return pa.table([pa.repeat(fixed[f.name], n).cast(f.type) if f.name in fixed else pa.array(columns[f.name]).cast(f.type) for f in arrow], schema=arrow)
 
-    return _grouped(mask.select(*VOXEL, *extra), reach, side, extra).applyInArrow(run, schema)
+    return _grouped(mask.select(*VOXEL, *extra, *names), reach, side, extra).applyInArrow(run, schema)
 
 
 def box_sums(wide: np.ndarray, size: int) -> np.ndarray:

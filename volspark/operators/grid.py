@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volspark.functions.lines import box_weights, gaussian_weights, line_filter
-from volspark.operators.blocks import Block, map_cells, map_voxels
+from volspark.operators.blocks import Block, box_sums, map_cells, map_voxels
 from volspark.operators.labels import VOXEL
 from volspark.operators.regions import SUBJECT, is_in, not_in
 from volspark.plans.joins import attach
+from volspark.plans.storage import materialize
 
 Offset = tuple[int, int, int]
 _MAX_STEPS = {6: 1, 18: 2, 26: 3}
@@ -89,6 +90,10 @@ def with_dims(rows: DataFrame, dims: DataFrame) -> DataFrame:
     return attach(rows, dims.select(SUBJECT, "nx", "ny", "nz"), SUBJECT, "inner", costly=False)
 
 
+# Steps of the 26-neighbourhood that are done inside blocks; more go along whole lines, axis by axis.
+BLOCK_STEPS = 8
+
+
 def _box_counts(mask: DataFrame, dims: DataFrame, reach: int, extra: Sequence[str]) -> DataFrame:
     ones = mask.select(*VOXEL, *extra).withColumn("_c", F.lit(1.0))
     return convolve(ones, dims, {"_c": "_c"}, box_weights(reach), "constant", extra=extra)
@@ -97,14 +102,15 @@ def _box_counts(mask: DataFrame, dims: DataFrame, reach: int, extra: Sequence[st
 def dilate(mask: DataFrame, dims: DataFrame, connectivity: int = 26, iterations: int = 1, extra: Sequence[str] = ()) -> DataFrame:
     """Grow a mask (one row per voxel), clipped to the image.
 
-    ``iterations`` steps of the 26-neighbourhood are one box per axis; those of the smaller ones are one
-    ball of offsets.
+    ``iterations`` steps of the 26-neighbourhood are one box; those of the smaller ones are one ball of offsets.
     """
-    if connectivity == 26:
+    if connectivity == 26 and iterations > BLOCK_STEPS:
         return _box_counts(mask, dims, iterations, extra).select(*VOXEL, *extra)
-    offsets = neighbours(connectivity, iterations)
+    offsets = neighbours(connectivity, iterations) if connectivity != 26 else []
 
     def compute(block: Block) -> np.ndarray:
+        if connectivity == 26:
+            return box_sums(block.whole().astype(np.int16), 2 * iterations + 1) > 0
         grown = block.here().copy()
         for o in offsets:
             grown |= block.here(o)
@@ -116,12 +122,14 @@ def dilate(mask: DataFrame, dims: DataFrame, connectivity: int = 26, iterations:
 
 def erode(mask: DataFrame, dims: DataFrame, connectivity: int = 26, iterations: int = 1, extra: Sequence[str] = ()) -> DataFrame:
     """Shrink a mask; beyond the image counts as outside, so voxels at the image edge go."""
-    if connectivity == 26:
-        full = (2 * iterations + 1) ** 3
+    full = (2 * iterations + 1) ** 3
+    if connectivity == 26 and iterations > BLOCK_STEPS:
         return _box_counts(mask, dims, iterations, extra).filter(F.col("_c") > full - 0.5).select(*VOXEL, *extra)
-    offsets = neighbours(connectivity, iterations)
+    offsets = neighbours(connectivity, iterations) if connectivity != 26 else []
 
     def compute(block: Block):
+        if connectivity == 26:
+            return box_sums(block.whole().astype(np.int16), 2 * iterations + 1) == full, {}
         left = block.here().copy()
         for o in offsets:
             left &= block.here(o)
@@ -226,18 +234,34 @@ def drop_blank_slices(voxels: DataFrame, threshold: int, label: str = "label", b
 
 def cortex_border(voxels: DataFrame, dims: DataFrame, threshold: int = 33, label: str = "seg") -> DataFrame:
     """Voxels of cortex labels that one erosion of the labelled mask takes away."""
-    mask = voxels.filter(F.col(label) >= 1).select(*VOXEL)
-    eroded = erode(mask, dims, 26)
-    return voxels.filter(F.col(label) > threshold).select(*VOXEL).join(eroded, VOXEL, "left_anti")
+
+    def compute(block: Block):
+        return block.here() & (block.at(label) > threshold) & (box_sums(block.whole().astype(np.int16), 3) < 27), {}
+
+    return map_voxels(voxels.filter(F.col(label) >= 1), 1, [label], compute)
 
 
 def closing_difference(voxels: DataFrame, dims: DataFrame, threshold: int = 33, iterations: int = 1, label: str = "seg") -> DataFrame:
-    """Voxels that a closing of the cortex mask changes: deep sulci and thin strands."""
-    cortex = voxels.filter(F.col(label) > threshold).select(*VOXEL)
-    closed = close_mask(cortex, dims, 26, iterations)
-    added = closed.join(cortex, VOXEL, "left_anti")
-    removed = cortex.join(closed, VOXEL, "left_anti")
-    return added.unionByName(removed)
+    """Voxels that a closing of the cortex mask changes: deep sulci and thin strands.
+
+    Growing (inside the image) and shrinking are one pass over blocks with a halo of both.
+    """
+    cortex = with_dims(voxels.filter(F.col(label) > threshold).select(*VOXEL), dims)
+    if 2 * iterations > BLOCK_STEPS:
+        cortex = cortex.select(*VOXEL)
+        closed = materialize(close_mask(cortex, dims, 26, iterations), "closed")
+        return closed.join(cortex, VOXEL, "left_anti").unionByName(cortex.join(closed, VOXEL, "left_anti"))
+    size, sizes = 2 * iterations + 1, ["nx", "ny", "nz"]
+
+    def compute(block: Block) -> np.ndarray:
+        grown = box_sums(block.whole().astype(np.int16), size) > 0
+        for axis, n in enumerate(sizes):
+            at = np.arange(grown.shape[axis]) + block.low[axis] - iterations
+            outside = (at < 0) | (at >= block.whole(n).max())
+            grown[tuple(outside if i == axis else slice(None) for i in range(3))] = False
+        return (box_sums(grown.astype(np.int16), size) == size**3) != block.here()
+
+    return map_cells(cortex, 2 * iterations, compute, names=sizes)
 
 
 def contact_volume(voxels: DataFrame, headers: DataFrame, labels: Sequence[int], background: int = 0, label: str = "seg") -> DataFrame:

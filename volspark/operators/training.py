@@ -42,6 +42,7 @@ def voxel_weights(
             rows = rows.join(mask.withColumn("_in", F.lit(float(w))), VOXEL, "left")
             rows = rows.withColumn("weight", F.col("weight") + F.coalesce("_in", F.lit(0.0))).drop("_in")
     if mean_filter:
+        rows = materialize(rows, "weights")
         smooth = G.box_mean(rows, dims, "weight", 3, "reflect", "_mean")
         rows = rows.join(smooth, VOXEL, "left").withColumn("weight", F.coalesce("_mean", F.lit(0.0))).drop("_mean")
     return rows
