@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,8 +55,11 @@ def sections(lines: DataFrame, by: Sequence[str] = ("file",), chunk: int = 65_53
 
 def parse_timing(line: Column) -> Column:
     """Fields of a timing line as a struct: start, command, arguments, seconds, cpu, memory, faults, switches, i/o."""
-    p = F.split(F.trim(line), r"\s+")
-    at = lambda i: F.get(p, F.lit(i))
+    return _timing_fields(F.split(F.trim(line), r"\s+"))
+
+
+def _timing_fields(words: Column) -> Column:
+    at = lambda i: F.get(words, F.lit(i))
     return F.struct(
         F.try_to_timestamp(at(1), F.lit(TIME_FORMAT)).alias("start"), at(2).alias("cmd"), at(4).cast("int").alias("n_args"),
         at(6).cast("double").alias("elapsed_s"), at(8).cast("double").alias("sys_s"), at(10).cast("double").alias("user_s"),
@@ -99,21 +103,17 @@ def _stage_marks(line: str = "line") -> Column:
 
 
 def report_lines(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
-    """The lines that time reports need, read and parsed once: ``head``, ``timing``, ``plain`` (possible command lines), ``marks``.
+    """The lines that time reports need, with what they may be: ``timing``, ``heading``, ``marks`` (stages), ``plain`` (a command).
 
-    Quiet commands are dropped; a timing line of another layout is an error.
+    One pass over the text with plain searches; taking lines apart is left to those who read the few of a kind.
     """
     line = F.col("line")
-    words = F.split(F.trim("line"), r"\s+")
-    timing = F.contains(line, F.lit(TIMING_MARK)) & ~F.contains(line, F.lit("cmdf")) & ~F.get(words, F.lit(2)).isin(QUIET_COMMANDS)
-    bad = F.raise_error(F.concat(F.lit("unexpected timing line: "), line)).cast("boolean")
-    good = F.when(~timing | (F.get(words, F.lit(5)) == "e"), F.lit(True)).otherwise(bad)
-    marks = _stage_marks()
-    tagged = lines.filter(good).select(
-        *by, "line_no", _heading().alias("head"), F.when(timing, parse_timing(line)).alias("timing"),
-        F.when(~_has_any(line, NOT_A_COMMAND), line).alias("plain"), F.when(F.size(marks) > 0, marks).alias("marks"),
+    has = lambda word: F.contains(line, F.lit(word))
+    tagged = lines.select(
+        *by, "line_no", "line", (has(TIMING_MARK) & ~has("cmdf")).alias("timing"), has("======").alias("heading"), (has(STAGE_MARK) | has("Ended")).alias("marks"),
+        (~line.rlike("|".join(re.escape(w) for w in NOT_A_COMMAND))).alias("plain"),
     )
-    return tagged.filter("head IS NOT NULL OR timing IS NOT NULL OR plain IS NOT NULL OR marks IS NOT NULL")
+    return tagged.filter("timing OR heading OR marks OR plain")
 
 
 def _timed_commands(tagged: DataFrame, by: Sequence[str], chunk: int) -> DataFrame:
@@ -122,14 +122,17 @@ def _timed_commands(tagged: DataFrame, by: Sequence[str], chunk: int) -> DataFra
     A command line ends some word, before a space, with the command's name: words are cut to the lengths that names have, and
     only those that the file times are kept.
     """
-    timed = tagged.filter("timing IS NOT NULL").select(*by, "line_no", "timing", F.col("timing.cmd").alias("cmd"))
-    names = materialize(timed.select(*by, "cmd").distinct(), "commands")
+    timed = timing_lines(tagged.filter("timing").select(*by, "line_no", "line"))
+    fields = [c for c in timed.columns if c not in (*by, "line_no")]
+    timed = materialize(timed.select(*by, "line_no", F.struct(*fields).alias("timing")), "timings")
+    names = materialize(timed.select(*by, F.col("timing.cmd").alias("cmd")).distinct(), "commands")
     lengths = [r[0] for r in names.select(F.length("cmd")).distinct().collect()]
-    headed = tagged.filter("head IS NOT NULL OR timing IS NOT NULL").select(*by, "line_no", "timing", "head")
-    headed = forward_fill(headed, by, "line_no", "head", "section", chunk).filter("timing IS NOT NULL").drop("head")
-    words = F.regexp_extract_all("plain", F.lit(r"(\S+) "), F.lit(1))
+    heads = tagged.filter("heading").select(*by, "line_no", _heading().alias("head")).filter("head IS NOT NULL")
+    # a heading comes before what is timed on the same line
+    headed = forward_fill(timed.unionByName(heads, allowMissingColumns=True), by, "line_no", "head", "section", chunk).filter("timing IS NOT NULL").drop("head")
+    words = F.regexp_extract_all("line", F.lit(r"(\S+) "), F.lit(1))
     ends = F.transform(words, lambda w: F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length(w)), lambda n: F.right(w, n)))
-    plain = tagged.filter("plain IS NOT NULL").select(*by, "line_no", "plain", F.explode(F.array_distinct(F.flatten(ends))).alias("cmd"))
+    plain = tagged.filter("plain").select(*by, "line_no", F.col("line").alias("plain"), F.explode(F.array_distinct(F.flatten(ends))).alias("cmd"))
     plain = attach(plain, names, [*by, "cmd"], "inner")
     rows = headed.withColumn("cmd", F.col("timing.cmd")).unionByName(plain, allowMissingColumns=True)
     rows = rows.withColumn("_line", F.when(F.col("plain").isNotNull(), F.struct("line_no", F.ltrim("plain").alias("command"))))
@@ -174,7 +177,7 @@ def command_stages(lines: DataFrame, by: Sequence[str] = ("file",), command: str
     spans = spans.select(*by, F.col("line_no").alias("timed_at"), F.col("_full.line_no").alias("_from"), F.col("_full.command").alias("command"))
     piece = lambda n: F.floor(n / chunk)
     spans = spans.withColumn("_piece", F.explode(F.sequence(piece(F.col("_from")), piece(F.col("timed_at") - 1))))
-    marks = tagged.filter("marks IS NOT NULL").withColumn("_piece", piece(F.col("line_no")))
+    marks = tagged.filter("marks").withColumn("marks", _stage_marks()).withColumn("_piece", piece(F.col("line_no")))
     met = spans.join(marks.select(*by, "_piece", "line_no", "marks"), [*by, "_piece"]).filter("line_no >= _from AND line_no < timed_at")
     met = met.select(*by, "timed_at", "command", "line_no", F.posexplode("marks").alias("_k", "_mark")).withColumn("_order", F.col("line_no").cast("long") * 2 + F.col("_k"))
     met = met.withColumn("_stage", F.when(F.col("_mark.stage").isNotNull(), F.col("_mark")))
