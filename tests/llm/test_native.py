@@ -14,11 +14,11 @@ from volspark.llm.registry import ORACLES, QUERIES, load
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op7_exact_dedup", "op8_chat_format", "op10_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op7_exact_dedup", "op8_chat_format", "op10_near_dedup", "op13_centroids"])
 def test_check_sql(spark, small, name):
     load()
     base = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         base.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     want = base.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, small).toPandas()

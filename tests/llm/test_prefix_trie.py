@@ -110,3 +110,16 @@ def test_products_compose():
     assert trie.then(trie.then(a, b), c) == trie.then(a, trie.then(b, c))
     assert trie.then(trie.inverse(a), trie.then(a, b)) == b and trie.then(a, trie.inverse(a)) == trie.IDENTITY
     assert trie.then(a, b) != trie.then(b, a)
+
+
+def test_query_equals_check_sql_and_brute_force(spark, small):
+    import duckdb
+
+    from volspark.llm.registry import ORACLES, QUERIES, load
+
+    load()
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    got = QUERIES["op12_prefix_trie"](spark, small)
+    check(got, base.execute(f"SELECT {', '.join(COLUMNS)} FROM ({ORACLES['op12_prefix_trie']})").fetchall())
+    check(got, brute(base.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()))

@@ -169,3 +169,16 @@ def test_very_long_text_and_token(spark):
     text = "a" * 400_000 + " token=" + "b" * 1000 + " " + "wörd " * 50_000
     got = scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert tuple(got[0])[:4] == row(1, text)[:4] and got[0]["base_sha256"] == row(1, text)[5]
+
+
+def test_query_reads_every_document(spark, small, documents):
+    from volspark.llm.registry import QUERIES, load
+
+    load()
+    got = {r["doc_id"]: r for r in QUERIES["op11_secret_scan"](spark, small).collect()}
+    rows = documents.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        want = row(doc_id, text)
+        assert tuple(got[doc_id])[:4] == want[:4] and got[doc_id]["base_sha256"] == want[5]
+        assert set(want[6].split(",")) <= set(got[doc_id]["spans"].split(","))
