@@ -8,7 +8,7 @@ from volspark.operators import regions as R
 from volspark.operators.labels import VOXEL
 from volspark.queries.agreement_ops import BEST, reach
 from volspark.queries.fixtures import EV, ev, ev_dims, with_
-from volspark.queries.grid_ops import ball, cube, dilated, eroded, moved, steps
+from volspark.queries.grid_ops import cube, dilated, eroded, moved, steps
 from volspark.queries.region_tables import rounded
 from volspark.queries.registry import query
 
