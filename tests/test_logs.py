@@ -101,3 +101,14 @@ def test_id_lists(spark, chunk):
     rows = [(g, v) for g, ids in groups.items() for v in ids + ids[:3]]
     got = L.sequence_runs(spark.createDataFrame(rows, "g int, v long"), ["g"], "v", chunk).collect()
     assert {r["g"]: r["text"] for r in got} == text
+
+
+def test_stages_of_lines_that_are_far_apart(spark):
+    far = 10**12
+    lines = [
+        (1, " /bin/recon-all -s a"), (5, "#@# One lh Thu Jan 21 18:27:08 UTC 2016"), (far, "#@# Two lh Thu Jan 21 18:28:08 UTC 2016"),
+        (2 * far, "@#@FSTIME 2016:01:21:18:29:00 recon-all N 2 e 5.5 S 0.05 U 1.64 P 77% M 236 F 0 R 55 W 0 c 7 w 3 I 0 O 20"),
+    ]
+    df = spark.createDataFrame([("f", n, line) for n, line in lines], "file string, line_no long, line string")
+    got = [tuple(r) for r in L.command_stages(df, chunk=64).select("timed_at", "command", "line_no", "stage", "duration_s").collect()]
+    assert got == [(2 * far, "/bin/recon-all -s a", far, "One lh", 60.0)]

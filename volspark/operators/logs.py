@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from volspark.operators.regions import SUBJECT
 from volspark.plans.joins import attach
 from volspark.plans.ordered import forward_fill, next_value
-from volspark.plans.storage import materialize
+from volspark.plans.storage import known_rows, materialize
 
 # Words that mark a failing line, and phrases that make it harmless.
 ERROR_WORDS = ["error", "error:", "exception", "traceback"]
@@ -87,19 +88,21 @@ def _heading(line: str = "line") -> Column:
     return F.when(marked & (name != "DONE"), name)
 
 
-def _stage_marks(line: str = "line") -> Column:
-    """Stage marks of a line, ``(stage, us)``: a ``#@# name date`` of more than five words, and an ``Ended`` (stage NULL).
+def _with_stage_marks(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines with their stage ``marks``, ``(stage, us)``: a ``#@# name date`` of more than five words, and an ``Ended`` (stage NULL).
 
-    The last six words are the date, like "Thu Jan 21 18:27:08 UTC 2016".
+    The last six words are the date, like "Thu Jan 21 18:27:08 UTC 2016".  A line is split once and its date read once.
     """
-    words = F.split(F.trim(line), r"\s+")
-    date = F.slice(words, F.size(words) - 5, 6)
-    stamp = F.concat_ws(" ", date[1], F.lpad(date[2], 2, "0"), date[3], date[5])
-    us = F.unix_micros(F.try_to_timestamp(stamp, F.lit("MMM dd HH:mm:ss yyyy")))
+    words = F.col("_words")
+    rows = lines.withColumn("_words", F.split(F.trim(line), r"\s+")).filter(F.size(words) > 5)
+    month, day, time, year = (F.element_at(words, k) for k in (-5, -4, -3, -1))
+    stamp = F.concat_ws(" ", month, F.lpad(day, 2, "0"), time, year)
+    rows = rows.withColumn("_us", F.unix_micros(F.try_to_timestamp(stamp, F.lit("MMM dd HH:mm:ss yyyy"))))
     name = F.concat_ws(" ", F.slice(words, 2, F.greatest(F.size(words) - 7, F.lit(0))))
-    stage = F.when(F.contains(F.col(line), F.lit(STAGE_MARK)), F.struct(name.alias("stage"), us.alias("us")))
-    ended = F.when(F.contains(F.col(line), F.lit("Ended")), F.struct(F.lit(None).cast("string").alias("stage"), us.alias("us")))
-    return F.when(F.size(words) > 5, F.array_compact(F.array(stage, ended)))
+    us = F.col("_us").alias("us")
+    stage = F.when(F.contains(F.col(line), F.lit(STAGE_MARK)), F.struct(name.alias("stage"), us))
+    ended = F.when(F.contains(F.col(line), F.lit("Ended")), F.struct(F.lit(None).cast("string").alias("stage"), us))
+    return rows.withColumn("marks", F.array_compact(F.array(stage, ended))).drop("_words", "_us")
 
 
 def report_lines(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
@@ -109,9 +112,11 @@ def report_lines(lines: DataFrame, by: Sequence[str] = ("file",)) -> DataFrame:
     """
     line = F.col("line")
     has = lambda word: F.contains(line, F.lit(word))
+    # most lines that are no command hold a "#", so it is looked for first
+    message = reduce(or_, (has(w) for w in sorted(NOT_A_COMMAND, key=len)))
     tagged = lines.select(
         *by, "line_no", "line", (has(TIMING_MARK) & ~has("cmdf")).alias("timing"), has("======").alias("heading"), (has(STAGE_MARK) | has("Ended")).alias("marks"),
-        (~line.rlike("|".join(re.escape(w) for w in NOT_A_COMMAND))).alias("plain"),
+        (~message).alias("plain"),
     )
     return tagged.filter("timing OR heading OR marks OR plain")
 
@@ -124,20 +129,25 @@ def _timed_commands(tagged: DataFrame, by: Sequence[str], chunk: int) -> DataFra
     """
     timed = timing_lines(tagged.filter("timing").select(*by, "line_no", "line"))
     fields = [c for c in timed.columns if c not in (*by, "line_no")]
-    timed = materialize(timed.select(*by, "line_no", F.struct(*fields).alias("timing")), "timings")
+    timed = timed.select(*by, "line_no", F.struct(*fields).alias("timing"))
     names = materialize(timed.select(*by, F.col("timing.cmd").alias("cmd")).distinct(), "commands")
     lengths = [r[0] for r in names.select(F.length("cmd")).distinct().collect()]
-    heads = tagged.filter("heading").select(*by, "line_no", _heading().alias("head")).filter("head IS NOT NULL")
-    # a heading comes before what is timed on the same line
-    headed = forward_fill(timed.unionByName(heads, allowMissingColumns=True), by, "line_no", "head", "section", chunk).filter("timing IS NOT NULL").drop("head")
+    heads = materialize(tagged.filter("heading").select(*by, "line_no", _heading().alias("head")).filter("head IS NOT NULL"), "headings")
+    if known_rows(heads):
+        # a heading comes before what is timed on the same line
+        both = materialize(timed.unionByName(heads, allowMissingColumns=True), "timings")
+        headed = forward_fill(both, by, "line_no", "head", "section", chunk).filter("timing IS NOT NULL").drop("head")
+    else:
+        headed = timed.withColumn("section", F.lit(None).cast("string"))
     words = F.regexp_extract_all("line", F.lit(r"(\S+) "), F.lit(1))
     ends = F.transform(words, lambda w: F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length(w)), lambda n: F.right(w, n)))
     plain = tagged.filter("plain").select(*by, "line_no", F.col("line").alias("plain"), F.explode(F.array_distinct(F.flatten(ends))).alias("cmd"))
     plain = attach(plain, names, [*by, "cmd"], "inner")
     rows = headed.withColumn("cmd", F.col("timing.cmd")).unionByName(plain, allowMissingColumns=True)
     rows = rows.withColumn("_line", F.when(F.col("plain").isNotNull(), F.struct("line_no", F.ltrim("plain").alias("command"))))
+    rows = materialize(rows.drop("plain"), "command-lines")
     rows = forward_fill(rows, [*by, "cmd"], "line_no", "_line", "_full", chunk, include_self=False)
-    return rows.filter("timing IS NOT NULL AND _full IS NOT NULL").drop("plain", "_line")
+    return rows.filter("timing IS NOT NULL AND _full IS NOT NULL").drop("_line")
 
 
 def command_times(lines: DataFrame, by: Sequence[str] = ("file",), chunk: int = 65_536) -> DataFrame:
@@ -169,21 +179,30 @@ def command_stages(lines: DataFrame, by: Sequence[str] = ("file",), command: str
     """Stages inside a command's log, keyed by the line of the command's timing (``timed_at``): stage, start, stop, seconds.
 
     Stage marks between the command's line and its timing line count; each stage lasts until the next mark or ``Ended``.
-    Marks meet the spans that cover them by pieces of line numbers, so neither a long log nor a long span is one group.
+    A command's stages are found once; its timings then meet only those pieces of line numbers that hold its marks, so the
+    rows are those of the result whatever the gaps between lines, and neither a long log nor a long span is one group.
     """
     by = list(by)
     tagged = materialize(report_lines(lines, by), "report")
-    spans = _timed_commands(tagged, by, chunk).filter(F.col("cmd") == command)
-    spans = spans.select(*by, F.col("line_no").alias("timed_at"), F.col("_full.line_no").alias("_from"), F.col("_full.command").alias("command"))
-    piece = lambda n: F.floor(n / chunk)
-    spans = spans.withColumn("_piece", F.explode(F.sequence(piece(F.col("_from")), piece(F.col("timed_at") - 1))))
-    marks = tagged.filter("marks").withColumn("marks", _stage_marks()).withColumn("_piece", piece(F.col("line_no")))
-    met = spans.join(marks.select(*by, "_piece", "line_no", "marks"), [*by, "_piece"]).filter("line_no >= _from AND line_no < timed_at")
-    met = met.select(*by, "timed_at", "command", "line_no", F.posexplode("marks").alias("_k", "_mark")).withColumn("_order", F.col("line_no").cast("long") * 2 + F.col("_k"))
-    met = met.withColumn("_stage", F.when(F.col("_mark.stage").isNotNull(), F.col("_mark")))
-    led = forward_fill(met, [*by, "timed_at"], "_order", "_stage", "_open", 2 * chunk, include_self=False).filter("_open IS NOT NULL")
+    timed = timing_lines(tagged.filter("timing").select(*by, "line_no", "line")).filter(F.col("cmd") == command).select(*by, "line_no")
+    # a word that ends with the command's name, before a space
+    plain = tagged.filter(F.col("plain") & F.contains(F.col("line"), F.lit(f"{command} ")))
+    marks = _with_stage_marks(tagged.filter("marks").select(*by, "line_no", "line")).drop("line")
+    # a command's line comes before what is marked on the same line
+    line = F.col("line_no").cast("long")
+    at = lambda rows, odd: rows.withColumn("_order", 2 * line + odd)
+    rows = at(plain.select(*by, "line_no", line.alias("_at")), 0).unionByName(at(marks, 1), True).unionByName(at(timed.withColumn("_timed", F.lit(True)), 1), True)
+    begun = materialize(forward_fill(materialize(rows, "commands"), by, "_order", "_at", "_from", 2 * chunk).filter("_at IS NULL AND _from IS NOT NULL"), "begun")
+    met = begun.filter("_timed IS NULL").select(*by, "_from", "line_no", F.posexplode("marks").alias("_k", "_mark")).withColumn("_order", 2 * line + F.col("_k"))
+    met = materialize(met.withColumn("_stage", F.when(F.col("_mark.stage").isNotNull(), F.col("_mark"))), "marks")
+    led = forward_fill(met, [*by, "_from"], "_order", "_stage", "_open", 2 * chunk, include_self=False).filter("_open IS NOT NULL")
+    led = materialize(led.withColumn("_piece", F.floor(line / chunk)).drop("_stage", "_k", "_order"), "stages")
+    texts = plain.select(*by, line.alias("_from"), F.ltrim("line").alias("command"))
+    spans = begun.filter("_timed").select(*by, "_from", F.col("line_no").alias("timed_at"))
+    spans = spans.join(led.select(*by, "_from", "_piece").distinct(), [*by, "_from"]).filter(F.col("_piece") <= F.floor((F.col("timed_at") - 1) / chunk))
+    done = spans.join(led, [*by, "_from", "_piece"]).filter("line_no < timed_at").join(texts, [*by, "_from"])
     us = F.col("_mark.us") - F.col("_open.us")
-    return led.select(
+    return done.select(
         *by, "timed_at", "command", "line_no", F.col("_open.stage").alias("stage"), F.timestamp_micros("_open.us").alias("start"),
         F.timestamp_micros("_mark.us").alias("stop"), (us / 1_000_000.0).alias("duration_s"),
     )
