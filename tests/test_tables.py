@@ -5,7 +5,7 @@ from volumes import dims, frame
 from volspark.operators import agreement as A
 from volspark.operators import align, labels, mapping, measures, mesh, training
 from volspark.operators import regions as R
-from volspark.plans import joins, ordered
+from volspark.plans import joins, ordered, storage
 
 RNG = np.random.default_rng(5)
 
@@ -88,6 +88,13 @@ def test_forward_fill_crosses_chunks(spark):
     assert before[3] is None and before[50] == "a" and before[51] == "b"
 
 
+def test_forward_fill_of_a_written_table_is_one_window(spark):
+    rows = [(g, i, "a" if i == 3 else None) for g in (1, 2) for i in range(100)]
+    filled = ordered.forward_fill(storage.materialize(spark.createDataFrame(rows, "g int, at int, v string")), ["g"], "at", "v", "f", chunk=8)
+    assert "Join" not in filled._jdf.queryExecution().optimizedPlan().toString()
+    assert all((r["f"] == "a") == (r["at"] >= 3) for r in filled.collect())
+
+
 def test_label_above_the_map_is_an_error(spark):
     m = spark.createDataFrame([(1, 10), (3, 30)], "src int, dst int")
     ok = spark.createDataFrame([(1,), (2,), (3,)], "seg int")

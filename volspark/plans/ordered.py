@@ -21,14 +21,24 @@ BUCKETS = 256
 def forward_fill(
     df: DataFrame, group: Sequence[str], order: str, value: str, out: str, chunk: int = CHUNK, include_self: bool = True
 ) -> DataFrame:
-    """Last non-NULL ``value`` at or before each row (before it if not ``include_self``) by integer ``order``."""
+    """Last non-NULL ``value`` at or before each row (before it if not ``include_self``) by integer ``order``.
+
+    A written table whose largest group has at most ``DIRECT_ROWS`` rows needs one window only; others are filled inside
+    chunks, and one summary row per chunk carries the value across borders.
+    """
     group = list(group)
+    last = 0 if include_self else -1
+    rows = known_rows(df)
+    if rows is not None:
+        largest = rows if rows <= DIRECT_ROWS else df.groupBy(*group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
+        if largest <= DIRECT_ROWS:
+            upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+            return df.withColumn(out, F.last(value, ignorenulls=True).over(upto))
     df = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    heads = df.filter(F.col(value).isNotNull()).groupBy(*group, "_chunk").agg(F.max_by(value, order).alias("_last"))
-    spans = df.select(*group, "_chunk").distinct().join(heads, [*group, "_chunk"], "left")
+    spans = df.groupBy(*group, "_chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = spans.select(*group, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    upto = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
+    upto = Window.partitionBy(*group, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
     filled = df.withColumn(out, F.last(value, ignorenulls=True).over(upto))
     return (
         filled.join(carry, [*group, "_chunk"], "left")
