@@ -201,25 +201,31 @@ def gradient_nonzero(voxels: DataFrame, label: str = "seg", axes: str = "xyz", k
     return map_voxels(voxels, 1, [label], compute, "has_gradient boolean", [label, *keep])
 
 
-def thick_slices(voxels: DataFrame, thickness: int, value: str, axis: str = "z") -> DataFrame:
+def thick_slices(voxels: DataFrame, thickness: int, value: str, axis: str = "z", size: int | None = None) -> DataFrame:
     """Each slice with its ``thickness`` neighbours on both sides as an array, edges repeated.
 
-    A window per image line, whose length is bounded by the image size.
+    The edges are those of the stored line, or those of an image of ``size`` positions, in which slices that are not
+    stored are NULL.  A window per image line, whose length is bounded by the image size.
     """
     from pyspark.sql import Window
 
     others = [c for c in VOXEL if c != axis]
     line = Window.partitionBy(*others).orderBy(axis)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first(value).over(whole), F.last(value).over(whole)
+    place, first, last = F.col(axis), F.first(value).over(whole), F.last(value).over(whole)
+    if size is not None:
+        first, last = F.when(F.first(axis).over(whole) == 0, first), F.when(F.last(axis).over(whole) == size - 1, last)
     parts = []
     for step in range(-thickness, thickness + 1):
-        if step < 0:
+        if step == 0:
+            parts.append(F.col(value))
+        elif size is not None:
+            there = F.first(value).over(line.rangeBetween(step, step))
+            parts.append(F.when(place + step < 0, first).when(place + step >= size, last).otherwise(there))
+        elif step < 0:
             parts.append(F.coalesce(F.lag(value, -step).over(line), first))
-        elif step > 0:
-            parts.append(F.coalesce(F.lead(value, step).over(line), last))
         else:
-            parts.append(F.col(value))
+            parts.append(F.coalesce(F.lead(value, step).over(line), last))
     return voxels.withColumn("slab", F.array(*parts))
 
 
