@@ -90,6 +90,11 @@ def with_dims(rows: DataFrame, dims: DataFrame) -> DataFrame:
     return attach(rows, dims.select(SUBJECT, "nx", "ny", "nz"), SUBJECT, "inner", costly=False)
 
 
+def inside(rows: DataFrame, dims: DataFrame) -> DataFrame:
+    """Rows within the sizes of ``dims``, which may be those of the stored part of an image."""
+    return _inside(with_dims(rows, dims)).select(*rows.columns)
+
+
 # Steps of the 26-neighbourhood that are done inside blocks; more go along whole lines, axis by axis.
 BLOCK_STEPS = 8
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from volspark.operators import regions as R
 from volspark.operators import training as T
 from volspark.operators.labels import VOXEL
-from volspark.queries.fixtures import BAG, BAG_VOX, EV, LINES, LV, STAGES, bag_headers, ev, ev_dims, lv, table, with_
+from volspark.queries.fixtures import BAG, BAG_VOX, EV, LINES, LV, STAGES, bag_headers, ev, ev_dims, ev_stored, lv, table, with_
 from volspark.queries.grid_ops import CLOSED, cube, eroded
 from volspark.queries.region_tables import rounded
 from volspark.queries.registry import query
@@ -29,7 +29,7 @@ WEIGHTS = (
 
 def weighted(spark, d, **more):
     v = ev(spark, d).select(*VOXEL, "norm", "blk")
-    return T.voxel_weights(v, ev_dims(spark, d), "blk", hires_weight=5, threshold=2, **more)
+    return T.voxel_weights(v, ev_stored(spark, d), "blk", hires_weight=5, threshold=2, **more)
 
 
 @query("voxel_weights", with_(EV, *WEIGHTS, body="SELECT subject_id, x, y, z, blk, round(weight,6) AS weight FROM vw"))
