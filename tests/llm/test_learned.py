@@ -189,6 +189,26 @@ def test_near_components_hard(spark, hard, empty):
     assert near_dedup.near_components(empty).count() == 0
 
 
+def test_members_of_many_open_pivots_stand_once(spark):
+    rng = random.Random(3)
+    base = list(range(100))
+    sets = {k: base for k in range(4)}
+    for k in range(4, 60):
+        gone = rng.sample(base, rng.randint(0, 14))
+        sets[k] = [t for t in base if t not in gone] + [rng.randint(200, 230) if k % 3 else 1000 * k + j for j in range(rng.randint(0, 14))]
+        sets[k] = sorted(set(sets[k]))
+    stars = spark.createDataFrame([(k, p, len(sets[k]), 100) for k in range(4, 60) for p in range(4)], "_a long, _pivot long, _na long, _np long")
+    comps = spark.createDataFrame([(k, k) for k in sets], "_node long, _comp long")
+    members = near_dedup._open_groups(stars, comps)
+    assert sorted(r["_node"] for r in members.collect()) == list(range(4, 60))
+    assert members.select("_group").distinct().count() == 1
+    rows = spark.createDataFrame(list(sets.items()), "_node long, _set array<long>")
+    found = {(r["_a"], r["_b"]) for r in near_dedup._difference_pairs(members, rows, 80).collect()}
+    similar = lambda a, b: len(a & b) * 100 >= len(a | b) * 80
+    want = {(a, b) for a in range(4, 60) for b in range(a + 1, 60) if similar(set(sets[a]), set(sets[b]))}
+    assert want and want <= found
+
+
 def test_contract_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60) if k % 20 != 19] + [(5, 3), (7, 7)], "_a long, _b long")
     got = {r["_node"]: r["_root"] for r in near_dedup.contract(links).collect()}

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from volspark.llm.common import WordHashes, bounded_batches, table
 from volspark.llm.registry import query
@@ -20,7 +19,7 @@ from volspark.plans.storage import known_rows, materialize, measured
 # Two collections of SIDE partial keys, each of HASHES minhashes; a table for every pair of partial keys, one of each.  Two
 # sets of similarity 0.8 miss all SIDE * SIDE tables with a chance below 2e-4.
 SIDE, HASHES = 13, 3
-# Pivots with at most so many members get their pairs directly, others through differences from the pivot.
+# Groups of pivots with at most so many members get their pairs directly, others through differences from one pivot.
 SMALL = 32
 # Rounds in which a document is compared with one pivot before it is with all that are left.
 ROUNDS = 3
@@ -184,62 +183,60 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _with_parents(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """Add ``_above``: whether a member also belongs to the pivot above its own, the largest one that the pivot is a member of.
+def _open_groups(stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """_group, _node, _n, _comp: the members of pivots that still hold several components, each once.
 
-    Two members that do are compared there (pivots grow smaller upwards, so there is an end), not here again.
+    Pivots that share a member are one group, named by its pivot with the most members.  A member of many pivots thus meets the
+    others of all of them in one place, and the rows grow with the members, not with their places in pivots.
     """
-    held = stars.groupBy("_pivot").agg(F.count(F.lit(1)).alias("_held"))
-    own = members.select(F.col("_pivot").alias("_a")).distinct()
-    above = stars.join(own, "_a", "left_semi").join(held, "_pivot").groupBy("_a").agg(F.max_by("_pivot", F.struct("_held", "_pivot")).alias("_parent"))
-    edges = stars.select(F.col("_a").alias("_node"), F.col("_pivot").alias("_parent"), F.lit(True).alias("_there"))
-    rows = members.join(above.withColumnRenamed("_a", "_pivot"), "_pivot", "left").join(edges, ["_node", "_parent"], "left")
-    return rows.select("_pivot", "_node", "_comp", "_n", F.coalesce("_there", F.col("_node") == F.col("_parent"), F.lit(False)).alias("_above"))
-
-
-def _difference_pairs(members: DataFrame, comps: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of a pivot (_pivot, _node, _comp, _n, _above) in different components that may be similar enough.
-
-    Each set is written as its pivot's, less ``_r`` shingles, plus the ``_add`` ones.  Two sets are similar enough when their
-    symmetric difference is at most their sizes times (100 - least) / (100 + least), so two members either share an added
-    shingle, or |r - r'| + a + a' is within that bound.  Of the added shingles one of the rarest must be shared: a member with
-    more than its size times (100 - least) / least of them shares the surplus.  At least one of the two lies outside of
-    the pivot's component.  No condition loses a pair.
+    open_ = _apart(stars.select("_a", F.col("_pivot").alias("_b")), comps).select(F.col("_b").alias("_pivot")).distinct()
+    held = materialize(stars.join(open_, "_pivot", "left_semi").select("_pivot", "_a", "_na"), "open")
+    if not known_rows(held):
+        return held.select(F.col("_pivot").alias("_group"), F.col("_a").alias("_node"), F.col("_na").alias("_n"), F.col("_a").alias("_comp"))
+    joined = contract(held.select(F.col("_a").alias("_a"), F.col("_pivot").alias("_b")))
+    counted = held.groupBy("_pivot").agg(F.count(F.lit(1)).alias("_held")).join(joined.withColumnRenamed("_node", "_pivot"), "_pivot")
+    named = counted.groupBy("_root").agg(F.max_by("_pivot", F.struct("_held", "_pivot")).alias("_group"))
+    members = held.select(F.col("_a").alias("_node"), F.col("_na").alias("_n")).distinct()
+    members = members.join(joined, "_node").join(named, "_root").join(comps, "_node")
+    return materialize(members.select("_group", "_node", "_n", "_comp"), "members")
+
+
+def _difference_pairs(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Pairs of members of a group (_group, _node, _n, _comp) in different components that may be similar enough.
+
+    Each set is written as that of the node ``_group``, less ``_r`` shingles, plus the ``_add`` ones.  Two sets are similar enough
+    when their symmetric difference is at most their sizes times (100 - least) / (100 + least), so two members either share an
+    added shingle, or |r - r'| + a + a' is within that bound.  Of the added shingles one of the rarest must be shared: a member
+    lacks at most (100 - least) percent of its own set in the other.  No condition loses a pair.
     """
-    whole = sets.select("_node", "_set")
-    base = sets.select(F.col("_node").alias("_pivot"), F.col("_set").alias("_base"))
-    home = comps.select(F.col("_node").alias("_pivot"), F.col("_comp").alias("_home"))
-    rows = members.join(home, "_pivot").join(whole, "_node").join(base, "_pivot")
+    base = sets.select(F.col("_node").alias("_group"), F.col("_set").alias("_base"))
+    rows = members.join(sets.select("_node", "_set"), "_node").join(base, "_group")
     rows = rows.withColumn("_add", F.array_except("_set", "_base")).withColumn("_a", F.size("_add"))
-    rows = rows.select("_pivot", "_node", "_comp", "_n", (F.col("_comp") != F.col("_home")).alias("_out"), "_above", "_a", (F.size("_base") - F.col("_n") + F.col("_a")).alias("_r"), "_add")
+    rows = rows.select("_group", "_node", "_comp", "_n", "_a", (F.size("_base") - F.col("_n") + F.col("_a")).alias("_r"), "_add")
     rows = materialize(rows, "differences")
 
-    # members of a large pivot are dealt over all tasks before their shingles are written out
-    spread = rows.repartition("_pivot", "_node")
-    tokens = spread.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", F.explode("_add").alias("_t"))
-    # An added shingle counts if a pair to be compared can share it: it has members of two components, one outside of the
-    # pivot's and one not above.  The others stand first in the order, as they are never met.  Shingles that the same members have
-    # added stand together and are met once.
-    often = tokens.groupBy("_pivot", "_t").agg(
-        F.count(F.lit(1)).alias("_df"), F.bit_xor(F.xxhash64("_node")).alias("_who"),
-        ((F.min("_comp") != F.max("_comp")) & F.bool_or("_out") & ~F.bool_and("_above")).alias("_met"),
-    ).filter("_met").drop("_met")
-    tokens = tokens.join(often, ["_pivot", "_t"])
-    mine = Window.partitionBy("_pivot", "_node")
-    tokens = tokens.withColumn("_rank", F.row_number().over(mine.orderBy("_df", "_who", "_t"))).withColumn("_several", F.count(F.lit(1)).over(mine))
-    ahead = F.least(F.col("_a"), F.floor(F.col("_n") * (100 - least) / least) + 1) - (F.col("_a") - F.col("_several"))
-    tokens = tokens.filter(F.col("_rank") <= ahead)
-    tokens = materialize(tokens.select("_pivot", "_node", "_comp", "_n", "_out", "_above", "_a", "_r", "_df", "_who").distinct(), "added")
-    slack = lambda x, y: (F.col(f"{x}._n") + F.col(f"{y}._n")) * (100 - least) / (100 + least)
-    apart = (F.col("x._comp") != F.col("y._comp")) & ~(F.col("x._above") & F.col("y._above")) & (~F.col("y._out") | (F.col("x._node") < F.col("y._node"))) & _fits(F.col("x._n"), F.col("y._n"), least)
+    # members of a large group are dealt over all tasks before their shingles are written out
+    tokens = rows.repartition("_group", "_node").select("_group", "_node", "_comp", F.explode("_add").alias("_t"))
+    # An added shingle counts if members of two components have it.  The others stand first in the order, as they are never met.
+    # Shingles that the same members have added stand together and are met once.
+    often = tokens.groupBy("_group", "_t").agg(
+        F.count(F.lit(1)).alias("_df"), F.bit_xor(F.xxhash64("_node")).alias("_who"), F.min("_comp").alias("_least"), F.max("_comp").alias("_most")
+    ).filter("_least <> _most").select("_group", "_t", "_df", "_who")
+    held = tokens.join(often, ["_group", "_t"]).groupBy("_group", "_node").agg(F.array_sort(F.collect_list(F.struct("_df", "_who", "_t"))).alias("_held"))
+    ahead = F.least(F.col("_a"), F.floor(F.col("_n") * (100 - least) / 100) + 1) - (F.col("_a") - F.size("_held"))
+    first = F.transform(F.slice("_held", 1, F.greatest(ahead, F.lit(0)).cast("int")), lambda h: F.struct(h["_df"].alias("_df"), h["_who"].alias("_who")))
+    kept = rows.drop("_add").join(held, ["_group", "_node"]).withColumn("_key", F.explode(F.array_distinct(first))).drop("_held")
+    kept = materialize(kept, "added")
+    slack = (F.col("x._n") + F.col("y._n")) * (100 - least) / (100 + least)
+    apart = (F.col("x._comp") != F.col("y._comp")) & (F.col("x._node") < F.col("y._node")) & _fits(F.col("x._n"), F.col("y._n"), least)
     gap = F.abs(F.col("x._r") - F.col("y._r"))
-    pair = [F.least("x._node", "y._node").alias("_a"), F.greatest("x._node", "y._node").alias("_b")]
+    pair = [F.col("x._node").alias("_a"), F.col("y._node").alias("_b")]
 
-    left, right = tokens.filter("_out").alias("x"), tokens.alias("y")
-    shared = left.join(right, [F.col("x._pivot") == F.col("y._pivot"), F.col("x._df") == F.col("y._df"), F.col("x._who") == F.col("y._who"), apart, gap + F.abs(F.col("x._a") - F.col("y._a")) <= slack("x", "y")])
+    left, right = kept.alias("x"), kept.alias("y")
+    shared = left.join(right, [F.col("x._group") == F.col("y._group"), F.col("x._key") == F.col("y._key"), apart, gap + F.abs(F.col("x._a") - F.col("y._a")) <= slack])
     small = rows.drop("_add").filter(F.col("_a") <= F.col("_n") * (100 - least) / least)
-    left, right = small.filter("_out").alias("x"), small.alias("y")
-    close = left.join(right, [F.col("x._pivot") == F.col("y._pivot"), apart, gap + F.col("x._a") + F.col("y._a") <= slack("x", "y")])
+    left, right = small.alias("x"), small.alias("y")
+    close = left.join(right, [F.col("x._group") == F.col("y._group"), apart, gap + F.col("x._a") + F.col("y._a") <= slack])
     return shared.select(*pair).unionByName(close.select(*pair)).distinct()
 
 
@@ -290,9 +287,9 @@ def unique_components(
     Texts with a common ``least`` percent of their ``size``-word shingles are linked; components get their smallest id.
     1. Texts with the same set are one class.  2. Candidates come from tensored banding; a bucket is a star around its
     smallest class, so a bucket of any size gives as many pairs as members.  3. Each class is compared with its best pivot,
-    then with the next, each time leaving out what is already connected; whole sets decide.  4. Buckets that still hold several
-    components get the remaining comparisons: pairs directly where the pivot has few members, else by what they differ from it
-    in, which is exact.
+    then with the next, each time leaving out what is already connected; whole sets decide.  4. Pivots that still hold several
+    components and share members are one group, whose members get the remaining comparisons: pairs directly where they are few,
+    else by what they differ from one pivot in, which is exact.
 
     A null, empty or blank text has no shingles and is linked with nothing; fewer words than ``size`` are one shingle.
     Very long texts are compared whole.  Rows that agree in id and text share their component; no id may carry two different
@@ -338,21 +335,17 @@ def unique_components(
             left = _apart(rest.withColumnRenamed("_pivot", "_b"), comps).select("_a", F.col("_b").alias("_pivot"), "_shared")
 
     # pivots whose members are still apart: all of their members' pairs between components are open
-    open_ = _apart(stars.select("_a", F.col("_pivot").alias("_b"), "_na", "_np"), comps).select(F.col("_b").alias("_pivot")).distinct()
-    groups = materialize(stars.join(open_, "_pivot", "left_semi").select("_pivot", "_a", "_na", "_np"), "open")
-    if known_rows(groups):
-        members = groups.select("_pivot", F.col("_a").alias("_node"), F.col("_na").alias("_n")).join(comps, "_node")
-        counted = groups.groupBy("_pivot").agg(F.count(F.lit(1)).alias("_c"))
-        members = materialize(members.join(counted, "_pivot"), "members")
-        few = members.filter(F.col("_c") <= small)
-        a = few.select("_pivot", F.col("_node").alias("_a"), F.col("_comp").alias("_ca"), F.col("_n").alias("_na"))
-        b = few.select("_pivot", F.col("_node").alias("_b"), F.col("_comp").alias("_cb"), F.col("_n").alias("_nb"))
-        pairs = a.join(b, "_pivot").filter((F.col("_a") < F.col("_b")) & (F.col("_ca") != F.col("_cb")) & _fits(F.col("_na"), F.col("_nb"), least))
-        pairs = pairs.select("_a", "_b").distinct()
-        many = _with_parents(members.filter(F.col("_c") > small).drop("_c"), stars)
-        many = materialize(many, "many")
-        if known_rows(many):
-            pairs = pairs.unionByName(_difference_pairs(many, comps, sets, least)).distinct()
+    members = _open_groups(stars, comps)
+    if known_rows(members):
+        sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_c"))
+        counted = materialize(members.join(sizes, "_group"), "counted")
+        few = counted.filter(F.col("_c") <= small)
+        a = few.select("_group", F.col("_node").alias("_a"), F.col("_comp").alias("_ca"), F.col("_n").alias("_na"))
+        b = few.select("_group", F.col("_node").alias("_b"), F.col("_comp").alias("_cb"), F.col("_n").alias("_nb"))
+        pairs = a.join(b, "_group").filter((F.col("_a") < F.col("_b")) & (F.col("_ca") != F.col("_cb")) & _fits(F.col("_na"), F.col("_nb"), least))
+        pairs = pairs.select("_a", "_b")
+        many = counted.filter(F.col("_c") > small).drop("_c")
+        pairs = pairs.unionByName(_difference_pairs(many, sets, least))
         comps = _joined(comps, materialize(_confirmed(materialize(pairs, "pairs"), sets, least), "confirmed"))
     found = classes.join(comps, "_node", "left").select("_digest", F.coalesce("_comp", "_node").alias("_comp"))
     return _result(sketch, found, id_col)
