@@ -28,3 +28,13 @@ def cut(tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, cut, name):
     assert oracle.compare(spark, oracle.duck(cut), cut, entry.queries()[name], entry.oracle_sql()[name])[0] is None
+
+
+def test_logged_slabs_are_those_of_the_planes_along_x(spark, tmp_path):
+    # 76 slices of the last subject: the planes along x and those along y keep other voxels
+    for name in os.listdir(SOURCE):
+        if name != "embeddings.parquet":
+            os.symlink(f"{SOURCE}/{name}", tmp_path / name)
+    oracle.duck(SOURCE).execute(f"COPY (SELECT * FROM embeddings WHERE vec_id < 176) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    folder, name = str(tmp_path), "training_slabs_logged"
+    assert oracle.compare(spark, oracle.duck(folder), folder, entry.queries()[name], entry.oracle_sql()[name])[:2] == (None, 2)

@@ -74,7 +74,7 @@ def training_slabs_logged(spark, d):
     v = ev(spark, d).filter(~((k == 4) & (F.col("z") == 7))).select(*VOXEL, "norm", label.cast("int").alias("seg"))
     n = F.col("n_nationkey")
     mapping = table(spark, d, "nation").filter(n < 20).select(n.cast("int").alias("src"), (n * 7 % 5).cast("int").alias("dst"))
-    slabs, log = T.build_slabs_logged(v, ev_dims(spark, d).filter(k != 2), "axial", 1, 1200, mapping)
+    slabs, log = T.build_slabs_logged(v, ev_dims(spark, d).filter(k != 2), "sagittal", 1, 1200, mapping)
     built = slabs.groupBy("subject_id").agg(F.lit("ok").alias("state"), F.count(F.lit(1)).alias("pixels"), F.sum("label").cast("bigint").alias("labels"))
     none = F.lit(0).cast("bigint")
     return built.unionByName(log.select("subject_id", "state", none.alias("pixels"), none.alias("labels")))
