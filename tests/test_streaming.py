@@ -110,3 +110,19 @@ def test_repeats_within_the_delay(spark, tmp_path):
     once = live.once_only(stream, ["subject_id", "event_id"], "10 minutes")
     live.run_available(once.writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/progress")
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_calls_of_a_batch_follow_the_groups_of_subjects(spark, tmp_path):
+    # many subjects, one of them NULL, share few rows of the state; a start without a time ends no stage
+    rows = [(s if s else None, 10 * s + k, "abc"[k], int(1e6 * (s + 100 * k * k)), at(s + 100 * k * k)) for s in range(60) for k in range(3)]
+    rows.append((5, 999, "d", None, at(7)))
+    marks = live.mark_stream(spark, f"{tmp_path}/marks")
+    stream = files(spark, tmp_path, [rows[:90], rows[90:]], STARTS)
+    shifted = F.col("us") + int(at(0).replace(tzinfo=datetime.timezone.utc).timestamp() * 1e6)
+    running = live.live_durations(stream.withColumn("us", shifted), marks=marks, groups=4)
+    live.run_to_end(running.writeStream.format("parquet").option("path", f"{tmp_path}/out"), f"{tmp_path}/progress", f"{tmp_path}/marks", at(1000))
+    got = spark.read.parquet(f"{tmp_path}/out").select("subject_id", "event_id", "stage", "duration_s", "finished").collect()
+    want = [(s if s else None, 10 * s + k, "ab"[k], [100.0, 300.0][k], True) for s in range(60) for k in range(2)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    # the state has one row per group that has starts, and not one per subject
+    assert 0 < spark.read.format("statestore").load(f"{tmp_path}/progress").count() <= 4

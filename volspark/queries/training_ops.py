@@ -207,13 +207,18 @@ def stream_deduplicated(spark, d):
     return spark.read.schema("event_id bigint").parquet(out)
 
 
+# A finite source arrives at once, so a group holds all starts of its subjects: about so many.
+STAGE_GROUP_ROWS = 4096
+
+
 @query("stream_stage_durations", with_(STAGES, body="SELECT * FROM (SELECT subject_id, event_id, stage, round((lead(us) OVER (PARTITION BY subject_id ORDER BY us, event_id)-us)/1e6,6) AS duration_s FROM stages) WHERE duration_s IS NOT NULL"))
 def stream_stage_durations(spark, d):
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     starts = stream_of(spark, d, "events").select(F.col("user_id").alias("subject_id"), "event_id", F.col("event_type").alias("stage"), us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
     out, marks = scratch(spark, "durations"), scratch(spark, "marks")
-    sink = S.live_durations(starts, marks=S.mark_stream(spark, marks)).writeStream.format("parquet").option("path", out)
-    last = table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    rows, last = table(spark, d, "events").agg(F.count(F.lit(1)), F.max(F.col("ts").cast("timestamp"))).first()
+    groups = max(64, rows // STAGE_GROUP_ROWS)
+    sink = S.live_durations(starts, marks=S.mark_stream(spark, marks), groups=groups).writeStream.format("parquet").option("path", out)
     S.run_to_end(sink, scratch(spark, "progress"), marks, last)
     got = spark.read.schema("subject_id bigint, event_id bigint, stage string, duration_s double, finished boolean").parquet(out)
     return got.filter("finished").select("subject_id", "event_id", "stage", F.round("duration_s", 6).alias("duration_s"))

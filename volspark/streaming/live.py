@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,77 +42,101 @@ def once_only(status: DataFrame, keys: Sequence[str], delay: str = "1 hour") ->
     return status.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-_STAGE_OUT = "subject_id long, event_id long, stage string, duration_s double, finished boolean"
-# The open stage (its time is NULL before the first), and the starts that the watermark has not passed yet.
-_STAGE_STATE = "event_id long, stage string, us long, waiting_us array<long>, waiting_id array<long>, waiting_stage array<string>"
+_STAGE_OUT = "named boolean, subject_id long, event_id long, stage string, duration_s double, finished boolean"
+# Arrow tables of the open stage of every subject, and of the starts that the watermark has not passed yet.
+_STAGE_STATE = "open binary, waiting binary"
+_STARTS = pa.schema([("named", pa.bool_()), (SUBJECT, pa.int64()), ("event_id", pa.int64()), ("stage", pa.string()), ("us", pa.int64())])
+# Groups of subjects that share a row of the state, unless the caller knows better; see :func:`live_durations`.
+STAGE_GROUPS = 1024
 
 
 # The time of a marker row, which is no start.
 _MARK = -(1 << 63)
 
 
-def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 86_400_000, marks: DataFrame | None = None) -> DataFrame:
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _STARTS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _close_stages(opened: pa.Table, waiting: pa.Table, passed: int, timeout_ms: int) -> tuple[pa.Table, np.ndarray, np.ndarray, pa.Table, pa.Table, int | None]:
+    """Take the starts before ``passed`` (milliseconds) in order: closed stages, their seconds (NaN when timed out), whether
+    they are finished, then the open stages and waiting starts that are left and the time at which the next is due."""
+    late = waiting.column("us").to_numpy() // 1000 >= passed
+    ready, waiting = waiting.filter(pa.array(~late)), waiting.filter(pa.array(late))
+    rows = pa.concat_tables([opened, ready])
+    fresh = np.arange(len(rows)) >= len(opened)  # an open stage comes before the starts of its subject
+
+    def columns(of: pa.Table) -> list[np.ndarray]:
+        return [of.column(c).to_numpy() for c in ("us", "event_id", SUBJECT, "named")]
+
+    us, event, subject, named = columns(rows)
+    order = np.lexsort((event, us, fresh, subject, named))
+    us, subject, named, fresh = us[order], subject[order], named[order], fresh[order]
+    first = np.ones(len(us), bool)
+    first[1:] = (subject[1:] != subject[:-1]) | (named[1:] != named[:-1])
+    head = np.maximum.accumulate(np.where(first, np.arange(len(us)), 0))
+    # later than the delay: its place in the order has been given out
+    kept = ~(fresh & ~fresh[head] & (us < us[head]))
+    order, us, first = order[kept], us[kept], first[kept]
+    last = np.append(first[1:], True)[: len(us)]
+    seconds = np.append(np.diff(us) / 1e6, 0.0)[: len(us)]
+    rows, until = rows.take(pa.array(order)), us // 1000 + timeout_ms
+    # of the last stages of their subjects, those without a waiting start may time out
+    still = set(zip(*(waiting.column(c).to_pylist() for c in (SUBJECT, "named")), strict=True))
+    ends = np.flatnonzero(last)
+    free = np.array([k not in still for k in zip(*(rows.column(c).take(pa.array(ends)).to_pylist() for c in (SUBJECT, "named")), strict=True)], bool)
+    over = np.zeros(len(us), bool)
+    over[ends[free]] = until[ends[free]] < passed
+    closed = ~last | over
+    due = [*until[ends[free & ~over[ends]]], *waiting.column("us").to_numpy() // 1000]
+    done = rows.filter(pa.array(closed)), np.where(over, np.nan, seconds)[closed], ~over[closed]
+    return *done, rows.filter(pa.array(last & ~over)), waiting, int(min(due)) if due else None
+
+
+def live_durations(starts: DataFrame, delay: str = "1 hour", timeout_ms: int = 86_400_000, marks: DataFrame | None = None, groups: int = STAGE_GROUPS) -> DataFrame:
     """Duration of each stage once the next one of its subject starts (``subject_id, event_id, stage, us, ts``).
 
     Starts wait in the state until the watermark has passed them and are then taken in order, so a start may come up to
     ``delay`` late, in any batch; those that come after a later start has been taken are dropped.  A stage still open ``timeout_ms`` of event time after its start is
     reported unfinished.  The state of a subject holds its starts of the last ``delay`` and one open stage.
 
+    Subjects are dealt to ``groups`` by hash; those of a group share a row of the state and are taken together, so the calls
+    of a batch follow its groups and not its subjects.  A few thousand starts a group within the delay is a good size.
+
     ``marks`` is a stream of times (``ts``) that only move the watermark; :func:`run_to_end` closes a finite source with one.
     """
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        event, stage, seconds, finished = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pd.DataFrame(
-            {
-                "event_id": pd.Series(event, dtype="int64"),
-                "stage": pd.Series(stage, dtype="object"),
-                "duration_s": pd.Series(seconds, dtype="float64"),
-                "finished": pd.Series(finished, dtype="bool"),
-            }
-        )
-
     def close(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        event, stage, us, waiting = 0, None, None, []
-        if state.exists:
-            event, stage, us, *lists = state.get
-            waiting = list(zip(*lists, strict=True))
+        opened, *waiting = [pa.ipc.open_stream(b).read_all() for b in state.get] if state.exists else (_STARTS.empty_table(),)
         if not state.hasTimedOut:
             for rows in batches:
-                rows = rows[rows["us"] != _MARK]
-                waiting += zip(rows["us"].tolist(), rows["event_id"].tolist(), rows["stage"].tolist(), strict=True)
+                waiting.append(pa.Table.from_pandas(rows.loc[rows["us"] != _MARK, _STARTS.names], _STARTS, preserve_index=False))
         passed = state.getCurrentWatermarkMs()
-        waiting.sort(key=lambda r: r[:2])
-        ready = [r for r in waiting if r[0] // 1000 < passed]
-        waiting = waiting[len(ready) :]
-        done = []
-        for at, number, name in ready:
-            if us is not None and at < us:
-                continue  # later than the delay: its place in the order has been given out
-            if us is not None:
-                done.append((event, stage, (at - us) / 1e6, True))
-            event, stage, us = number, name, at
-        if us is not None and not waiting and us // 1000 + timeout_ms < passed:
-            done.append((event, stage, float("nan"), False))
-            us = None
-        if us is None and not waiting:
+        done, seconds, finished, opened, left, due = _close_stages(opened, pa.concat_tables(waiting), passed, timeout_ms)
+        if due is None:
             if state.exists:
                 state.remove()
         else:
-            columns = list(zip(*waiting, strict=True)) if waiting else [(), (), ()]
-            state.update((event, stage, us, *(list(c) for c in columns)))
-            due = waiting[0][0] // 1000 if waiting else us // 1000 + timeout_ms
+            state.update((_packed(opened), _packed(left)))
             state.setTimeoutTimestamp(max(due, passed + 1))
-        out = frame(done)
-        out.insert(0, "subject_id", pd.Series([key[0]] * len(out), dtype="int64"))
-        yield out
+        yield done.drop_columns("us").to_pandas().assign(duration_s=seconds, finished=finished)
 
+    # a start without a time has no place in the order and ends no stage
+    starts = starts.filter(F.col("us").isNotNull())
     if marks is not None:
         empty = [F.lit(None).cast(starts.schema[c].dataType).alias(c) for c in (SUBJECT, "stage")]
         mark = marks.select(empty[0], F.lit(0).cast("long").alias("event_id"), empty[1], F.lit(_MARK).alias("us"), "ts")
         starts = starts.select(*mark.columns).unionByName(mark)
-    marked = starts.withWatermark("ts", delay)
-    return marked.groupBy(SUBJECT).applyInPandasWithState(close, _STAGE_OUT, _STAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    subject = F.col(SUBJECT)
+    dealt = starts.select(
+        F.pmod(F.xxhash64(subject), F.lit(groups)).alias("_group"), subject.isNotNull().alias("named"), F.coalesce(subject, F.lit(0)).cast("long").alias(SUBJECT),
+        "event_id", "stage", "us", "ts",
+    )
+    closed = dealt.withWatermark("ts", delay).groupBy("_group").applyInPandasWithState(close, _STAGE_OUT, _STAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return closed.select(F.when(F.col("named"), F.col(SUBJECT)).alias(SUBJECT), "event_id", "stage", "duration_s", "finished")
 
 
 def live_regions(voxels: DataFrame, path: str, checkpoint: str, value: str = "norm"):
