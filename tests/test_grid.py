@@ -310,3 +310,22 @@ def test_merge_cerebellum_matches_brute_force(spark, manual):
     got = cleanup.merge_cerebellum(frame(spark, {"part": part, "seg": seg}), dims(spark, shape), manual)
     assert np.array_equal(dense(got, shape, "part"), out)
     assert np.array_equal(dense(got, shape, "seg"), whole)
+
+
+def test_near_holes_are_filled_inside_blocks(spark, monkeypatch):
+    shape = (9, 5, 70)
+    labels = RNG.choice([0, 1, 2, 3], shape, p=[0.9, 0.04, 0.03, 0.03])
+    holes = RNG.random(shape) < 0.4
+    labels[:, :, 30:50], holes[:, :, 36:44] = 0, False
+    labels[4, 2, 40] = 2  # beyond other labels, but at most 4 voxels from any hole round it
+    voxels, asked = frame(spark, {"seg": labels}), frame(spark, {"h": holes.astype(int)}).filter("h = 1")
+    far = holes.copy()
+    for h in np.argwhere(holes):
+        far[tuple(h)] = int(np.sqrt(((np.argwhere(labels > 0) - h) ** 2).sum(1).min())) > cleanup.NEAR
+    got = dense(cleanup.fill_by_distance(voxels, asked, [3, 1, 2]), shape, "seg")
+    assert far.any() and np.array_equal(got, _fill(labels, holes, [3, 1, 2]))
+    # without far holes nothing is paired with the whole subject
+    monkeypatch.setattr(cleanup, "nearest_points", None)
+    near = frame(spark, {"h": (holes & ~far).astype(int)}).filter("h = 1")
+    got = dense(cleanup.fill_by_distance(voxels, near, [3, 1, 2]), shape, "seg")
+    assert np.array_equal(got, _fill(labels, holes & ~far, [3, 1, 2]))

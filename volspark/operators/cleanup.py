@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volspark.operators.blocks import Block, box_sums, map_voxels
 from volspark.operators.components import drop_small, in_largest_grown, keep_largest, split_largest, voxel_components
 from volspark.operators.grid import dilate, erode, gaussian
 from volspark.operators.labels import VOXEL
 from volspark.operators.nearest import nearest_points
 from volspark.operators.regions import SUBJECT, is_in, not_in
 from volspark.plans.joins import attach
-from volspark.plans.storage import materialize
+from volspark.plans.storage import materialize, measured
 
 # Frontal parcels that are put back into the brain mask untouched.
 FRONTAL = [2012, 1012, 2019, 1019]
@@ -91,22 +93,68 @@ def fill_by_blur(voxels: DataFrame, dims: DataFrame, unknown: int, stop: int, si
     return out.withColumn(label, filled.cast("int")).drop("_fill", "_first")
 
 
-def fill_by_distance(voxels: DataFrame, holes: DataFrame, candidates: Sequence[int], label: str = "seg") -> DataFrame:
-    """Holes take the candidate label that is nearest in whole voxels; of equal ones the first listed."""
+# Distance up to which holes are filled inside blocks, in whole voxels; see :func:`fill_by_distance`.
+NEAR = 4
+
+
+def _shells(reach: int) -> list[np.ndarray]:
+    """Offsets by their distance in whole voxels, 0 to ``reach``."""
+    offsets = np.stack(np.meshgrid(*[np.arange(-reach, reach + 1)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    whole = np.floor(np.sqrt((offsets**2).sum(1)))
+    return [offsets[whole == d] for d in range(reach + 1)]
+
+
+def _fill(voxels: DataFrame, marks: dict[str, Column], hole: Callable[[Block], np.ndarray], candidates: Sequence[int], label: str) -> DataFrame:
+    """:func:`fill_by_distance` for holes that ``hole`` marks in a block with the columns ``marks``; written."""
+    rank = F.coalesce(F.array_position(F.lit(list(candidates)).cast("array<int>"), F.col(label).cast("int")), F.lit(0)).cast("int")
+    marked = voxels.withColumns({**{n: F.coalesce(c, F.lit(False)).cast("int") for n, c in marks.items()}, "_rank": rank})
+    shells = _shells(NEAR)
+
+    def compute(block: Block) -> tuple[np.ndarray, dict]:
+        here, ranks = block.here(), block.whole("_rank")
+        own = np.zeros(here.shape, bool)
+        own[tuple(i[block.own] for i in block.rows)] = True
+        left = np.argwhere(hole(block) & here & own)
+        picked = np.zeros(here.shape, np.int32)
+        for offsets in shells:
+            near = []
+            for part in np.array_split(left, len(left) // 4096 + 1):
+                at = part[:, None] + (offsets + NEAR)
+                found = ranks[at[..., 0], at[..., 1], at[..., 2]]
+                near.append(np.where(found > 0, found, len(candidates) + 1).min(1))
+            near = np.concatenate(near)
+            found = near <= len(candidates)
+            picked[tuple(left[found].T)] = near[found]
+            left = left[~found]
+        rest = np.zeros(here.shape, bool)
+        rest[tuple(left.T)] = True
+        return here, {"_pick": picked, "_rest": rest}
+
+    filled = map_voxels(marked, NEAR, [*marks, "_rank"], compute, "_pick int, _rest boolean", [*voxels.columns, "_rank"])
+    pick = F.element_at(F.lit(list(candidates)).cast("array<int>"), F.nullif("_pick", F.lit(0)))
+    filled = filled.withColumn(label, F.coalesce(pick, F.col(label)).cast("int")).drop("_pick")
+    filled, seen = measured(filled, "filled", rest=F.count_if("_rest"))
+    if not seen["rest"]:
+        return filled.select(*voxels.columns)
     place = F.shiftleft(F.col("x").cast("long"), 40) + F.shiftleft(F.col("y").cast("long"), 20) + F.col("z")
-    sources = voxels.filter(is_in(label, candidates)).select(SUBJECT, F.col(label).alias("_c"), place.alias("tid"), "x", "y", "z")
+    sources = filled.filter("_rank > 0").select(SUBJECT, F.col("_rank").alias("_c"), place.alias("tid"), "x", "y", "z")
     present = sources.select(SUBJECT, "_c").distinct().groupBy(SUBJECT).agg(F.collect_list("_c").alias("_all"))
-    asked = attach(holes.select(*VOXEL), present, SUBJECT, "inner").select(
-        *VOXEL, place.alias("qid"), F.explode("_all").alias("_c")
-    )
+    asked = attach(filled.filter("_rest").select(*VOXEL), present, SUBJECT, "inner").select(*VOXEL, place.alias("qid"), F.explode("_all").alias("_c"))
     found = nearest_points(asked, sources, [SUBJECT, "_c"])
-    order = F.array_position(F.lit(list(candidates)).cast("array<int>"), F.col("_c"))
-    best = found.groupBy(SUBJECT, "qid").agg(F.min_by("_c", F.struct(F.floor("distance"), order)).alias("_fill"))
-    out = voxels.withColumn("qid", place).join(best, [SUBJECT, "qid"], "left").join(
-        holes.select(*VOXEL, F.lit(True).alias("_hole")), VOXEL, "left"
-    )
-    filled = F.when(F.col("_hole"), F.coalesce("_fill", label)).otherwise(F.col(label))
-    return out.withColumn(label, filled.cast("int")).select(*voxels.columns)
+    best = found.groupBy(SUBJECT, "qid").agg(F.min(F.struct(F.floor("distance"), "_c"))["_c"].alias("_best"))
+    out = filled.withColumn("qid", F.when(F.col("_rest"), place)).join(best, [SUBJECT, "qid"], "left")
+    far = F.element_at(F.lit(list(candidates)).cast("array<int>"), F.col("_best"))
+    return materialize(out.withColumn(label, F.coalesce(far, F.col(label)).cast("int")).select(*voxels.columns), "filled")
+
+
+def fill_by_distance(voxels: DataFrame, holes: DataFrame, candidates: Sequence[int], label: str = "seg") -> DataFrame:
+    """Holes take the candidate label that is nearest in whole voxels; of equal ones the first listed.
+
+    Holes with a candidate nearer than ``NEAR + 1`` voxels are filled inside blocks, where nothing that lies beyond can win;
+    the others meet the nearest voxel of every candidate of their subject.
+    """
+    marked = voxels.join(holes.select(*VOXEL, F.lit(True).alias("_is_hole")), VOXEL, "left")
+    return _fill(marked, {"_hole": F.col("_is_hole")}, lambda block: block.at("_hole") > 0, candidates, label).select(*voxels.columns)
 
 
 def split_parcels(
@@ -153,22 +201,28 @@ def merge_cerebellum(voxels: DataFrame, dims: DataFrame, manual: bool = False, p
     cortex = (old != 0) if manual else seg.isin(8, 47)
     start = F.when(seg == 7, 37).when(seg == 46, 38).when(cortex, F.when(old.between(29, 34), 36).otherwise(old)).otherwise(0)
     work = voxels.select(*VOXEL, whole, F.col(part).alias("_old"), cortex.alias("_cortex"), start.cast("int").alias(part))
-    work = materialize(work, "cerebellum")
-    white = work.filter(F.col(part).isin(37, 38)).select(*VOXEL)
-    gray = work.filter("_cortex").select(*VOXEL)
-    rims = []
-    for mask in (white, gray):
-        rims.append(dilate(mask, dims, 26).join(mask, VOXEL, "left_anti"))
-    touching = rims[0].join(rims[1], VOXEL, "left_semi")
-    holes = touching.unionByName(work.filter(F.col(part).isin(9, 36)).select(*VOXEL)).distinct()
-    first = [37, 38] if manual else FILL_LABELS
-    filled = materialize(fill_by_distance(work, holes, first, part), "filled")
+    sized = attach(work, dims.select(SUBJECT, "nx", "ny", "nz"), SUBJECT, costly=False)
+    within = F.lit(True)
+    for a in "xyz":
+        within = within & F.col(a).between(0, F.col(f"n{a}") - 1)
+    marks = {"_white": F.col(part).isin(37, 38), "_gray": F.col("_cortex"), "_within": within, "_again": F.col(part).isin(9, 36)}
+
+    def hole(block: Block) -> np.ndarray:
+        touching = block.at("_within") > 0
+        for name in ("_white", "_gray"):
+            grown = box_sums(block.whole(name).astype(np.int16), 3) > 0
+            inner = tuple(slice(NEAR - 1, NEAR - 1 + n) for n in touching.shape)
+            touching = touching & grown[inner] & (block.at(name) == 0)
+        return touching | (block.at("_again") > 0)
+
+    filled = _fill(sized, marks, hole, [37, 38] if manual else FILL_LABELS, part).select(*work.columns)
     main = split_largest(filled.filter(F.col(part) != 0).select(*VOXEL, part), 26, [part]).filter("largest").select(*VOXEL)
     kept = filled.join(main.withColumn("_main", F.lit(True)), VOXEL, "left")
     kept = kept.withColumn(part, F.when(F.col("_main"), F.col(part)).otherwise(0).cast("int")).drop("_main")
-    kept = materialize(kept, "kept")
-    refill = kept.filter((F.col(part) != 0) & not_in(part, FILL_LABELS)).select(*VOXEL)
-    out = fill_by_distance(kept, refill, FILL_LABELS, part)
+    again = (F.col(part) != 0) & not_in(part, FILL_LABELS)
+    out, seen = measured(kept, "kept", again=F.count_if(again))
+    if seen["again"]:
+        out = _fill(out, {"_again": again}, lambda block: block.at("_again") > 0, FILL_LABELS, part)
     if not manual:
         final = F.when(seg == 7, 37).when(seg == 46, 38).otherwise(F.col(part))
         return out.withColumn(part, final.cast("int")).drop("_old", "_cortex")
