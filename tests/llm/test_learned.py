@@ -395,3 +395,14 @@ def test_the_pipeline_keeps_a_unique_text_under_a_repeated_id(spark):
     left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, words(1)), (1, words(1)), (5, words(2))]
     assert left.columns == docs.columns
+
+
+def test_plain_texts_are_cut_into_pieces_without_their_words():
+    encoder, library = token_output.Encoder(WORDS), Tokenizer.from_file(WORDS)
+    texts = ["It's 12\t\u00c9t\u00e9, 'RE!'s don''t", "a<b <|endoftext", "", "  \x0b\n", "word " * 300]
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all([t.encode() for t in texts])] == [ids(t) for t in texts]
+    assert not encoder.words and "word" in encoder.pieces
+    for text in ("a <|EndOfText|> b", "a<|endoftext|>b", "\u65e5\u672c it's", "e\u0301\x85b"):
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == ids(text)
+    assert encoder.words

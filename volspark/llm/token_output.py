@@ -28,15 +28,16 @@ SHARD_IDS = 1 << 19
 # A pair must occur so often to become a rule; rules taken in one round; rounds end sooner when no pair is left.
 LEAST_COUNT, ROUND_RULES, ROUNDS = 16, 16_000, 24
 # Longest word and most words and pieces that a task remembers.
-MEMO_WORD, MEMO_SIZE, MEMO_PIECES = 48, 200_000, 120_000
+MEMO_WORD, MEMO_SIZE, MEMO_PIECES = 48, 200_000, 200_000
+# Texts that are encoded together: what is new among them is looked up once.
+DOCS_AT_ONCE = 256
 
 
-# The commonest words: letters, then marks.
-_SIMPLE = re.compile(rb"([A-Za-z]+)([!-&(-/:;=?@]*)")
-# Words of ASCII but the apostrophe and "<", where special strings begin, and of Latin letters, and the pieces that the
-# tokenizer cuts them into when lower-cased.
-_PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@[-`{-~]+")
+# White space, ASCII and Latin letters, which the tokenizer cuts by one pattern once they are lower-cased; words of them but
+# "<", where special strings begin; and the pieces.
+_PLAIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@[-`{-~]+")
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -71,9 +72,9 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no token crosses it, so a text is the sequence of its words also for the library.
-    The ids of short words are remembered, so a frequent word is encoded once per task.  Of plain words only the pieces that
-    are new go to the library's model, many at once; any other word goes through the whole library.  For a vocabulary with
-    another normaliser or pre-tokenizer whole texts go through the library.
+    Plain texts are cut into pieces whose ids are remembered, so a frequent piece is encoded once per task; new ones go to the
+    library's model, many at once.  Other texts go word by word: plain words by their pieces, any other through the whole
+    library.  For a vocabulary with another normaliser or pre-tokenizer whole texts go through the library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -86,11 +87,14 @@ class Encoder:
         known = json.loads(self.tokenizer.to_str())
         steps = {"type": "Sequence", "pretokenizers": [_WORDWISE_SPLIT, _WORDWISE_BYTES]}
         self.wordwise = known["normalizer"] == _WORDWISE_NORMALIZER and known["pre_tokenizer"] == steps and known["post_processor"] is None
-        self.plain = all(t.content.startswith("<") for t in self.tokenizer.get_added_tokens_decoder().values())
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = all(t.startswith("<") for t in special)
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
         self.letters = _byte_letters()
         # the same model behind a split at spaces alone, for pieces that are already cut and lower-cased
         self.cut = Tokenizer(self.tokenizer.model)
         self.cut.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.cut.model._resize_cache(0)  # it meets new pieces only
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -98,52 +102,66 @@ class Encoder:
         self.pieces = Memo(None, MEMO_PIECES, MEMO_WORD)
         self.vocabulary = len(vocabulary)
 
-    def _cut(self, raw: bytes) -> list[bytes] | None:
-        if not self.plain:
-            return None
-        if simple := _SIMPLE.fullmatch(raw):
-            letters, marks = simple.groups()
-            return [letters.lower(), marks] if marks else [letters.lower()]
+    def _cut(self, raw: bytes) -> list[str] | None:
         text = raw.decode("utf-8")
-        return [p.encode() for p in _PIECES.findall(text.lower())] if _PLAIN.fullmatch(text) else None
+        return _PIECES.findall(text.lower()) if self.plain and _PLAIN.fullmatch(text) else None
+
+    def _cut_text(self, raw: bytes | None) -> list[str] | None:
+        if not raw:
+            return []
+        text = raw.decode("utf-8", "replace")
+        if not self.plain or not _PLAIN_TEXT.fullmatch(text) or ("<" in text and self.special.search(text)):
+            return None
+        return _PIECES.findall(text.lower())
 
-    def _new_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        texts = [p.decode() if p.isascii() else "".join([self.letters[b] for b in p]) for p in pieces]
+    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        texts = [p if p.isascii() else "".join([self.letters[b] for b in p.encode()]) for p in pieces]
         ids = np.array(self.cut.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
         if len(stops) != len(pieces):  # a vocabulary that does not mark the ends of words
             return {p: _as_bytes(self.cut.encode(t, add_special_tokens=False).ids) for p, t in zip(pieces, texts, strict=True)}
-        flat, low, out = ids.tobytes(), 0, {}
-        for piece, high in zip(pieces, stops.tolist(), strict=True):
-            out[piece] = flat[low:high]
-            low = high
-        return out
+        flat = ids.tobytes()
+        return {p: flat[low:high] for p, low, high in zip(pieces, [0, *stops], stops, strict=False)}
+
+    def _known(self, cuts: list[list[str]]) -> dict[str, bytes]:
+        """The ids of remembered pieces; those of new ones are added, :meth:`Memo.trim` is due after use."""
+        new = list(set().union(*cuts).difference(self.pieces))
+        if new:
+            self.pieces.keep(self._new_pieces(new), within=False)
+        return self.pieces
 
     def _new_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         cuts = [self._cut(w) for w in words]
-        new = list({p for c in cuts if c for p in c if p not in self.pieces})
-        found = self._new_pieces(new) if new else {}
-        get = lambda p: found.get(p) or self.pieces[p]
+        get = self._known([c for c in cuts if c]).__getitem__
         out = {}
         for word, cut in zip(words, cuts, strict=True):
             if cut is None:
                 out[word] = _as_bytes(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
             else:
-                out[word] = get(cut[0]) if len(cut) == 1 else b"".join([get(p) for p in cut])
-        self.pieces.keep(found)
+                out[word] = b"".join([get(p) for p in cut])
+        return out
+
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        new = list(set().union(*split).difference(self.words))
+        if new:
+            self.words.keep(self._new_words(new), within=False)
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        self.words.trim()
         return out
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.wordwise:
             whole = [t.decode("utf-8", "replace") if t else "" for t in texts]
             return [_as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        split = [t.split() if t else [] for t in texts]
-        new = list(set().union(*split).difference(self.words))
-        found = self._new_words(new) if new else {}
-        self.words.keep(found, within=False)
-        get = self.words.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        self.words.trim()
+        cuts = [self._cut_text(t) for t in texts]
+        get = self._known([c for c in cuts if c]).__getitem__
+        out = [b"".join(map(get, c)) if c is not None else b"" for c in cuts]
+        other = [k for k, c in enumerate(cuts) if c is None]
+        if other:
+            for k, ids in zip(other, self._by_words([texts[k] for k in other]), strict=True):
+                out[k] = ids
+        self.pieces.trim()
         return out
 
     def encode(self, raw: bytes | None) -> bytes:
@@ -169,6 +187,23 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
 
+def _steps(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rules that refer to earlier stretches only; a round of :func:`repair` lies in one or two."""
+    highest = rules.astype(np.int64).max(1, initial=0) - base
+    low = 0
+    while low < len(highest):
+        inner = highest[low:] >= low
+        high = low + int(inner.argmax()) if inner.any() else len(highest)
+        yield low, high
+        low = high
+
+
+def _lengths_of(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
+    symbols = symbols.astype(np.int64)
+    rule = symbols >= base
+    return np.where(rule, lengths[np.where(rule, symbols - base, 0)] if len(lengths) else 1, 1).astype(np.int64)
+
+
 def repair(ids: np.ndarray, breaks: np.ndarray, base: int, least: int = LEAST_COUNT, per_round: int = ROUND_RULES, rounds: int = ROUNDS) -> tuple[Grammar, np.ndarray]:
     """Replace frequent pairs until none occurs ``least`` times; ``breaks`` are the ends of documents, which no rule crosses.
 
@@ -220,8 +255,8 @@ def repair(ids: np.ndarray, breaks: np.ndarray, base: int, least: int = LEAST_CO
     table_ = np.concatenate(rules) if rules else np.zeros((0, 2), kind)
     small = np.uint16 if base < 1 << 16 else np.uint32
     lengths = np.ones(made, np.uint32)
-    for k, (a, b) in enumerate(table_.astype(np.int64)):
-        lengths[k] = (1 if a < base else lengths[a - base]) + (1 if b < base else lengths[b - base])
+    for low, high in _steps(table_, base):
+        lengths[low:high] = _lengths_of(table_[low:high], base, lengths).sum(1)
     ends = np.zeros(len(breaks), np.int64)
     full = breaks > np.concatenate([[0], breaks[:-1]]) if len(breaks) else np.zeros(0, bool)
     ends[full] = np.flatnonzero(last) + 1
@@ -232,16 +267,13 @@ def expansions(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
     """All rules written out, one after another, and where each begins."""
     starts = np.concatenate([[0], np.cumsum(g.lengths.astype(np.int64))])
     out = np.zeros(starts[-1], np.uint32)
-    for k, pair in enumerate(g.rules.astype(np.int64)):
-        to = starts[k]
-        for s in pair:
-            if s < g.base:
-                out[to] = s
-                to += 1
-            else:
-                n = g.lengths[s - g.base]
-                out[to : to + n] = out[starts[s - g.base] : starts[s - g.base] + n]
-                to += n
+    for low, high in _steps(g.rules, g.base):
+        pair = g.rules[low:high].astype(np.int64).ravel()  # both halves of a rule lie side by side, as in the result
+        n = _lengths_of(pair, g.base, g.lengths)
+        rule, ends = pair >= g.base, np.cumsum(n)
+        begin = np.where(rule, starts[np.where(rule, pair - g.base, 0)], 0)
+        inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        out[starts[low] : starts[high]] = np.where(np.repeat(rule, n), out[np.repeat(begin, n) + inside * np.repeat(rule, n)], np.repeat(pair, n))
     return out, starts
 
 
@@ -298,8 +330,8 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int,
     docs, parts, size = [], [], 0
     for batch in batches:
         kind = batch.column("_id").type
-        for low in range(0, batch.num_rows, 64):
-            rows = batch.slice(low, 64)
+        for low in range(0, batch.num_rows, DOCS_AT_ONCE):
+            rows = batch.slice(low, DOCS_AT_ONCE)
             for doc, ids in zip(rows.column("_id").to_pylist(), encoder.encode_all(rows.column("_text").to_pylist()), strict=True):
                 parts.append(ids + tail)
                 docs.append(doc)
